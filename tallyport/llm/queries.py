@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .mixing import mixing_plan
+from .quality_rules import quality_rules
 from .shared import table
 from .token_counts import token_counts
 
@@ -10,8 +12,16 @@ def op10_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark, sf_dir):
+    return mixing_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries():
-    return {f.__name__: f for f in (op10_token_counts,)}
+    return {f.__name__: f for f in (op5_quality_rules, op9_mixing, op10_token_counts)}
 
 
 def oracle_sql():

@@ -79,6 +79,11 @@ def text_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
+def text_column(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text), and nothing else of the input."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row, even where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -14,9 +14,10 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import spread, text_bytes
+from .shared import spread, text_column
 from .word_bpe import default_path, groups, word_ids
 
 LIMIT = 2048
@@ -63,32 +64,28 @@ def _counts(path: str, keep: bool):
     def run(batches):
         memo = word_ids(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n = [0] * len(texts)
-            ends, counts = [[]] * len(texts), [[]] * len(texts)
-            for group in groups(texts):
-                memo.trim()
-                plain = [(i, t) for i, t in group if b"<|" not in t]
+            texts = pc.fill_null(batch.column("text"), "")
+            n = np.zeros(len(texts), np.int64)
+            ends, counts = [], []
+            for lo, hi in groups(texts):
                 if keep:
-                    for i, t in group:
-                        e, c = prefixes(t, memo)
-                        ends[i], counts[i] = e, c
-                        n[i] = int(c[-1]) if len(c) else 0
+                    memo.trim()
+                    for i in range(lo, hi):
+                        e, c = prefixes(texts[i].as_py().encode(), memo)
+                        ends.append(e.tolist())
+                        counts.append(c.tolist())
+                        n[i] = c[-1] if len(c) else 0
                     continue
-                for i, t in group:
-                    if b"<|" in t:
-                        n[i] = len(memo.whole(t))
-                words, at = [], [0]
-                for _, t in plain:
-                    words += t.lower().split()
-                    at.append(len(words))
-                total = np.concatenate([[0], np.cumsum(memo.counts(words))])
-                for (i, _), lo, hi in zip(plain, at[:-1], at[1:], strict=True):
-                    n[i] = int(total[hi] - total[lo])
-            columns = [batch.column("doc_id"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(n, pa.int64())]
+                part = texts.slice(lo, hi - lo)
+                rows, at, special = ids_of(part, memo)
+                total = np.concatenate([[0], np.cumsum(memo.count[rows], dtype=np.int64)])
+                n[lo:hi] = total[at[1:]] - total[at[:-1]]
+                for i in special:
+                    n[lo + i] = len(memo.whole(part[i].as_py().encode()))
+            columns = [batch.column("doc_id"), pc.binary_length(texts).cast(pa.int64()), pa.array(n)]
             names = ["doc_id", "n_bytes", "n_tokens"]
             if keep:
-                columns += [pa.array([x if isinstance(x, list) else x.tolist() for x in y], pa.list_(pa.int64())) for y in (ends, counts)]
+                columns += [pa.array(ends, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))]
                 names += ["prefix_bytes", "prefix_tokens"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -101,7 +98,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, i
     One pass without a shuffle. prefix_bytes and prefix_tokens have an entry for each word: where it ends, and the
     tokens of the text up to there.
     """
-    narrow = spread(text_bytes(docs, id_col, text_col), "doc_id")
+    narrow = spread(text_column(docs, id_col, text_col), "doc_id")
     kind = dict(narrow.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_bytes long, n_tokens long" + ", prefix_bytes array<long>, prefix_tokens array<long>" * prefix_table
     out = narrow.mapInArrow(_counts(path or default_path(), prefix_table), schema)

@@ -11,6 +11,8 @@ import os
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -25,8 +27,9 @@ class WordIds:
     """Rows of word -> ids; the memo starts afresh when it holds max_words, so memory stays bounded."""
 
     CUT = b".,!?;:"
+    MARK = b" <|endoftext|> "
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -36,7 +39,7 @@ class WordIds:
         self.ends_word = np.zeros(max(names.values()) + 1, bool)
         for name, i in names.items():
             self.ends_word[i] = name.endswith("</w>")
-        self.stops = {c: self.library.encode(chr(c), add_special_tokens=False).ids for c in self.CUT}
+        self.mark = self.library.token_to_id(self.MARK.strip().decode())
         self._clear()
 
     def _clear(self) -> None:
@@ -45,6 +48,14 @@ class WordIds:
         self.start = np.zeros(1024, np.int64)
         self.ids = np.zeros(4096, np.uint32)
         self.used = 0
+        self._put([b""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(memo rows of all words of these texts, number of words up to each text); texts are cut and words told apart in Arrow."""
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        at = words.offsets.to_numpy().astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        return self.rows(coded.dictionary.cast(pa.binary()).to_pylist())[coded.indices.to_numpy()], at - at[0]
 
     def whole(self, text: bytes) -> np.ndarray:
         """Ids of one text by the library alone."""
@@ -77,43 +88,46 @@ class WordIds:
         return self.ids[np.repeat(self.start[rows] - (ends - n), n) + np.arange(total)]
 
     def _learn(self, words: set[bytes]) -> None:
-        """A word of letters is one unit of the tokenizer, so many go to it in one text, parted again at end-of-word ids."""
-        cores: dict[bytes, bytes] = {}
-        for w in words:
-            core = w[:-1] if w[-1] in self.CUT and w[-2:-1].isalpha() else w  # after an ASCII letter
-            if core.isalpha() or (not core.isascii() and core.decode("utf-8", "replace").isalpha()):
-                cores[w] = core
-        plain = sorted(set(cores.values()))
-        ids_of: dict[bytes, list[int]] = {}
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = self.library.encode(b" ".join(part).decode("utf-8", "replace"), add_special_tokens=False).ids
-            cut = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(cut) == len(part):
-                lo = 0
-                for w, hi in zip(part, cut.tolist(), strict=True):
-                    ids_of[w] = ids[lo:hi]
-                    lo = hi
-            else:  # a letter whose lower case is more than letters
-                for w in part:
-                    ids_of[w] = self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
+        """Letters are one unit of the tokenizer and a stop behind a letter another, and each unit's last id ends a word.
+
+        So many words go to the library in one text, parted again by counting those ids.
+        """
+        letters = lambda w: w.isalpha() or (not w.isascii() and w.decode("utf-8", "replace").isalpha())
+        cut, one, two, rest = self.CUT, [], [], []
         for w in words:
-            core = cores.get(w)
-            if core is None:
-                self._put(w, self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids)
+            if letters(w):
+                one.append(w)
+            elif w[-1] in cut and letters(w[:-1]):
+                two.append(w)
             else:
-                self._put(w, ids_of[core] if len(core) == len(w) else ids_of[core] + self.stops[w[-1]])
-
-    def _put(self, word: bytes, ids: list[int]) -> None:
-        at, n = len(self.row), len(ids)
-        if at == len(self.count):
-            self.count, self.start = np.resize(self.count, 2 * at), np.resize(self.start, 2 * at)
-        while self.used + n > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.row[word] = at
-        self.count[at], self.start[at] = n, self.used
-        self.ids[self.used : self.used + n] = ids
-        self.used += n
+                rest.append(w)
+        for listed, units in ((one, 1), (two, 2)):
+            for at in range(0, len(listed), 1000):
+                part = listed[at : at + 1000]
+                ids = np.array(self.library.encode_batch_fast([b" ".join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) == units * len(part):
+                    self._put(part, ids, np.diff(ends[units - 1 :: units], prepend=0))
+                else:  # a letter whose lower case is more than letters
+                    rest += part
+        for at in range(0, len(rest), 1000):  # any other word: a special token between them, which no word holds
+            part = rest[at : at + 1000]
+            ids = np.array(self.library.encode_batch_fast([self.MARK.join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
+            marks = np.concatenate([[-1], np.flatnonzero(ids == self.mark), [len(ids)]])
+            self._put(part, ids[ids != self.mark], np.diff(marks) - 1)
+
+    def _put(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        at, n, used = len(self.row), len(words), self.used + len(ids)
+        if at + n > len(self.count):
+            size = 2 * (at + n)
+            self.count, self.start = np.resize(self.count, size), np.resize(self.start, size)
+        if used > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * used)
+        self.row.update(zip(words, range(at, at + n), strict=True))
+        self.count[at : at + n] = counts
+        self.start[at : at + n] = self.used + np.cumsum(counts) - counts
+        self.ids[self.used : used] = ids
+        self.used = used
 
 
 _tables: dict[str, WordIds] = {}
@@ -126,14 +140,24 @@ def word_ids(path: str) -> WordIds:
     return _tables[path]
 
 
-def groups(texts, most: int = 2_000_000):
-    """Runs of consecutive texts of about `most` bytes; a longer text comes alone."""
-    held, size = [], 0
-    for i, t in enumerate(texts):
-        if held and size + len(t or b"") > most:
-            yield held
-            held, size = [], 0
-        held.append((i, t or b""))
-        size += len(t or b"")
-    if held:
-        yield held
+def groups(texts: pa.Array, most: int = 8_000_000):
+    """(first, last + 1) of runs of consecutive texts of about `most` bytes; a longer text comes alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def ids_of(texts: pa.Array, memo: WordIds) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """As WordIds.split, but texts with "<|" have no words here and are listed for the library."""
+    texts = pc.fill_null(texts, "")
+    special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+    if len(special):
+        mask = np.zeros(len(texts), bool)
+        mask[special] = True
+        texts = pc.if_else(pa.array(mask), "", texts)
+    memo.trim()
+    rows, at = memo.split(texts)
+    return rows, at, special.tolist()

@@ -97,36 +97,21 @@ def mixing_plan(docs: DataFrame, seed: int = 42, weights: tuple = WEIGHTS, id_co
     return mixed.withColumn("taken", F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long"))
 
 
-def chosen_blocks(seed: int) -> Column:
-    """The document's blocks that are taken once more.
+#: The largest primes below 2**31. None divides a shard's number of blocks, which is smaller.
+PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
 
-    A shard's extra blocks are those that a seeded affine permutation of its n blocks puts first. Its step is odd and
-    n is raised to a power of two, so it is a permutation; the ranks of the few numbers above n are skipped by walking
-    on until the rank is below n (cycle walking), which keeps it a permutation of the n blocks.
-    """
-    n = F.greatest(F.col("n_blocks"), F.lit(1))
-    bits = F.ceil(F.log2(n.cast("double"))).cast("int")
-    mask = F.shiftleft(F.lit(1).cast("long"), bits) - 1
-    # parameters stay below 2**31 and blocks of a shard below 2**32 before masking, so products fit 64 bits
-    step = (F.pmod(F.xxhash64(F.lit(seed + 2), F.col("shard"), F.col("source")), F.lit(1 << 29)) * 2 + 1).bitwiseAND(mask).bitwiseOR(F.lit(1))
-    move = F.pmod(F.xxhash64(F.lit(seed + 3), F.col("shard"), F.col("source")), F.lit(1 << 30)).bitwiseAND(mask)
-    half = F.greatest(F.floor(bits / 2), F.lit(1)).cast("int")
-
-    def once(x: Column) -> Column:
-        y = (x * step + move).bitwiseAND(mask)
-        y = y.bitwiseXOR(F.shiftrightunsigned(y, half))
-        return (y * step + move).bitwiseAND(mask)
-
-    def rank(b: Column) -> Column:
-        # four walks leave one block in 2**4 at most unsettled; those keep the remainder as rank and are ordered behind by it
-        x = once(b)
-        for _ in range(4):
-            x = let(x, lambda v: F.when(v < n, v).otherwise(once(v)))
-        return x
 
+def chosen_blocks(seed: int) -> Column:
+    """The document's blocks that are taken once more: those that a seeded permutation b -> (p * b + c) mod n of the
+    shard's n blocks, p a prime above n, puts before its extra."""
+    n = F.greatest(F.col("n_blocks"), F.lit(1))
+    pick = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("shard"), F.col("source")), F.lit(len(PRIMES))).cast("int")
+    step = F.get(F.array(*[F.lit(p).cast("long") for p in PRIMES]), pick) % n
+    move = F.pmod(F.xxhash64(F.lit(seed + 3), F.col("shard"), F.col("source")), n)
     first = F.floor(F.col("first_word") / BLOCK_WORDS).cast("long")
     last = F.floor((F.col("first_word") + F.greatest("size", F.lit(1)) - 1) / BLOCK_WORDS).cast("long")
-    return F.when((F.col("extra") > 0) & (F.col("size") > 0), F.filter(F.sequence(first, last), lambda b: rank(b) < F.col("extra"))).otherwise(F.array().cast("array<long>"))
+    chosen = F.filter(F.sequence(first, last), lambda b: (step * b + move) % n < F.col("extra"))
+    return F.when((F.col("extra") > 0) & (F.col("size") > 0), chosen).otherwise(F.array().cast("array<long>"))
 
 
 def overlap(block: Column) -> Column:

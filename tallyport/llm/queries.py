@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import mixing_plan
+from .packing import pack
 from .quality_rules import quality_rules
 from .shared import table
 from .token_counts import token_counts
@@ -12,6 +13,10 @@ def op10_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -21,7 +26,7 @@ def op9_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op5_quality_rules, op9_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op4_packing, op5_quality_rules, op9_mixing, op10_token_counts)}
 
 
 def oracle_sql():

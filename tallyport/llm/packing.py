@@ -29,34 +29,50 @@ from .shared import text_column
 from .word_bpe import WordIds, default_path, groups, ids_of, word_ids
 
 WINDOW, END_ID = 2048, 1
-SENTENCE_PENALTY, GRID_PENALTY = 2, 6
+SENTENCE_PENALTY, GRID_PENALTY, PIECE_PENALTY = 2, 16, 4
 #: At most one sentence end in so many tokens is a cut place; without any in GAP tokens, each GRID tokens are one.
-CELL, GAP, GRID = 16, 24, 12
+CELL, GAP, GRID = 16, 64, 32
 CHUNK = 2_000_000
 
 
-def cut_places(pos: list[int], penalty: list[int], window: int = WINDOW) -> list[int]:
-    """Places of the cuts with the least padding plus penalties, from pos[0] to pos[-1]; consecutive places are at most window apart."""
-    back = [0] * len(pos)
-    queue, value, head = [0], [0], 0  # of places in reach: cost + position - a term that all share, rising
+def cut_places(pos: list[int], penalty: list[int], window: int = WINDOW, last: bool = True) -> list[int]:
+    """Places of the cuts with the least padding plus penalties, from pos[0] to pos[-1]; consecutive places are at most window apart.
+
+    With last, what is behind the last place but one may be cut at powers of two instead of padded.
+    """
+    back, best = [0] * len(pos), [0] * len(pos)
+    queue, value, head = [0], [0], 0  # of places in reach: cost + position, rising
     for j in range(1, len(pos)):
         low = pos[j] - window
         while pos[queue[head]] < low:
             head += 1
         back[j] = queue[head]
-        v = value[head] + penalty[j] + window
+        best[j] = v = value[head] + penalty[j] + window
         while len(value) > head and value[-1] > v:
             value.pop()
             queue.pop()
         queue.append(j)
         value.append(v)
-    path, j = [], len(pos) - 1
+    end, j, path = pos[-1], len(pos) - 1, []
+    if last:
+        i = min(range(int(np.searchsorted(pos, end - window)), j), key=lambda i: best[i] - pos[i] + tail(end - pos[i], window)[0])
+        path, j = [pos[i] + x for x in tail(end - pos[i], window)[1]][::-1], i
     while j:
         path.append(pos[j])
         j = back[j]
     return [pos[0], *path[::-1]]
 
 
+def tail(n: int, window: int) -> tuple[int, list[int]]:
+    """(cost, ends) of the last n tokens: one padded sequence, or pieces whose lengths are powers of two, the largest first."""
+    ends, lo = [], 0
+    while lo < n:
+        lo += min(window, 1 << ((n - lo).bit_length() - 1))
+        ends.append(lo)
+    pieces = PIECE_PENALTY * (len(ends) - 1)
+    return (window - n, [n]) if window - n <= pieces else (pieces, ends)
+
+
 def places(ends: np.ndarray, sentences: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """(cut places, penalties): 0, document ends, sentence ends thinned to one a cell, and the grid in gaps."""
     last_of_cell = np.append(sentences[1:] // CELL != sentences[:-1] // CELL, True)[: len(sentences)]
@@ -70,15 +86,6 @@ def places(ends: np.ndarray, sentences: np.ndarray, total: int) -> tuple[np.ndar
     return both[order], np.concatenate([penalty, np.full(len(grid), GRID_PENALTY)])[order]
 
 
-def powers_of_two(lo: int, hi: int, window: int) -> list[int]:
-    """Ends of pieces from lo to hi whose lengths are powers of two, the largest first."""
-    out = []
-    while lo < hi:
-        lo += min(window, 1 << ((hi - lo).bit_length() - 1))
-        out.append(lo)
-    return out
-
-
 class _Stream:
     """A partition's tokens that are not yet in final sequences, and the documents that they are of."""
 
@@ -101,11 +108,8 @@ class _Stream:
         ends = np.cumsum([d[2] for d in self.docs])
         sentences = np.flatnonzero(self.sentence_end[ids]) + 1
         pos, penalty = places(ends, sentences, len(ids))
-        cuts = cut_places(pos.tolist(), penalty.tolist(), self.window)
-        if last:
-            if (rest := cuts[-1] - cuts[-2]) & (rest - 1) and rest < self.window:
-                cuts[-1:] = powers_of_two(cuts[-2], cuts[-1], self.window)
-        elif len(cuts) > 8:
+        cuts = cut_places(pos.tolist(), penalty.tolist(), self.window, last)
+        if not last and len(cuts) > 8:
             cuts = cuts[:-4]
         out = self._pieces(ids, ends, np.array(cuts))
         done = cuts[-1]

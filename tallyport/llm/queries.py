@@ -6,6 +6,8 @@ from .mixing import mixing_plan
 from .packing import pack
 from .quality_rules import quality_rules
 from .shared import table
+from .simhash_golay import simhash_groups
+from .suffix_levels import substring_dedup
 from .token_counts import token_counts
 
 
@@ -13,6 +15,10 @@ def op10_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_golay(spark, sf_dir):
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
@@ -21,12 +27,16 @@ def op5_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_levels(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_mixing(spark, sf_dir):
     return mixing_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries():
-    return {f.__name__: f for f in (op4_packing, op5_quality_rules, op9_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op3_simhash_golay, op4_packing, op5_quality_rules, op7_suffix_levels, op9_mixing, op10_token_counts)}
 
 
 def oracle_sql():

@@ -252,10 +252,11 @@ def _matches(kind, most: int = 8 << 20):
     return run
 
 
-def repeated_spans(rows: DataFrame, texts: DataFrame, kind, ws: Workspace, name: str) -> DataFrame:
+def repeated_spans(rows: DataFrame, texts: DataFrame, kind, ws: Workspace, name: str, solid_spans=None) -> DataFrame:
     """(rid, lo, hi): spans of symbols that together are all repeated windows which an anchor in `rows` with is_new shows.
 
-    rows: super-windows, with is_new. texts: (rid, text) of all of them, each rid once.
+    rows: super-windows, with is_new. texts: (rid, text) of all of them. solid_spans(again, contents, kind, ws, name), where
+    given, makes (rid, lo, hi) of the super-windows whose content is repeated.
     """
     seen = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("is_new").alias("is_new")).where("n > 1 and is_new")
     seen = ws.save(seen.select("h"), f"{name}-seen")
@@ -267,8 +268,12 @@ def repeated_spans(rows: DataFrame, texts: DataFrame, kind, ws: Workspace, name:
     mixed = contents.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
     mixed = ws.save(mixed.select("h"), f"{name}-mixed")
     ws.release()
-    solid = again.join(contents.where("n > 1").select("h", "sig"), ["h", "sig"], "left_semi")
-    solid = ws.save(solid.select("rid", F.col("first").alias("lo"), (F.col("first") + F.col("windows") + kind.window - 1).alias("hi")), f"{name}-solid")
+    if solid_spans:
+        solid = solid_spans(again, contents, kind, ws, name)
+    else:
+        solid = again.join(contents.where("n > 1").select("h", "sig"), ["h", "sig"], "left_semi")
+        solid = solid.select("rid", F.col("first").alias("lo"), (F.col("first") + F.col("windows") + kind.window - 1).alias("hi"))
+    solid = ws.save(solid, f"{name}-solid")
     ws.release()
     wanted = contents.join(mixed, "h", "left_semi").select("h", "n", "one.*")
     wanted = ws.save(wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "first", "windows", "n")).alias("wanted")), f"{name}-wanted")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .debruijn import word_span_dedup
 from .mixing import mixing_plan
 from .packing import pack
 from .quality_rules import quality_rules
@@ -31,12 +32,16 @@ def op7_suffix_levels(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_debruijn(spark, sf_dir):
+    return word_span_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_mixing(spark, sf_dir):
     return mixing_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries():
-    return {f.__name__: f for f in (op3_simhash_golay, op4_packing, op5_quality_rules, op7_suffix_levels, op9_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op3_simhash_golay, op4_packing, op5_quality_rules, op7_suffix_levels, op8_debruijn, op9_mixing, op10_token_counts)}
 
 
 def oracle_sql():

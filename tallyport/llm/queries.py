@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .debruijn import word_span_dedup
+from .embeddings import embedding_groups
 from .mixing import mixing_plan
 from .packing import pack
 from .quality_rules import quality_rules
@@ -16,6 +17,10 @@ def op10_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op1_cross_polytope(spark, sf_dir):
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash_golay(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -41,7 +46,7 @@ def op9_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_simhash_golay, op4_packing, op5_quality_rules, op7_suffix_levels, op8_debruijn, op9_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_cross_polytope, op3_simhash_golay, op4_packing, op5_quality_rules, op7_suffix_levels, op8_debruijn, op9_mixing, op10_token_counts)}
 
 
 def oracle_sql():

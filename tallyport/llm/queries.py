@@ -11,6 +11,7 @@ from .shared import table
 from .simhash_golay import simhash_groups
 from .suffix_levels import substring_dedup
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 
 def op10_token_counts(spark, sf_dir):
@@ -21,6 +22,10 @@ def op1_cross_polytope(spark, sf_dir):
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_golay(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op9_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_cross_polytope, op3_simhash_golay, op4_packing, op5_quality_rules, op7_suffix_levels, op8_debruijn, op9_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_cross_polytope, op2_toxicity, op3_simhash_golay, op4_packing, op5_quality_rules, op7_suffix_levels, op8_debruijn, op9_mixing, op10_token_counts)}
 
 
 def oracle_sql():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .debruijn import word_span_dedup
 from .embeddings import embedding_groups
+from .kneser_ney import quality_classifier
 from .mixing import mixing_plan
 from .packing import pack
 from .quality_rules import quality_rules
@@ -38,6 +39,10 @@ def op5_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney(spark, sf_dir):
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_levels(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -51,7 +56,7 @@ def op9_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_cross_polytope, op2_toxicity, op3_simhash_golay, op4_packing, op5_quality_rules, op7_suffix_levels, op8_debruijn, op9_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_cross_polytope, op2_toxicity, op3_simhash_golay, op4_packing, op5_quality_rules, op6_kneser_ney, op7_suffix_levels, op8_debruijn, op9_mixing, op10_token_counts)}
 
 
 def oracle_sql():

@@ -6,8 +6,8 @@ each window is in one. So windows need to be compared only among super-windows w
 
 - an anchor k-mer seen once: none of its windows is repeated;
 - super-windows with equal content: all their windows are repeated;
-- others of a k-mer seen again: their contents meet in one task, one of each distinct content, where the suffix
-  array's prefix doubling, stopped at W symbols, tells exactly which windows are equal.
+- others of a k-mer seen again: their contents meet in one task, one of each distinct content, where all their suffixes are
+  sorted by the fingerprint of their first W symbols and neighbours are compared symbol by symbol.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ STEPS = np.array([(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1)) | 1 for i in rang
 BASE = STEPS[4]
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 PLACE_BITS = 25
-SEGMENT, BUFFER = 1 << 23, 3 << 20
+SEGMENT, BUFFER = 1 << 23, 1 << 20
 ROW = "h long, sig long, rid long, first long, windows int, anchor int"
 
 
@@ -109,6 +109,16 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(rest[: n - w + 1], head[w - 1 : n])
 
 
+def _range_hashes(kind, grams: np.ndarray, at: np.ndarray, length) -> np.ndarray:
+    """Hashes of the symbols at[i] .. at[i] + length[i]: polynomials over mixed grams, from sums of prefixes, modulo 2**64."""
+    powers = np.full(len(grams), BASE, np.uint64)
+    powers[:1] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams * STEPS[7] + STEPS[8]) * np.cumprod(powers))])
+    powers[:] = INVERSE
+    powers[:1] = 1
+    return (sums[at + length - kind.span + 1] - sums[at]) * np.cumprod(powers)[at]
+
+
 def super_windows(kind, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     """(piece, first window, windows, anchor behind first, hash of the anchor, hash of the content) of the super-windows
     of pieces of `data`, each at least a window long."""
@@ -126,14 +136,8 @@ def super_windows(kind, data: np.ndarray, starts: np.ndarray, lengths: np.ndarra
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(anchor)))
     at, count = at[valid[at]], count[valid[at]]
-    powers = np.full(len(grams), BASE, np.uint64)
-    powers[:1] = 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams * STEPS[7] + STEPS[8]) * np.cumprod(powers))])
-    back = np.full(len(grams), INVERSE, np.uint64)
-    back[:1] = 1
-    back = np.cumprod(back)
     a = anchor[at]
-    content = (sums[at + count + window - kind.span] - sums[at]) * back[at]
+    content = _range_hashes(kind, grams, at, count + window - 1)
     sig = mix(content + count.astype(np.uint64) * STEPS[9] + (a - at).astype(np.uint64) * STEPS[10])
     return np.searchsorted(starts, at, "right") - 1, at, count, a - at, h[a], sig
 
@@ -174,15 +178,34 @@ def anchor_rows(texts: DataFrame, kind) -> DataFrame:
     return texts.select("rid", "text").mapInArrow(_rows(kind), ROW)
 
 
-def window_classes(symbols: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
-    """A number for the `window` symbols from each place, equal where all symbols are: ranks by prefix doubling."""
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    size = 1
-    pair = lambda a, b: np.unique(a * (1 << 31) + b, return_inverse=True)[1].astype(np.int64)
-    while 2 * size <= window:
-        rank = pair(rank[:-size] if size else rank, rank[size:])
-        size *= 2
-    return pair(rank[places], rank[places + window - size]) if size < window else rank[places]
+def repeated_windows(kind, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether the window from each place (rising) is equal to the window from another of these places.
+
+    Suffixes are put in order of the fingerprint of their first `window` symbols; neighbours with equal fingerprints are
+    compared symbol by symbol. Where the windows one place before are neighbours too, one more symbol decides.
+    """
+    window, grams = kind.window, kind.grams(symbols)
+    hashes = _range_hashes(kind, grams, places, window)
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    a, b = order[:-1][same], order[1:][same]
+    partner = np.full(len(places) + 1, -2, np.int64)
+    partner[b] = a
+    step = lambda x: (x > 0) & (places[x] == places[x - 1] + 1)
+    chain = step(a) & step(b) & (partner[b - 1] == a - 1)
+    equal = np.where(chain, symbols[places[a] + window - 1] == symbols[places[b] + window - 1], True)
+    x, y = places[a[~chain]], places[b[~chain]]
+    full = np.ones(len(x), bool)
+    for k in {*range(0, window - kind.span + 1, kind.span), window - kind.span}:
+        full &= grams[x + k] == grams[y + k]
+    equal[~chain] = full
+    out = np.zeros(len(places), bool)
+    if not equal.all():  # two windows with one fingerprint: tell all apart by their symbols
+        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(symbols, window)[places])
+        number = np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+        return np.bincount(number)[number] > 1
+    out[a] = out[b] = True
+    return out
 
 
 def _contents(kind):
@@ -209,7 +232,7 @@ def _contents(kind):
     return run
 
 
-def _matches(kind, most: int = 8 << 20):
+def _matches(kind, most: int = 2 << 20):
     """Runs of equal anchor hashes are brought together into suffix arrays of some MB each."""
 
     def found(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -221,8 +244,7 @@ def _matches(kind, most: int = 8 << 20):
         begins = (offsets[:-1] - offsets[0]) // itemsize
         row = np.repeat(np.arange(len(count)), count)
         j = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        classes = window_classes(symbols, begins[row] + j, kind.window)
-        again = np.bincount(classes)[classes] > 1
+        again = repeated_windows(kind, symbols, begins[row] + j)
         single = batch.column("n").to_numpy()[row] == 1
         hit = np.flatnonzero(again & single)
         row, j = row[hit], j[hit]

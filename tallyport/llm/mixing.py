@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace, let, word_count
+from .shared import WORD, Workspace, let, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
@@ -101,6 +101,28 @@ def mixing_plan(docs: DataFrame, seed: int = 42, weights: tuple = WEIGHTS, id_co
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
 
 
+def mixed_documents(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of `docs` that the mix takes, with its columns: each text as often as taken, and the extra blocks' words behind.
+
+    Repeated rows are numbered on both sides of the join, so each meets its own part of the plan.
+    """
+    plan = mixing_plan(docs, seed, id_col=id_col, text_col=text_col, source_col=source_col).where("taken > 0")
+    plan = plan.select("draw", "shard", "size", "first_word", "n_blocks", "passes", "extra", F.col("source").alias("plan_source"))
+    twins = Window.partitionBy("draw")
+    plan = plan.withColumn("twin", F.row_number().over(twins.orderBy("first_word")))
+    rows = docs.select(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)).alias("draw"), F.struct(*docs.columns).alias("row"), F.col(text_col).alias("whole"))
+    rows = rows.withColumn("twin", F.row_number().over(twins.orderBy(F.lit(0))))
+    both = rows.join(plan, ["draw", "twin"]).withColumn("source", F.col("plan_source"))
+    words = F.regexp_extract_all("whole", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    begin = lambda b: F.greatest(F.col("first_word"), b * BLOCK_WORDS) - F.col("first_word") + 1
+    part = let(words, lambda w: F.array_join(F.transform(chosen_blocks(seed), lambda b: F.array_join(F.slice(w, begin(b).cast("int"), overlap(b).cast("int")), "")), ""))
+    copies = F.array_repeat("whole", F.col("passes").cast("int"))
+    text = F.array_join(F.when(F.col("extra") > 0, F.filter(F.concat(copies, F.array(part)), lambda x: x != "")).otherwise(copies), "\n")
+    both = both.withColumn("mixed", text)
+    known = {text_col: F.col("mixed"), "n_chars": F.length("mixed").cast("long")}
+    return both.select(*[known.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 def chosen_blocks(seed: int) -> Column:
     """The document's blocks that are taken once more: those that a seeded permutation b -> (p * b + c) mod n of the
     shard's n blocks, p a prime above n, puts before its extra."""

@@ -1,8 +1,9 @@
 """Exact substring dedup by a logarithmic family of sparse suffix arrays.
 
 A batch of documents becomes a level: its suffixes at anchors (see anchors.py), sorted by the hash of the anchor's k-mer.
-A new batch is scanned against all levels by joins on that hash; candidate suffixes meet in one task, where prefix
-doubling sorts them by their first `window` bytes and finds those equal throughout. Levels of equal rank are merged, so
+A new batch is scanned against all levels by joins on that hash; candidate suffixes meet in one task, sorted by the
+fingerprint of their first `window` bytes, and neighbours are compared byte by byte. (Only equality over the window counts,
+so fingerprint order does what lexicographic order would, at a sixth of the sorting.) Levels of equal rank are merged, so
 n batches are held in at most log2(n) + 1 levels and each row is written again log2(n) times.
 
 Removed is each byte covered by a `window`-byte string that also starts anywhere else, in the same document or
@@ -27,10 +28,11 @@ from .shared import Workspace, spread
 WINDOW, BATCHES = 200, 2
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str, kind: str = "binary") -> DataFrame:
-    """(rid, doc_id, text): rid is the same for rows of equal id and text only."""
+def identified(docs: DataFrame, id_col: str, text_col: str, carry: tuple = ()) -> DataFrame:
+    """(rid, doc_id, text as bytes, carry: a struct of the columns named): rid is the same for rows of equal id and text only."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(F.col(id_col).cast("string"), text).alias("rid"), F.col(id_col).alias("doc_id"), text.cast(kind).alias("text"))
+    more = [F.struct(*carry).alias("carry")] if carry else []
+    return docs.select(F.xxhash64(F.col(id_col).cast("string"), text).alias("rid"), F.col(id_col).alias("doc_id"), text.cast("binary").alias("text"), *more)
 
 
 class SuffixLevels:
@@ -78,13 +80,18 @@ def _cut(batches):
             out.append((len(text), len(text) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest))
         columns = list(zip(*out, strict=True)) or [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["doc_id", "rid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        names = ["doc_id", "rid", *(["carry"] if "carry" in batch.schema.names else [])]
+        arrays = [*map(batch.column, names), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, rid, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of each document."""
+def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
+    """doc_id, rid, carry, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of each document.
+
+    carry: a struct of further columns of the input, where some are named.
+    """
     ws = Workspace(docs.sparkSession)
-    texts = identified(docs, id_col, text_col)
+    texts = identified(docs, id_col, text_col, carry)
     narrow = spread(texts.select("rid", "text"), "rid")
     index = SuffixLevels(ws, window)
     spans = None
@@ -96,5 +103,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHE
     spans = ws.save(spans.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
     ws.release()
     joined = texts.join(spans, "rid", "left")
-    kind = dict(texts.dtypes)["doc_id"]
-    return joined.mapInArrow(_cut, f"doc_id {kind}, rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    kinds = dict(texts.dtypes)
+    more = f"carry {kinds['carry']}, " if carry else ""
+    return joined.mapInArrow(_cut, f"doc_id {kinds['doc_id']}, rid long, {more}n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

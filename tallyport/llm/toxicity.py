@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
 1. A sample of labelled rows, bounded by max_rows, is drawn by hash. One part in five of it is set aside for calibration.
-2. Lexicon: words, and word beginnings of four and five characters, with the highest smoothed log-odds of standing in a toxic
+2. Lexicon: words, and word beginnings of four, five and seven characters, with the highest smoothed log-odds of standing in a toxic
    document of the fitting part; beginnings also catch inflected and joined forms. Bounded by lexicon_size.
 3. Features of a text: densities and counts of lexicon hits, hits near second-person words, share of capitals, of exclamation
    and other marks, of masked words (letters with signs or digits between), repeated letters, lengths.
@@ -45,7 +45,7 @@ class Lexicon:
     @classmethod
     def keys(cls, word: str) -> list[str]:
         w = word.strip(cls.MARKS).lower()
-        return [w] + [f"{w[:n]}*" for n in (4, 5) if len(w) > n] if len(w) > 2 else []
+        return [w] + [f"{w[:n]}*" for n in (4, 5, 7) if len(w) > n] if len(w) > 2 else []
 
     def weight(self, word: str) -> float:
         return max((self.weights.get(k, 0.0) for k in self.keys(word)), default=0.0)

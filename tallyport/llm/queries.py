@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import sql
 from .debruijn import word_span_dedup
 from .embeddings import embedding_groups
 from .kneser_ney import quality_classifier
@@ -36,7 +37,7 @@ def op4_packing(spark, sf_dir):
 
 
 def op5_quality_rules(spark, sf_dir):
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 def op6_kneser_ney(spark, sf_dir):
@@ -60,4 +61,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return sql.oracle_sql()

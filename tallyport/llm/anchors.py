@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, parts
 
 #: Odd multipliers of the hashes, made from a rule: golden-ratio steps, made odd.
 STEPS = np.array([(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1)) | 1 for i in range(16)], np.uint64)
@@ -159,7 +159,7 @@ def _segments(offsets: np.ndarray, window: int):
 
 def _rows(kind):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 4_000_000):
             data, offsets = kind.texts(batch.column("text"))
             rid = batch.column("rid").to_numpy()
             for held in _segments(offsets, kind.window):
@@ -210,11 +210,11 @@ def repeated_windows(kind, symbols: np.ndarray, places: np.ndarray) -> np.ndarra
 
 def _contents(kind):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 4_000_000):
             data, offsets = kind.texts(batch.column("text"))
             wanted = batch.column("wanted")
             flat = wanted.flatten()
-            owner = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
+            owner = np.repeat(np.arange(len(wanted)), pc.list_value_length(wanted).to_numpy())
             first, count = flat.field("first").to_numpy(), flat.field("windows").to_numpy()
             lo = offsets[owner] + first
             size = count + kind.window - 1

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import Words, anchor_rows, merged, repeated_spans
-from .shared import Workspace, spread
+from .shared import Workspace, parts, spread
 from .suffix_levels import identified
 
 WINDOW = 35
@@ -60,7 +60,7 @@ def _path_spans(again, contents, kind, ws, name):
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in parts(batches):
         n, removed, digests, kept = [], [], [], []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             words = (text or b"").split()

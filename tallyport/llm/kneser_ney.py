@@ -10,7 +10,7 @@ task unfolds them to log probabilities of all grams; a document's perplexity is
 of each document's grams against the shards gives the same numbers and would shuffle more than the whole corpus.)
 
 A document is rejected where its bits per character lie outside its language's quantiles of trusted documents that
-were not trained on, widened by a margin that shrinks with length, thrice as wide below: above for noise, below for endless repetition.
+were not trained on, widened by a margin that shrinks with length and with the number of those documents, thrice as wide below: above for noise, below for endless repetition.
 
 Defined results: null and empty texts and those shorter than min_chars are judged by nothing but length: kept is false
 for texts without a word, else true; a null language is a language of its own; a language with fewer than least_docs
@@ -27,8 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, Workspace, spread
-from .word_bpe import groups
+from .shared import WORD, Workspace, groups, spread
 
 ORDER, BITS, START = 4, 6, 63
 CLASSES = 1 << BITS
@@ -180,13 +179,14 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     judged = scored.where(F.col("n_chars") >= MIN_CHARS)
     known = judged.join(trusted.where(F.col("fold") == 0), F.col("key") == F.col("doc_id"), "left_semi")
     ends = [F.percentile_approx("bits", LOW, 10_000).alias("low"), F.percentile_approx("bits", HIGH, 10_000).alias("high"), F.count(F.lit(1)).alias("n")]
-    every = known.agg(*ends).select(F.col("low").alias("all_low"), F.col("high").alias("all_high"))
+    every = known.agg(*ends).select(F.col("low").alias("all_low"), F.col("high").alias("all_high"), F.col("n").alias("all_n"))
     by_lang = ws.save(known.groupBy("lang").agg(*ends).where(F.col("n") >= LEAST_DOCS), "limits")
     # one row
     limits = every.first()
     found = scored.join(by_lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
-    low = F.coalesce("low", F.lit(limits["all_low"]).cast("double")) - 3 * slack
-    high = F.coalesce("high", F.lit(limits["all_high"]).cast("double")) + slack
+    few = slack * (1 + LEAST_DOCS / F.coalesce("n", F.lit(max(limits["all_n"], 1))))  # quantiles of few documents are uncertain
+    low = F.coalesce("low", F.lit(limits["all_low"]).cast("double")) - 3 * few
+    high = F.coalesce("high", F.lit(limits["all_high"]).cast("double")) + few
     inside = F.coalesce((F.col("bits") >= F.col("low")) & (F.col("bits") <= F.col("high")), F.lit(True))
     found = found.withColumns({"low": low, "high": high})
     kept = F.col("has_word") & ((F.col("n_chars") < MIN_CHARS) | inside)

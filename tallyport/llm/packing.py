@@ -25,8 +25,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .shared import text_column
-from .word_bpe import WordIds, default_path, groups, ids_of, word_ids
+from .shared import groups, text_column
+from .word_bpe import WordIds, default_path, ids_of, word_ids
 
 WINDOW, END_ID = 2048, 1
 SENTENCE_PENALTY, GRID_PENALTY, PIECE_PENALTY = 2, 16, 4

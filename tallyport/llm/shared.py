@@ -7,6 +7,9 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +101,20 @@ def let(value: Column, body) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def groups(texts: pa.Array, most: int = 8_000_000):
+    """(first, last + 1) of runs of consecutive texts of about `most` bytes; a longer text comes alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def parts(batches, most: int = 8_000_000):
+    """Arrow batches in slices of about `most` bytes of text, so that what is made of a slice stays small."""
+    for batch in batches:
+        for lo, hi in groups(batch.column("text"), most):
+            yield batch.slice(lo, hi - lo)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Bytes, anchor_rows, merged, repeated_spans
-from .shared import Workspace, spread
+from .shared import Workspace, parts, spread
 
 WINDOW, BATCHES = 200, 2
 
@@ -66,7 +66,7 @@ class SuffixLevels:
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in parts(batches):
         out = []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             text = text or b""

@@ -17,8 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import spread, text_column
-from .word_bpe import default_path, groups, word_ids
+from .shared import groups, spread, text_column
+from .word_bpe import default_path, ids_of, word_ids
 
 LIMIT = 2048
 

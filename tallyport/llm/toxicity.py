@@ -24,8 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spread, text_column
-from .word_bpe import groups
+from .shared import groups, spread, text_column
 
 MAX_ROWS, LEXICON_SIZE, FOLDS = 20_000, 512, 5
 #: Second-person words of the four languages.

@@ -140,16 +140,6 @@ def word_ids(path: str) -> WordIds:
     return _tables[path]
 
 
-def groups(texts: pa.Array, most: int = 8_000_000):
-    """(first, last + 1) of runs of consecutive texts of about `most` bytes; a longer text comes alone."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    lo = 0
-    while lo < len(ends):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
-        yield lo, hi
-        lo = hi
-
-
 def ids_of(texts: pa.Array, memo: WordIds) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """As WordIds.split, but texts with "<|" have no words here and are listed for the library."""
     texts = pc.fill_null(texts, "")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, Workspace, let, word_count
+from .shared import WORD, Workspace, let, spread, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
@@ -70,7 +70,8 @@ def mixing_plan(docs: DataFrame, seed: int = 42, weights: tuple = WEIGHTS, id_co
     """doc_id, size, source_size, target, taken, and how: passes (times the whole document is taken), first_word (of the
     document in its shard's line of words), shard_words, extra (blocks taken once more), block."""
     ws = Workspace(docs.sparkSession)
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)).alias("draw"))
+    narrow = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("whole")), "doc_id")
+    sized = narrow.select("doc_id", "source", word_count(F.col("whole")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "whole").alias("draw"))
     sized = ws.save(sized, "sizes")
     sources = ws.save(_capped_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, SHARE, MOST), "sources")
     n_shards = F.least(F.lit(MAX_SHARDS), F.ceil(F.col("n_docs") / SHARD_DOCS)).cast("long")

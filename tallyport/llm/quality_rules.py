@@ -17,7 +17,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, Workspace, let
+from .shared import SPACES, Workspace, let, spread
 
 #: The commonest function words of each language that has a reference.
 COMMON_WORDS = {
@@ -68,6 +68,7 @@ def _common(words: Column, listed: list[str]) -> Column:
 def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row of counts a document, from one pass over the text."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("t0"))
+    df = spread(df, "doc_id")
     out = {}
     for k, (name, pattern) in enumerate(CLASSES.items()):
         df = df.withColumn(f"t{k + 1}", F.regexp_replace(f"t{k}", pattern, ""))
@@ -107,7 +108,7 @@ def js_distance(p: list[Column], q: list[Column]) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: part(x, y) + part(y, x)), F.lit(0.0), lambda s, x: s + x)
 
     hist = lambda cols: F.array(*[c.cast("double") for c in cols])
-    return F.sqrt(F.greatest(joined(shares(hist(p)), shares(hist(q))) / 2, F.lit(0.0)))
+    return let(joined(shares(hist(p)), shares(hist(q))) / 2, lambda d: F.sqrt(F.when(d < 0, F.lit(0.0)).otherwise(d)))
 
 
 def quality_rules(

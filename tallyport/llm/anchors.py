@@ -7,7 +7,8 @@ each window is in one. So windows need to be compared only among super-windows w
 - an anchor k-mer seen once: none of its windows is repeated;
 - super-windows with equal content: all their windows are repeated;
 - others of a k-mer seen again: their contents meet in one task, one of each distinct content, where all their suffixes are
-  sorted by the fingerprint of their first W symbols and neighbours are compared symbol by symbol.
+  sorted by the fingerprint of their first W symbols and neighbours are compared symbol by symbol. Where a k-mer has very
+  many contents (a common line in many surroundings), its windows are counted by fingerprint over all tasks instead.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ BASE = STEPS[4]
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 PLACE_BITS = 25
 SEGMENT, BUFFER = 1 << 23, 1 << 20
+#: Anchor k-mers with more different contents than this have their windows told apart by a distributed aggregate.
+MANY = 8192
 ROW = "h long, sig long, rid long, first long, windows int, anchor int"
 
 
@@ -288,7 +291,8 @@ def repeated_spans(rows: DataFrame, texts: DataFrame, kind, ws: Workspace, name:
     contents = again.groupBy("h", "sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first", "windows")).alias("one"))
     contents = ws.save(contents, f"{name}-contents")
     mixed = contents.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
-    mixed = ws.save(mixed.select("h"), f"{name}-mixed")
+    mixed = ws.save(mixed.select("h", (F.col("kinds") > MANY).alias("many")), f"{name}-mixed")
+    crowded = bool(mixed.where("many").head(1))
     ws.release()
     if solid_spans:
         solid = solid_spans(again, contents, kind, ws, name)
@@ -297,17 +301,55 @@ def repeated_spans(rows: DataFrame, texts: DataFrame, kind, ws: Workspace, name:
         solid = solid.select("rid", F.col("first").alias("lo"), (F.col("first") + F.col("windows") + kind.window - 1).alias("hi"))
     solid = ws.save(solid, f"{name}-solid")
     ws.release()
-    wanted = contents.join(mixed, "h", "left_semi").select("h", "n", "one.*")
-    wanted = ws.save(wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "first", "windows", "n")).alias("wanted")), f"{name}-wanted")
-    ws.release()
-    pieces = texts.join(wanted, "rid").mapInArrow(_contents(kind), "h long, rid long, first long, windows int, n long, content binary")
-    found = pieces.repartition("h").sortWithinPartitions("h").mapInArrow(_matches(kind), "rid long, lo long, hi long")
+    schema = "h long, rid long, first long, windows int, n long, content binary"
+
+    def pieces(many: bool) -> DataFrame:
+        wanted = contents.join(mixed.where("many" if many else "not many").select("h"), "h", "left_semi").select("h", "n", "one.*")
+        wanted = ws.save(wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "first", "windows", "n")).alias("wanted")), f"{name}-wanted-{int(many)}")
+        ws.release()
+        return texts.join(wanted, "rid").mapInArrow(_contents(kind), schema)
+
+    found = pieces(False).repartition("h").sortWithinPartitions("h").mapInArrow(_matches(kind), "rid long, lo long, hi long")
     found = ws.save(found, f"{name}-found")
-    ws.drop(*[f"{name}-{x}" for x in ("seen", "again", "contents", "mixed", "wanted")])
+    if crowded:
+        # windows of crowded anchors: equal where 128 bits of fingerprint are; no task holds an anchor's contents
+        windows = ws.save(pieces(True).mapInArrow(_window_rows(kind), "f long, g long, rid long, lo long, n long"), f"{name}-windows")
+        again_too = ws.save(windows.groupBy("f", "g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("f", "g"), f"{name}-window-counts")
+        hit = windows.where("n = 1").join(again_too, ["f", "g"], "left_semi").select("rid", "lo", (F.col("lo") + kind.window).alias("hi"))
+        found = found.unionByName(ws.save(hit, f"{name}-found-too"))
+        ws.drop(f"{name}-windows", f"{name}-window-counts")
+    ws.drop(*[f"{name}-{x}" for x in ("seen", "again", "contents", "mixed", "wanted-0", "wanted-1")])
     ws.release()
     return solid.unionByName(found)
 
 
+def _window_rows(kind):
+    """(f, g, rid, lo, n): two fingerprints of each window of a content, g independent of f."""
+
+    def run(batches):
+        for batch in batches:
+            count = batch.column("windows").to_numpy().astype(np.int64)
+            column = batch.column("content")
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            symbols = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind.symbol)
+            begins = (offsets[:-1] - offsets[0]) // np.dtype(kind.symbol).itemsize
+            ends = np.cumsum(count)
+            for a in range(0, len(count), 2048):
+                part = slice(a, a + 2048)
+                row = np.repeat(np.arange(len(count))[part], count[part])
+                j = np.arange(len(row)) - np.repeat((ends - count)[part] - (ends - count)[a], count[part])
+                lo = int(begins[a])
+                hi = int(begins[min(a + 2048, len(count)) - 1] + count[min(a + 2048, len(count)) - 1] + kind.window - 1)
+                grams, at = kind.grams(symbols[lo:hi]), begins[row] + j - lo
+                f = _range_hashes(kind, grams, at, kind.window)
+                g = _range_hashes(kind, mix(grams ^ STEPS[11]), at, kind.window)
+                taken = pa.array(row)
+                columns = [pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), batch.column("rid").take(taken), pa.array(batch.column("first").to_numpy()[row] + j), batch.column("n").take(taken)]
+                yield pa.RecordBatch.from_arrays(columns, names=["f", "g", "rid", "lo", "n"])
+
+    return run
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of overlapping or touching spans."""
     out: list[list[int]] = []

@@ -375,8 +375,9 @@ def plain_spans(sequences, window):
         yield np.cumsum(covered)[:-1] > 0
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_substring_dedup(docs, batches):
+@pytest.mark.parametrize(("batches", "many"), [(1, anchors.MANY), (3, 2), (2, 0)])
+def test_substring_dedup(docs, monkeypatch, batches, many):
+    monkeypatch.setattr(anchors, "MANY", many)
     rows = [(i, t.encode()) for i, t in pairs(docs)]
     want = Counter()
     for (i, b), gone in zip(rows, plain_spans([b for _, b in rows], 200), strict=True):
@@ -402,7 +403,9 @@ def test_levels_merge_geometrically(spark, texts):
     assert sizes == [[0], [1], [1, 0], [2]]
 
 
-def test_word_spans(docs):
+@pytest.mark.parametrize("many", [anchors.MANY, 2])
+def test_word_spans(docs, monkeypatch, many):
+    monkeypatch.setattr(anchors, "MANY", many)
     rows = [(i, t.encode().split()) for i, t in pairs(docs)]
     want = Counter()
     for (i, w), gone in zip(rows, plain_spans([w for _, w in rows], 35), strict=True):

@@ -105,3 +105,8 @@ def retained(log: DataFrame, now: Column, days: int = KEPT_DAYS) -> DataFrame:
     """The log without metrics older than so many days."""
     old = F.col("event_type").isin("cdc_metrics") & (F.col("created_at") < now - F.make_dt_interval(F.lit(days)))
     return log.where(~old)
+
+
+def chart_maxima(history: DataFrame, columns: list[str]) -> DataFrame:
+    """Upper ends of chart axes: the largest value of each column, 1 at least."""
+    return history.agg(*[F.greatest(F.lit(1), F.coalesce(F.max(c), F.lit(1))).alias(c) for c in columns])

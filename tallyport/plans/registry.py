@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canonical as canon
+from ..functions.text import compact_number, duration_text
 from ..functions.xid import key_suffix, xid_key
 from ..operators import changelog, compare, merge, metrics, precheck, repair
 from ..operators.control import runtime_label
@@ -208,6 +209,14 @@ def snapshot_then_replay(spark, sf_dir):
     return replay.hand_over(first, ops, ["k"], changelog.ORDER, 2000)
 
 
+@query(f"""WITH {fx.LOG_SQL}, part AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY commit_pos DESC, (kind = 'xa_commit') DESC, pos DESC) AS r FROM vis WHERE commit_pos <= 6000)
+SELECT k, v FROM part WHERE r = 1 AND op <> 'delete'""")
+def onboard_table(spark, sf_dir):
+    ops = _visible(spark, sf_dir)
+    first = changelog.latest_state(changelog.between(ops, stop=3000), ["k"], changelog.ORDER).select("k", "v")
+    return replay.onboard(first, ops, ["k"], changelog.ORDER, 2500, 6000)
+
+
 @query(f"WITH {fx.LOG_SQL} SELECT k, v FROM ranked WHERE rn = 1 AND op <> 'delete'")
 def apply_log(spark, sf_dir):
     ops = _visible(spark, sf_dir)
@@ -410,6 +419,19 @@ def metrics_retention(spark, sf_dir):
     return metrics.retained(log.join(F.broadcast(now)), F.col("now"), 7).select("id", "event_type")
 
 
+@query(f"WITH {fx.METRICS_SQL} SELECT CAST(greatest(1, max(k)) AS BIGINT) AS total_rows, greatest(1.0, max(rps)) AS rows_per_second FROM n WHERE cdc")
+def chart_maxima(spark, sf_dir):
+    rows = metrics.with_detail(fx.metrics_log(spark, sf_dir).where("event_type = 'cdc_metrics'"))
+    return metrics.chart_maxima(rows, ["total_rows", "rows_per_second"])
+
+
+@query("""SELECT o_orderkey, CASE WHEN s < 60 THEN s || ' s' WHEN s < 3600 THEN (s // 60) || ' min ' || (s % 60) || ' s' WHEN s < 86400 THEN (s // 3600) || ' h ' || (s % 3600 // 60) || ' min'
+ELSE (s // 86400) || ' d ' || (s % 86400 // 3600) || ' h' END AS duration, CASE WHEN n >= 1000000 THEN printf('%.1f', n / 1000000.0) || 'm' WHEN n >= 1000 THEN printf('%.1f', n / 1000.0) || 'k' ELSE CAST(n AS VARCHAR) END AS number
+FROM (SELECT o_orderkey, o_orderkey * 37 AS s, o_orderkey * 1000 + 64 AS n FROM orders)""")
+def shown_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", duration_text(F.col("o_orderkey") * 37).alias("duration"), compact_number(F.col("o_orderkey") * 1000 + 64).alias("number"))
+
+
 # --- checks -------------------------------------------------------------------------------------------------------------
 
 

@@ -71,6 +71,24 @@ def hand_over(snapshot: DataFrame, ops: DataFrame, key: list[str], order: list[s
     return upsert(delete(snapshot, last.where(F.col("op") == "delete"), key), live, key)
 
 
+def onboard(snapshot: DataFrame, ops: DataFrame, key: list[str], order: list[str], start, target) -> DataFrame:
+    """A new table brought to the main stream's position: its snapshot and the operations in (start, target]. From target on the
+    main stream carries it with the others."""
+    return hand_over(snapshot, ops.where(F.col(order[0]) <= target), key, order, start)
+
+
+def resume_position(stored: tuple | None, oldest: tuple, newest: tuple, reset: bool = False) -> tuple:
+    """Where a stream goes on: its stored position, the newest for a first start. A stored position that the log has lost is an
+    error; with reset the stream starts anew at the newest and the gap is lost."""
+    if stored is None:
+        return newest
+    if oldest <= stored <= newest:
+        return stored
+    if not reset:
+        raise ValueError(f"position {stored} is not in the log, which holds {oldest} to {newest}")
+    return newest
+
+
 class _Piece(InputPartition):
     def __init__(self, file: str, low: int, high: int):
         self.file, self.low, self.high = file, low, high

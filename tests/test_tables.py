@@ -199,3 +199,45 @@ def test_supervisor():
     assert s.running() == ["a"]
     s.pause("a")
     s.start("a", Query)
+
+
+def test_jobs_run_once_and_cancel(spark):
+    import threading
+    import time
+
+    from tallyport.operators.jobs import CANCELED, FAILED, SUCCESS, Jobs
+
+    jobs, go = Jobs(spark), threading.Event()
+    held = jobs.start(1, "compare", lambda: go.wait(20))
+    with pytest.raises(RuntimeError):
+        jobs.start(1, "repair", lambda: None)
+    go.set()
+    held.thread.join()
+    done = jobs.start(1, "compare", lambda: spark.range(10).count())
+    done.thread.join()
+    assert (done.status, done.result) == (SUCCESS, 10)
+    bad = jobs.start(2, "compare", lambda: 1 / 0)
+    bad.thread.join()
+    assert bad.status == FAILED and "division" in bad.message
+    slow = jobs.start(3, "compare", lambda: spark.range(0, 10**13, 1, 4).selectExpr("sum(hash(id) % 7)").collect())
+    time.sleep(3)
+    jobs.cancel(slow)
+    slow.thread.join(60)
+    assert slow.status == CANCELED and jobs.newest(1, 1) == [done]
+
+
+def test_resume_position():
+    oldest, newest = ("log.000002", 4), ("log.000009", 70)
+    assert replay.resume_position(None, oldest, newest) == newest
+    assert replay.resume_position(("log.000003", 1), oldest, newest) == ("log.000003", 1)
+    with pytest.raises(ValueError):
+        replay.resume_position(("log.000001", 9), oldest, newest)
+    assert replay.resume_position(("log.000001", 9), oldest, newest, reset=True) == newest
+
+
+def test_shown_text(spark):
+    from tallyport.functions.text import compact_number, duration_text
+
+    df = spark.createDataFrame([(None,), (-5,), (0,), (59,), (60,), (3661,), (90000,)], "s long")
+    assert [r[0] for r in df.select(duration_text(F.col("s"))).collect()] == ["0 s", "0 s", "0 s", "59 s", "1 min 0 s", "1 h 1 min", "1 d 1 h"]
+    assert [r[0] for r in spark.createDataFrame([(999,), (1000,), (2500000,)], "n long").select(compact_number(F.col("n"))).collect()] == ["999", "1.0k", "2.5m"]

@@ -106,6 +106,13 @@ def test_shard_bounds_cover(spark, sf_dir, shards):
         assert scan.key_range(orders, "o_orderkey", r.low, r.high).count() == r.n
 
 
+def test_shard_bounds_of_texts(spark):
+    rows = spark.range(500).selectExpr("concat('k', lpad(cast(id * 7919 % 500 as string), 4, '0')) AS k")
+    got = scan.shard_bounds(rows, "k", 4).orderBy("shard").collect()
+    assert [r.high for r in got] == ["k0125", "k0250", "k0375", None] and [r.n for r in got] == [126, 125, 125, 124]
+    assert sum(r.n or 0 for r in scan.shard_bounds(rows.limit(0), "k", 4).collect()) == 0
+
+
 def test_filters_reach_the_scan(spark, sf_dir):
     df = scan.key_range(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", 10, 20).select("o_orderkey", "o_totalprice")
     plan = df._jdf.queryExecution().executedPlan().toString()

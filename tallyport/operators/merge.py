@@ -74,21 +74,27 @@ class VersionedTable:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _done(self) -> tuple[int, str]:
+        fs, p = self._fs(f"{self.path}/done")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return max(((int(n.partition("-")[0]), n.partition("-")[2]) for n in names), default=(0, ""))
+
     def version(self) -> int:
         """Highest version that is complete; 0 before the first."""
-        fs, p = self._fs(f"{self.path}/done")
-        if not fs.exists(p):
-            return 0
-        return max((int(s.getPath().getName()) for s in fs.listStatus(p)), default=0)
+        return self._done()[0]
+
+    def tag(self) -> str:
+        """What the current version was published with."""
+        return self._done()[1]
 
     def read(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{version or self.version()}")
 
-    def publish(self, rows: DataFrame) -> int:
-        """Write the next version, then mark it done. A failed write leaves the current version as it is."""
+    def publish(self, rows: DataFrame, tag: str = "") -> int:
+        """Write the next version, then mark it done, with its tag, in one step. A failed write leaves the current version as it is."""
         k = self.version() + 1
         rows.write.mode("overwrite").parquet(f"{self.path}/v{k}")
-        fs, p = self._fs(f"{self.path}/done/{k}")
+        fs, p = self._fs(f"{self.path}/done/{k}-{tag}" if tag else f"{self.path}/done/{k}")
         fs.create(p, True).close()
         return k
 

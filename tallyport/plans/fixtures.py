@@ -82,6 +82,24 @@ def outcomes(tx: DataFrame) -> DataFrame:
     return ended.select(xid_key(name).alias("xid"), F.when(commit, "commit").otherwise("rollback").alias("action"), (F.col("last_pos") + F.when(commit, 50).otherwise(20)).alias("pos"))
 
 
+def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as it is written: operations, commits, prepares and outcomes, each at its place."""
+    ops = log(spark, sf_dir)
+    tx = transactions(ops)
+    null = F.lit(None)
+    end = F.concat(F.lit("xa_"), F.col("action"))
+    parts = [
+        ops.select("pos", F.lit("op").alias("event"), "txn", null.cast("string").alias("xid"), "op", "k", "v"),
+        commits(tx).select(F.col("commit_pos").alias("pos"), F.lit("commit").alias("event"), "txn"),
+        prepares(tx).select("pos", F.lit("prepare").alias("event"), "txn", "xid"),
+        outcomes(tx).select("pos", end.alias("event"), "xid"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 METRICS_SQL = """m AS (SELECT event_id AS id, ts AS created_at, user_id % 5 + 1 AS task_id, value AS rps,
        CASE event_type WHEN 'signup' THEN 'snapshot_completed' WHEN 'view' THEN 'table_snapshot_completed' WHEN 'error' THEN 'task_paused' ELSE 'cdc_metrics' END AS event_type,
        CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),

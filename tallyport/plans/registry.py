@@ -13,7 +13,7 @@ from ..functions.xid import key_suffix, xid_key
 from ..operators import changelog, compare, merge, metrics, precheck, repair
 from ..operators.control import runtime_label
 from ..operators.mapping import TableMapping
-from ..session import table
+from ..session import table, work_folder
 from ..sources import adhoc, scan, snapshot
 from ..streaming import replay
 from . import fixtures as fx
@@ -217,6 +217,17 @@ def onboard_table(spark, sf_dir):
     return replay.onboard(first, ops, ["k"], changelog.ORDER, 2500, 6000)
 
 
+@query(f"WITH {fx.LOG_SQL} SELECT k, v FROM ranked WHERE rn = 1 AND op <> 'delete'")
+def changelog_stream_state(spark, sf_dir):
+    """The raw log in three micro-batches, the second run twice, with open transactions carried between them."""
+    job = replay.TransactionalReplay(spark, work_folder(spark), ["k"], "k long, v double")
+    raw = fx.raw_log(spark, sf_dir)
+    low, high = F.col("pos") > 3000, F.col("pos") > 7000
+    for number, part in ((0, ~low), (1, low & ~high), (1, low & ~high), (2, high)):
+        job.batch(raw.where(part), number)
+    return job.state()
+
+
 @query(f"WITH {fx.LOG_SQL} SELECT k, v FROM ranked WHERE rn = 1 AND op <> 'delete'")
 def apply_log(spark, sf_dir):
     ops = _visible(spark, sf_dir)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from ..operators.changelog import ORDER, latest_state
+from ..operators.changelog import ORDER, latest_state, orphans, resolve_prepared, visible
 from ..operators.merge import VersionedTable, delete, upsert
 
 
@@ -62,6 +62,48 @@ class Replay:
         return self.table.read().where(~F.coalesce(F.col("_gone"), F.lit(False))).drop("_at", "_gone")
 
 
+#: Events of a raw log: an operation, the end of its transaction, a prepared transaction and its outcome.
+EVENTS = ("op", "commit", "prepare", "xa_commit", "xa_rollback")
+
+
+class TransactionalReplay(Replay):
+    """Replay of a raw log: rows have (pos, event, txn, xid, op) besides the values; see EVENTS.
+
+    A micro-batch is joined with what earlier ones left open. Transactions that have ended take effect at the place of
+    their commit; open and prepared ones are carried in a table of their own, published after the target and tagged with the
+    batch's number. A batch that is run again is either known by that tag or finds the open rows that it found before, and
+    the target takes nothing twice. A commit of a prepared transaction
+    that nobody has prepared is an error, or is set aside with on_orphan="keep".
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], columns: str, on_orphan: str = "fail"):
+        super().__init__(spark, f"{path}/rows", key, columns)
+        self.open, self.aside, self.on_orphan = VersionedTable(spark, f"{path}/open"), VersionedTable(spark, f"{path}/aside"), on_orphan
+
+    def batch(self, log: DataFrame, number: int) -> None:
+        if self.open.tag() == str(number):
+            return
+        rows = self.open.read().unionByName(log).dropDuplicates(["pos", "event"]) if self.open.version() else log
+        rows = rows.persist()
+        try:
+            ends, prepared = rows.where("event = 'commit'"), rows.where("event = 'prepare'").select("txn", "xid", "pos")
+            outcomes = rows.where("event in ('xa_commit', 'xa_rollback')").select("xid", F.replace("event", F.lit("xa_"), F.lit("")).alias("action"), "pos")
+            lost = orphans(prepared, outcomes)
+            if lost.head(1):
+                if self.on_orphan == "fail":
+                    raise ValueError(f"commit of a transaction that was not prepared: {lost.head(1)[0].asDict()}")
+                self.aside.publish(self.aside.read().unionByName(lost).distinct() if self.aside.version() else lost)
+            found = resolve_prepared(prepared, outcomes)
+            ended = ends.select("txn", F.col("pos").alias("commit_pos"), F.lit(False).alias("prepared")).unionByName(found.select("txn", "commit_pos", F.lit(True).alias("prepared")))
+            ops = visible(rows.where("event = 'op'").drop("event", "xid"), ended)
+            super().batch(ops, number)
+            done = ends.select("txn").union(found.where("outcome <> 'pending'").select("txn"))
+            left = rows.where("event in ('op', 'prepare')").join(done, "txn", "left_anti")
+            self.open.publish(left.select(*log.columns), str(number))
+        finally:
+            rows.unpersist()
+
+
 def hand_over(snapshot: DataFrame, ops: DataFrame, key: list[str], order: list[str], start) -> DataFrame:
     """Snapshot, then all operations behind the position that was taken before it. Operations that the snapshot has already
     seen are written again with the same result."""

@@ -168,6 +168,51 @@ def test_stream_equals_fold(spark, tmp_path):
     assert job.table.version() == version + 1 and rows(job.state(), "k") == rows(want, "k")
 
 
+RAW = "pos long, event string, txn long, xid string, op string, k long, v double"
+
+
+def raw_log():
+    """Interleaved transactions: txn 1 plain, 2 prepared and committed late, 3 rolled back, 4 left open, 5 plain, 6 pending."""
+    out, pos = [], 0
+    for txn in [1, 2, 1, 3, 2, 4, 5, 2, 5, 6, 4, 6]:
+        pos += 1
+        out.append((pos, "op", txn, None, "delete" if pos % 5 == 0 else "update", pos % 4, float(pos)))
+        for at, row in {3: ("commit", 1, None), 8: ("prepare", 2, "1:61:"), 4: ("prepare", 3, "1:62:"), 9: ("commit", 5, None), 12: ("prepare", 6, "1:63:")}.items():
+            if pos == at:
+                out.append((pos * 10 + 1000, *row, None, None, None))
+    out = [(i, *r[1:]) for i, r in enumerate(out)]
+    n = len(out)
+    return out + [(n, "xa_rollback", None, "1:62:", None, None, None), (n + 1, "xa_commit", None, "1:61:", None, None, None)]
+
+
+@pytest.mark.parametrize("size", [3, 7, 100])
+def test_transactional_stream(spark, tmp_path, size):
+    log = raw_log()
+    job = replay.TransactionalReplay(spark, str(tmp_path / "t"), ["k"], "k long, v double")
+    for at in range(0, len(log), size):
+        part = spark.createDataFrame(log[at : at + size], RAW)
+        job.batch(part, at)
+        job.batch(part, at)  # once more, as after a failure
+    ends = {r[2]: r[0] for r in log if r[1] == "commit"} | {2: log[-1][0]}
+    ops = sorted(((ends[r[2]], r[2] == 2, r[0]), r) for r in log if r[1] == "op" and r[2] in ends)
+    state = {}
+    for _, r in ops:
+        state.pop(r[5], None)
+        if r[4] != "delete":
+            state[r[5]] = r[6]
+    assert rows(job.state(), "k") == sorted(state.items())
+    assert {r.txn for r in job.open.read().collect()} == {4, 6}
+
+
+def test_orphan_commit(spark, tmp_path):
+    part = spark.createDataFrame([(1, "xa_commit", None, "1:99:", None, None, None)], RAW)
+    with pytest.raises(ValueError):
+        replay.TransactionalReplay(spark, str(tmp_path / "a"), ["k"], "k long, v double").batch(part, 0)
+    kept = replay.TransactionalReplay(spark, str(tmp_path / "b"), ["k"], "k long, v double", on_orphan="keep")
+    kept.batch(part, 0)
+    assert kept.aside.read().count() == 1
+
+
 def test_windowed_history_stream(spark, tmp_path):
     schema = "id long, created_at timestamp, task_id long, event_type string, detail string"
     spark.createDataFrame([(i, datetime(2024, 1, 1, 0, i // 2), 1, "cdc_metrics", json.dumps({"delay_seconds": i, "total_rows": 1})) for i in range(6)], schema).write.parquet(str(tmp_path / "log"))

@@ -29,9 +29,9 @@ from .shared import groups, text_column
 from .word_bpe import WordIds, default_path, ids_of, word_ids
 
 WINDOW, END_ID = 2048, 1
-SENTENCE_PENALTY, GRID_PENALTY, PIECE_PENALTY = 2, 16, 4
+SENTENCE_PENALTY, GRID_PENALTY, PIECE_PENALTY = 1, 6, 4
 #: At most one sentence end in so many tokens is a cut place; without any in GAP tokens, each GRID tokens are one.
-CELL, GAP, GRID = 16, 64, 32
+CELL, GAP, GRID = 16, 24, 16
 CHUNK = 2_000_000
 
 

@@ -6,8 +6,8 @@ different classes stand before a gram. Shards by context join each gram's count
 of grams seen once, twice and more, which give discounted shares and back-off weights.
 
 The alphabet bounds these tables (64**4 grams at most, some hundred thousand in practice), so they are broadcast, and each
-task unfolds them to log probabilities of all grams; a document's perplexity is then a look-up a character. (A join
-of each document's grams against the shards gives the same numbers and would shuffle more than the whole corpus.)
+task unfolds them to log probabilities of all grams; a document's perplexity is then a look-up a character. bits_by_joins()
+gives the same numbers by joining each document's grams with the shards, which shuffles more than the whole corpus.
 
 A document is rejected where its bits per character lie outside its language's quantiles of trusted documents that
 were not trained on, widened by a margin that shrinks with length and with the number of those documents, thrice as wide below: above for noise, below for endless repetition.
@@ -151,6 +151,35 @@ def _score(shared):
     return run
 
 
+def _document_grams(batches):
+    """(key, gram, c) of each text; key is a number of the row."""
+    table = class_table()
+    for batch in batches:
+        texts = pc.fill_null(batch.column("text"), "")
+        for lo, hi in groups(texts, 4_000_000):
+            gram, n = grams(texts.slice(lo, hi - lo), table)
+            owner = np.repeat(np.arange(hi - lo, dtype=np.int64), n)
+            pair, c = np.unique(owner << (BITS * ORDER) | gram.astype(np.int64), return_counts=True)
+            key = batch.column("key").take(pa.array(lo + (pair >> (BITS * ORDER))))
+            yield pa.RecordBatch.from_arrays([key, pa.array(pair & ((1 << BITS * ORDER) - 1)), pa.array(c)], names=["key", "gram", "c"])
+
+
+def bits_by_joins(texts: DataFrame, tables: list[tuple[DataFrame, DataFrame]], ws: Workspace) -> DataFrame:
+    """(key, bits, n_chars) of texts (key, text) with a character at least, by joins alone: the same numbers as by look-up.
+
+    Each gram that occurs is joined with the shards of its share and back-off of every order, and the documents' counts with the
+    result. For alphabets too large to broadcast; it shuffles a row for each distinct gram of each document.
+    """
+    counts = ws.save(texts.select("key", "text").mapInArrow(_document_grams, f"key {dict(texts.dtypes)['key']}, gram long, c long"), "document-grams")
+    p = counts.select("gram").distinct().withColumn("p", F.lit(1 / CLASSES))
+    for order, (shares, backoff) in enumerate(tables, 1):
+        p = p.withColumn("own", F.col("gram").bitwiseAND(F.lit((1 << BITS * order) - 1))).withColumn("behind", F.shiftright("own", BITS))
+        p = p.join(shares.select(F.col("gram").alias("own"), "share"), "own", "left").join(backoff.select(F.col("context").alias("behind"), "backoff"), "behind", "left")
+        p = p.select("gram", (F.coalesce("share", F.lit(0.0)) + F.coalesce("backoff", F.lit(1.0)) * F.col("p")).alias("p"))
+    p = ws.save(p.select("gram", F.log2(F.greatest("p", F.lit(1e-12))).alias("b")), "gram-bits")
+    return counts.join(p, "gram").groupBy("key").agg((-F.sum(F.col("c") * F.col("b")) / F.sum("c")).alias("bits"), F.sum("c").alias("n_chars"))
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """(doc_id, fold) of documents with a label of quality 1."""
     ids = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()

@@ -229,6 +229,23 @@ def test_kneser_ney_equals_the_definition(spark, texts):
     assert np.exp2(dense.reshape(-1, 64).astype(float)).sum(axis=1) == pytest.approx(1, abs=1e-3)
 
 
+def test_joins_give_the_same_perplexity(spark, texts):
+    import pyarrow as pa
+
+    from tallyport.llm.shared import Workspace
+
+    ws = Workspace(spark)
+    trusted = spark.createDataFrame([(t,) for t in texts[:30] if t], "text string")
+    tables = kneser_ney.kneser_ney_tables(trusted, ws)
+    dense, table = kneser_ney.trained(trusted, Workspace(spark)).dense(), kneser_ney.class_table()
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    got = {r.key: r for r in kneser_ney.bits_by_joins(rows, tables, ws).collect()}
+    assert set(got) == {i for i, t in enumerate(texts) if t}
+    for i, r in got.items():
+        gram, n = kneser_ney.grams(pa.array([texts[i]]), table)
+        assert r.n_chars == n[0] and r.bits == pytest.approx(-dense[gram].mean(dtype=np.float64), abs=1e-3)
+
+
 def test_quality_classifier(docs, labels, spark):
     got = kneser_ney.quality_classifier(docs, labels).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in pairs(docs))

@@ -72,7 +72,7 @@ def _count(batches):
     table = class_table()
     for batch in batches:
         texts = pc.fill_null(batch.column("text"), "")
-        for lo, hi in groups(texts, 4_000_000):
+        for lo, hi in groups(texts, 1_000_000):
             gram, n = np.unique(grams(texts.slice(lo, hi - lo), table)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(n)], names=["gram", "c"])
 
@@ -113,15 +113,18 @@ class Model:
         self.levels = levels
 
     def dense(self) -> np.ndarray:
-        p = np.full(1, 1 / CLASSES, np.float32)
+        """In place: the table of an order is the only array of its size."""
+        lower = np.full(1, 1 / CLASSES, np.float32)
         for order, ((gram, share), (context, backoff)) in enumerate(self.levels, 1):
             weight = np.ones(CLASSES ** (order - 1), np.float32)
             weight[context] = backoff
-            lower = np.tile(p, CLASSES) if order > 1 else np.repeat(p, CLASSES)
-            p = np.repeat(weight, CLASSES)
-            p *= lower
+            p = np.empty(CLASSES**order, np.float32)
+            p.reshape(-1, len(lower))[:] = lower
+            p.reshape(-1, CLASSES)[:] *= weight[:, None]
             p[gram] += share.astype(np.float32)
-        return np.log2(np.maximum(p, 1e-12, out=p), out=p)
+            lower = p
+        np.maximum(lower, 1e-12, out=lower)
+        return np.log2(lower, out=lower)
 
 
 def trained(texts: DataFrame, ws: Workspace) -> Model | None:
@@ -140,7 +143,7 @@ def _score(shared):
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             bits, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for lo, hi in groups(texts, 4_000_000):
+            for lo, hi in groups(texts, 1_000_000):
                 gram, n = grams(texts.slice(lo, hi - lo), table)
                 total = np.concatenate([[0.0], np.cumsum(dense[gram], dtype=np.float64)])
                 ends = np.cumsum(n)
@@ -156,7 +159,7 @@ def _document_grams(batches):
     table = class_table()
     for batch in batches:
         texts = pc.fill_null(batch.column("text"), "")
-        for lo, hi in groups(texts, 4_000_000):
+        for lo, hi in groups(texts, 1_000_000):
             gram, n = grams(texts.slice(lo, hi - lo), table)
             owner = np.repeat(np.arange(hi - lo, dtype=np.int64), n)
             pair, c = np.unique(owner << (BITS * ORDER) | gram.astype(np.int64), return_counts=True)

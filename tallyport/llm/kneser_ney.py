@@ -1,20 +1,25 @@
-"""Quality classifier: interpolated modified Kneser-Ney model of character classes, trained on trusted text.
+"""Quality classifier: interpolated modified Kneser-Ney model of word trigrams, trained on trusted text.
 
-Characters fall into 64 classes (letters by case, digit, marks, blanks); grams are four classes. All trusted text is
-counted: each task sends the counts of its grams, and shards by gram add them up. Lower orders count how many
-different classes stand before a gram. Shards by context join each gram's count with its context's totals and numbers
-of grams seen once, twice and more, which give discounted shares and back-off weights.
+All trusted text is counted: shards by gram add up the trigrams of words that tasks send, lower orders count how many
+different words stand before a gram, and joins by context give discounted shares and back-off weights. These tables grow
+with the corpus and are never broadcast. What a word costs that no trusted text has is its spelling: a Kneser-Ney model of
+four character classes (64 of them, so its tables are bounded and broadcast), the last back-off of the word model.
 
-The alphabet bounds these tables (64**4 grams at most, some hundred thousand in practice), so they are broadcast, and each
-task unfolds them to log probabilities of all grams; a document's perplexity is then a look-up a character. bits_by_joins()
-gives the same numbers by joining each document's grams with the shards, which shuffles more than the whole corpus.
+A seen gram's share is kept as the difference it makes to the logarithm that lower orders alone would give, and a context's
+back-off weight as its logarithm. A document's bits are then its spelling's plus the sum over its own grams that the table
+holds: one join of each document's distinct grams with the table.
 
-A document is rejected where its bits per character lie outside its language's quantiles of trusted documents that
-were not trained on, widened by a margin that shrinks with length and with the number of those documents, thrice as wide below: above for noise, below for endless repetition.
+No text is scored by a model that has seen it: texts are halved by a hash of the text, so that equal texts stay together, and
+each is scored by the trusted texts of the other half. So all trusted documents are held out.
+
+A document is rejected where its bits per character lie above its language's quantile of trusted documents, or the bits of its
+spelling alone outside theirs, widened by a margin that shrinks with length and with the number of those documents, thrice as
+wide below: above for noise, below for endless repetition. Copies of trusted texts have few bits by their words whatever else
+stands between them, so few bits by words reject nothing, and spelling is judged by itself.
 
 Defined results: null and empty texts and those shorter than min_chars are judged by nothing but length: kept is false
 for texts without a word, else true; a null language is a language of its own; a language with fewer than least_docs
-held-out trusted documents uses the quantiles of all of them; without any trusted text all texts with a word are kept;
+trusted documents uses the quantiles of all of them; without any trusted text all texts with a word are kept;
 repeated rows are scored each by itself; repeated labels count as trusted if one does; other columns are left out; an
 empty table gives an empty table.
 """
@@ -22,6 +27,7 @@ empty table gives an empty table.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -31,7 +37,7 @@ from .shared import WORD, Workspace, groups, spread
 
 ORDER, BITS, START = 4, 6, 63
 CLASSES = 1 << BITS
-FOLDS, LOW, HIGH, MARGIN, MIN_CHARS, LEAST_DOCS = 10, 0.005, 0.995, 0.05, 100, 50
+LOW, HIGH, MARGIN, MIN_CHARS, LEAST_DOCS = 0.005, 0.995, 0.05, 100, 50
 
 
 def class_table() -> np.ndarray:
@@ -137,23 +143,198 @@ def trained(texts: DataFrame, ws: Workspace) -> Model | None:
     return Model(levels)
 
 
-def _score(shared):
+#: Hashes of the words that stand before and after a text, multipliers of hashes, and the bits of an end without the model.
+BEFORE, AFTER, STEP, END_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93), float(BITS)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one map of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words."""
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+
+
+def gram_hashes(model: np.ndarray, *words: np.ndarray) -> np.ndarray:
+    """Hash of a gram of one to three words in a model, as signed numbers."""
+    h = mixed(model.astype(np.uint64) * STEP + np.uint64(len(words)))
+    for w in words:
+        h = mixed(h * STEP + w)
+    return h.view(np.int64)
+
+
+def spelled(words: pa.Array, table: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """log2 probability of the spelling of each word, from the blank before it to the one after it."""
+    gram, n = grams(pc.binary_join_element_wise(" ", words, " ", ""), table)
+    total = np.concatenate([[0.0], np.cumsum(dense[gram], dtype=np.float64)])
+    ends = np.cumsum(n)
+    return total[ends] - total[ends - n + 1]
+
+
+def tokens(texts: pa.Array, table: np.ndarray | None = None, dense: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, log2 probability of its spelling, text it is of) of all texts in turn: BEFORE twice, its words, AFTER; without tables no spelling."""
+    lists = pc.ascii_split_whitespace(texts)
+    words = pc.list_flatten(lists)
+    owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    full = pc.greater(pc.binary_length(words), 0)
+    coded = words.filter(full).dictionary_encode()
+    owner = owner[full.to_numpy(zero_copy_only=False)]
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    n = np.bincount(owner, minlength=len(texts)) + 3
+    ends = np.cumsum(n)
+    word, bits = np.full(int(n.sum()), BEFORE, np.uint64), np.zeros(int(n.sum()))
+    word[ends - 1], bits[ends - 1] = AFTER, -END_BITS
+    at = np.arange(len(code)) + 3 * owner + 2
+    if len(code):
+        word[at] = word_hashes(coded.dictionary)[code]
+        if dense is not None:
+            bits[at] = spelled(coded.dictionary, table, dense)[code]
+    return word, bits, np.repeat(np.arange(len(texts)), n)
+
+
+def _trigrams(shared):
     def run(batches):
         table, dense = class_table(), shared.value.dense()
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
-            bits, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for lo, hi in groups(texts, 1_000_000):
-                gram, n = grams(texts.slice(lo, hi - lo), table)
+                word, bits, owner = tokens(texts.slice(lo, hi - lo), table, dense)
+                at = np.flatnonzero(owner[2:] == owner[:-2]) + 2
+                model = 1 - batch.column("half").slice(lo, hi - lo).to_numpy(zero_copy_only=False)[owner[at]]
+                _, first, c = np.unique(gram_hashes(model, word[at - 2], word[at - 1], word[at]), return_index=True, return_counts=True)
+                at, model = at[first], model[first]
+                columns = [pa.array(model), *[pa.array(word[at - k].view(np.int64)) for k in (2, 1, 0)], pa.array(bits[at].astype(np.float32)), pa.array(c)]
+                yield pa.RecordBatch.from_arrays(columns, names=["model", "u", "v", "w", "s", "c"])
+
+    return run
+
+
+def _hashed(*names):
+    """(gram, delta) of rows of a model's words."""
+
+    def run(batches):
+        for batch in batches:
+            model, *words = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("model", *names)]
+            yield pa.RecordBatch.from_arrays([pa.array(gram_hashes(model, *[w.view(np.uint64) for w in words])), batch.column("delta")], names=["gram", "delta"])
+
+    return run
+
+
+def word_tables(texts: DataFrame, shared, ws: Workspace) -> tuple[DataFrame, dict[int, float]]:
+    """((gram, delta) of trusted texts (text, half), log2 of the weight of spelling by model).
+
+    The deltas of a document's grams of one to three words, added to its spelling, give its log2 probability. A gram that is a
+    context too has two rows.
+    """
+    found = texts.mapInArrow(_trigrams(shared), "model long, u long, v long, w long, s float, c long")
+    level = ws.save(found.groupBy("model", "u", "v", "w").agg(F.max("s").alias("s"), F.sum("c").alias("c")), "words-3")
+    ws.release()
+    levels = [level]
+    for names in (("v", "w"), ("w",)):
+        level = ws.save(levels[0].groupBy("model", *names).agg(F.max("s").alias("s"), F.count(F.lit(1)).alias("c")), f"words-{len(names)}")
+        levels.insert(0, level)
+    out, lower, spelling = [], None, {}
+    for order, level in enumerate(levels, 1):
+        names = ("u", "v", "w")[3 - order :]
+        n = level.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
+        cut = discounts(n["n1"], n["n2"], n["n3"], n["n4"])
+        level = level.withColumn("taken", F.when(F.col("c") == 1, cut[0]).when(F.col("c") == 2, cut[1]).otherwise(cut[2]))
+        totals = level.groupBy("model", *names[:-1]).agg(F.sum("c").alias("total"), F.sum("taken").alias("left"))
+        totals = ws.save(totals.select("model", *names[:-1], "total", F.log2(F.col("left") / F.col("total")).alias("delta")), f"word-totals-{order}")
+        if order == 1:  # two rows at most
+            spelling = {r["model"]: r["delta"] for r in totals.collect()}
+            joined = level.join(F.broadcast(totals), "model").withColumn("below", F.col("s").cast("double"))
+        else:
+            out.append(totals.mapInArrow(_hashed(*names[:-1]), "gram long, delta double"))
+            joined = level.join(totals, ["model", *names[:-1]]).join(lower, ["model", *names[1:]])
+        below = F.col("delta") + F.col("below")
+        p = F.log2((F.col("c") - F.col("taken")) / F.col("total") + F.pow(F.lit(2.0), below))
+        level = ws.save(joined.select("model", *names, p.alias("p"), (p - below).alias("delta")), f"word-shares-{order}")
+        out.append(level.mapInArrow(_hashed(*names), "gram long, delta double"))
+        lower = level.select("model", *names, F.col("p").alias("below"))
+        ws.drop(f"words-{order}")
+    table = out[0]
+    for rows in out[1:]:
+        table = table.unionAll(rows)
+    table = ws.save(table, "word-model")
+    ws.release()
+    ws.drop(*[f"word-{kind}-{order}" for kind in ("totals", "shares") for order in (1, 2, 3)])
+    return table, spelling
+
+
+def _base(shared, spelling):
+    """Bits of each text by its spelling, without and with the weight that the word model leaves to spelling."""
+
+    def run(batches):
+        table, dense = class_table(), shared.value.dense()
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text"), "")
+            plain, base = np.zeros(len(texts)), np.zeros(len(texts))
+            for lo, hi in groups(texts, 1_000_000):
+                part = texts.slice(lo, hi - lo)
+                gram, n = grams(part, table)
                 total = np.concatenate([[0.0], np.cumsum(dense[gram], dtype=np.float64)])
                 ends = np.cumsum(n)
-                bits[lo:hi] = -(total[ends] - total[ends - n]) / np.maximum(n, 1)
-                size[lo:hi] = n
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("key", "lang", "has_word")], pa.array(bits), pa.array(size)], names=["key", "lang", "has_word", "bits", "n_chars"])
+                plain[lo:hi] = total[ends - n] - total[ends]
+                _, bits, owner = tokens(part, table, dense)
+                weight = np.array([spelling.get(k, 0.0) for k in (0, 1)])[batch.column("half").slice(lo, hi - lo).to_numpy(zero_copy_only=False)]
+                base[lo:hi] = -np.bincount(owner, bits, hi - lo) - weight * (np.bincount(owner, minlength=hi - lo) - 2)
+            columns = [batch.column(c) for c in ("key", "lang", "has_word", "content", "n_chars")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(plain), pa.array(base)], names=["key", "lang", "has_word", "content", "n_chars", "plain", "base"])
 
     return run
 
 
+def _word_grams(batches):
+    """(content, gram, c): each text's different grams of one to three words, contexts among them."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column("text"), "")
+        for lo, hi in groups(texts, 1_000_000):
+            word, _, owner = tokens(texts.slice(lo, hi - lo))
+            half = batch.column("half").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+            gram, of = [], []
+            for order in (1, 2, 3):
+                # a text's first BEFORE is in no gram by itself: the context of the first word is the second one
+                at = np.flatnonzero(owner[order - 1 :] == owner[: len(owner) - order + 1]) + order - 1
+                if order == 1:
+                    at = at[np.append(False, owner[1:] == owner[:-1])]
+                gram.append(gram_hashes(half[owner[at]], *[word[at - k] for k in range(order - 1, -1, -1)]))
+                of.append(owner[at])
+            gram, of = np.concatenate(gram), np.concatenate(of)
+            _, first, c = np.unique(mixed(of.astype(np.uint64) * STEP) ^ gram.view(np.uint64), return_index=True, return_counts=True)
+            first_order = np.argsort(of[first], kind="stable")
+            first, c = first[first_order], c[first_order]
+            content = batch.column("content").slice(lo, hi - lo).take(pa.array(of[first]))
+            yield pa.RecordBatch.from_arrays([content, pa.array(gram[first]), pa.array(c.astype(np.int32))], names=["content", "gram", "c"])
+
+
+def word_bits(seen: DataFrame, trusted: DataFrame, ws: Workspace) -> DataFrame | None:
+    """key, lang, has_word, n_chars, plain (spelling alone), bits of each of `seen`, by character; None without trusted text."""
+    model = trained(trusted.select("text"), ws)
+    if model is None:
+        return None
+    shared = seen.sparkSession.sparkContext.broadcast(model)
+    deltas, spelling = word_tables(trusted, shared, ws)
+    kind = dict(seen.dtypes)
+    base = seen.mapInArrow(_base(shared, spelling), f"key {kind['key']}, lang {kind['lang']}, has_word boolean, content long, n_chars long, plain double, base double")
+    base = ws.save(base, "base")
+    rows = seen.where("has_word").select("content", "text", "half").mapInArrow(_word_grams, "content long, gram long, c int")
+    gain = rows.join(deltas, "gram").groupBy("content").agg(F.sum(F.col("c") * F.col("delta")).alias("gain"))
+    gain = ws.save(gain, "gain")
+    ws.release()
+    ws.drop("word-model")
+    # equal texts are of one content, and each has sent its grams
+    copies = base.where("has_word").groupBy("content").agg(F.count(F.lit(1)).alias("copies"))
+    gain = gain.join(copies, "content").select("content", (F.col("gain") / F.col("copies")).alias("gain"))
+    size = F.greatest("n_chars", F.lit(1))
+    bits = (F.col("base") - F.coalesce("gain", F.lit(0.0))) / size
+    return base.join(gain, "content", "left").select("key", "lang", "has_word", "n_chars", (F.col("plain") / size).alias("plain"), bits.alias("bits"))
+
+
 def _document_grams(batches):
     """(key, gram, c) of each text; key is a number of the row."""
     table = class_table()
@@ -184,34 +365,32 @@ def bits_by_joins(texts: DataFrame, tables: list[tuple[DataFrame, DataFrame]], w
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """(doc_id, fold) of documents with a label of quality 1."""
-    ids = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return ids.withColumn("fold", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)))
+    """doc_id of documents with a label of quality 1."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, n_chars, bits_per_char, perplexity, low, high, kept of each document; trusted text: labels with quality 1."""
-    spark = docs.sparkSession
-    ws = Workspace(spark)
+    """doc_id, lang, n_chars, bits_per_char, perplexity, spelling_bits, low, spelling_high, high, kept of each document; trusted text: labels with quality 1."""
+    ws = Workspace(docs.sparkSession)
     text = F.col(text_col).cast("string")
     narrow = docs.select(F.col(id_col).alias("key"), F.col(lang_col).alias("lang"), text.alias("text"))
     trusted = ws.save(trusted_ids(labels), "trusted")
-    model = trained(spread(narrow.select("key", "text").join(trusted.where(F.col("fold") > 0), F.col("key") == F.col("doc_id"), "left_semi").select("key", "text"), "key").select("text"), ws)
+    content = F.xxhash64("text")
+    half = F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(2)).alias("half")
+    own = spread(narrow.select("key", "text").join(trusted, F.col("key") == F.col("doc_id"), "left_semi"), "key").select("text", half)
     has_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("has_word")
-    seen = spread(narrow, "key").select("key", "lang", "text", has_word)
-    kind = dict(narrow.dtypes)
-    if model is None:
-        scored = seen.select("key", "lang", "has_word", F.lit(0.0).alias("bits"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
-    else:
-        shared = spark.sparkContext.broadcast(model)
-        scored = seen.mapInArrow(_score(shared), f"key {kind['key']}, lang {kind['lang']}, has_word boolean, bits double, n_chars long")
+    n_chars = F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")
+    seen = spread(narrow, "key").select("key", "lang", "text", has_word, n_chars, content.alias("content"), half)
+    scored = word_bits(seen, own, ws)
+    if scored is None:
+        scored = seen.select("key", "lang", "has_word", "n_chars", F.lit(0.0).alias("plain"), F.lit(0.0).alias("bits"))
     scored = ws.save(scored, "scored")
     ws.release()
     slack = MARGIN * F.sqrt(F.lit(2000.0) / F.greatest("n_chars", F.lit(1)))
     judged = scored.where(F.col("n_chars") >= MIN_CHARS)
-    known = judged.join(trusted.where(F.col("fold") == 0), F.col("key") == F.col("doc_id"), "left_semi")
-    ends = [F.percentile_approx("bits", LOW, 10_000).alias("low"), F.percentile_approx("bits", HIGH, 10_000).alias("high"), F.count(F.lit(1)).alias("n")]
-    every = known.agg(*ends).select(F.col("low").alias("all_low"), F.col("high").alias("all_high"), F.col("n").alias("all_n"))
+    known = judged.join(trusted, F.col("key") == F.col("doc_id"), "left_semi")
+    ends = [F.percentile_approx("plain", LOW, 10_000).alias("low"), F.percentile_approx("plain", HIGH, 10_000).alias("most"), F.percentile_approx("bits", HIGH, 10_000).alias("high"), F.count(F.lit(1)).alias("n")]
+    every = known.agg(*ends).select(F.col("low").alias("all_low"), F.col("most").alias("all_most"), F.col("high").alias("all_high"), F.col("n").alias("all_n"))
     by_lang = ws.save(known.groupBy("lang").agg(*ends).where(F.col("n") >= LEAST_DOCS), "limits")
     # one row
     limits = every.first()
@@ -219,7 +398,11 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     few = slack * (1 + LEAST_DOCS / F.coalesce("n", F.lit(max(limits["all_n"], 1))))  # quantiles of few documents are uncertain
     low = F.coalesce("low", F.lit(limits["all_low"]).cast("double")) - 3 * few
     high = F.coalesce("high", F.lit(limits["all_high"]).cast("double")) + few
-    inside = F.coalesce((F.col("bits") >= F.col("low")) & (F.col("bits") <= F.col("high")), F.lit(True))
-    found = found.withColumns({"low": low, "high": high})
+    most = F.coalesce("most", F.lit(limits["all_most"]).cast("double")) + few
+    inside = F.coalesce(F.col("plain").between(F.col("low"), F.col("most")) & (F.col("bits") <= F.col("high")), F.lit(True))
+    found = found.withColumns({"low": low, "most": most, "high": high})
     kept = F.col("has_word") & ((F.col("n_chars") < MIN_CHARS) | inside)
-    return found.select(F.col("key").alias("doc_id"), "lang", "n_chars", F.col("bits").alias("bits_per_char"), F.pow(F.lit(2.0), "bits").alias("perplexity"), "low", "high", kept.alias("kept"))
+    return found.select(
+        F.col("key").alias("doc_id"), "lang", "n_chars", F.col("bits").alias("bits_per_char"), F.pow(F.lit(2.0), "bits").alias("perplexity"),
+        F.col("plain").alias("spelling_bits"), "low", F.col("most").alias("spelling_high"), "high", kept.alias("kept"),
+    )

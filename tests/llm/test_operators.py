@@ -246,6 +246,80 @@ def test_joins_give_the_same_perplexity(spark, texts):
         assert r.n_chars == n[0] and r.bits == pytest.approx(-dense[gram].mean(dtype=np.float64), abs=1e-3)
 
 
+def plain_word_bits(texts, trusted, spell):
+    """Bits of each text by trigrams of the trusted texts of the other half, straight from the definition; spell(word) is log2 of its spelling."""
+    half = lambda t: zlib.crc32(t.encode()) % 2
+    padded = lambda t: ["<", "<", *WORD.findall(t), ">"]
+    counts = [{0: Counter(), 1: Counter()} for _ in range(4)]
+    for t in trusted:
+        w = padded(t)
+        for i in range(2, len(w)):
+            counts[3][1 - half(t)][tuple(w[i - 2 : i + 1])] += 1
+    for k in (2, 1):
+        for m in (0, 1):
+            for g in counts[k + 1][m]:
+                counts[k][m][g[1:]] += 1
+    cut = [None] + [kneser_ney.discounts(*[sum(v == j for m in (0, 1) for v in counts[k][m].values()) for j in (1, 2, 3, 4)]) for k in (1, 2, 3)]
+    d = lambda c, k: cut[k][min(c, 3) - 1]
+    totals, lefts = Counter(), Counter()
+    for k in (1, 2, 3):
+        for m in (0, 1):
+            for g, c in counts[k][m].items():
+                totals[m, k, g[:-1]] += c
+                lefts[m, k, g[:-1]] += d(c, k)
+
+    def p(m, g, base):
+        if not g:
+            return base
+        k, c, total = len(g), counts[len(g)][m][g], totals[m, len(g), g[:-1]]
+        if not total:
+            return p(m, g[1:], base)
+        return ((c - d(c, k)) / total if c else 0) + lefts[m, k, g[:-1]] / total * p(m, g[1:], base)
+
+    out = []
+    for t in texts:
+        w = padded(t)
+        out.append(-sum(np.log2(p(half(t), tuple(w[i - 2 : i + 1]), 2.0 ** (spell(w[i]) if w[i] != ">" else -6))) for i in range(2, len(w))))
+    return out
+
+
+def test_words_equal_the_definition(spark, texts):
+    import pyarrow as pa
+
+    from tallyport.llm.shared import Workspace
+
+    some = [t for t in texts if t and WORD.search(t) and len(t) < 5000 and len(t.split()[0]) < 100] + ["new words qqq zzz", "The the of"]
+    half, has_word = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(2)).alias("half"), F.lit(True).alias("has_word")
+    rows = spark.createDataFrame([(i, "en", t) for i, t in enumerate(some)], "key long, lang string, text string")
+    seen = rows.select("key", "lang", "text", has_word, F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("content"), half)
+    trusted = rows.where("key % 3 = 0 and key < 60").select("text", half)
+    got = {r.key: r for r in kneser_ney.word_bits(seen, trusted, Workspace(spark)).collect()}
+    dense, table = kneser_ney.trained(trusted.select("text"), Workspace(spark)).dense(), kneser_ney.class_table()
+    spell = lambda w: float(kneser_ney.spelled(pa.array([w]), table, dense)[0])
+    for i, want in enumerate(plain_word_bits(some, [t for i, t in enumerate(some) if i % 3 == 0 and i < 60], spell)):
+        assert got[i].bits == pytest.approx(want / len(some[i]), abs=1e-3)
+
+
+def test_order_of_words_counts(spark, sf_dir):
+    """What the trusted texts say grows with them: the same words in another order, which classes hardly tell apart, cost more."""
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(400)]
+    after = {w: [words[k] for k in rng.integers(0, 400, 3)] for w in words}
+
+    def chain(n):
+        out = [words[rng.integers(400)]]
+        while len(out) < n:
+            out.append(after[out[-1]][rng.integers(3)])
+        return out
+
+    rows = [(i, " ".join(chain(150)), "en") for i in range(400)]
+    rows += [(1000 + i, " ".join(rng.permutation(chain(150))), "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in kneser_ney.quality_classifier(docs, labels).collect()}
+    assert sum(kept[i] for i in range(400)) >= 396 and not any(kept[1000 + i] for i in range(20))
+
+
 def test_quality_classifier(docs, labels, spark):
     got = kneser_ney.quality_classifier(docs, labels).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in pairs(docs))

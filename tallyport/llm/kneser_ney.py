@@ -196,18 +196,29 @@ def tokens(texts: pa.Array, table: np.ndarray | None = None, dense: np.ndarray |
     return word, bits, np.repeat(np.arange(len(texts)), n)
 
 
+def by_half(batch: pa.RecordBatch):
+    """(half, rows, texts) of slices of a batch of (text, half)."""
+    texts = pc.fill_null(batch.column("text"), "")
+    halves = batch.column("half").to_numpy(zero_copy_only=False)
+    for lo, hi in groups(texts, 1_000_000):
+        for half in (0, 1):
+            rows = lo + np.flatnonzero(halves[lo:hi] == half)
+            if len(rows):
+                yield half, rows, texts.take(pa.array(rows))
+
+
 def _trigrams(shared):
     def run(batches):
-        table, dense = class_table(), shared.value.dense()
+        table, dense = class_table(), [m.dense() for m in shared.value]
         for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "")
-            for lo, hi in groups(texts, 1_000_000):
-                word, bits, owner = tokens(texts.slice(lo, hi - lo), table, dense)
+            for half, _, texts in by_half(batch):
+                model = 1 - half
+                word, bits, owner = tokens(texts, table, dense[model])
                 at = np.flatnonzero(owner[2:] == owner[:-2]) + 2
-                model = 1 - batch.column("half").slice(lo, hi - lo).to_numpy(zero_copy_only=False)[owner[at]]
-                _, first, c = np.unique(gram_hashes(model, word[at - 2], word[at - 1], word[at]), return_index=True, return_counts=True)
-                at, model = at[first], model[first]
-                columns = [pa.array(model), *[pa.array(word[at - k].view(np.int64)) for k in (2, 1, 0)], pa.array(bits[at].astype(np.float32)), pa.array(c)]
+                models = np.full(len(at), model, np.int64)
+                _, first, c = np.unique(gram_hashes(models, word[at - 2], word[at - 1], word[at]), return_index=True, return_counts=True)
+                at = at[first]
+                columns = [pa.array(models[first]), *[pa.array(word[at - k].view(np.int64)) for k in (2, 1, 0)], pa.array(bits[at].astype(np.float32)), pa.array(c)]
                 yield pa.RecordBatch.from_arrays(columns, names=["model", "u", "v", "w", "s", "c"])
 
     return run
@@ -270,19 +281,16 @@ def _base(shared, spelling):
     """Bits of each text by its spelling, without and with the weight that the word model leaves to spelling."""
 
     def run(batches):
-        table, dense = class_table(), shared.value.dense()
+        table, dense = class_table(), [m.dense() for m in shared.value]
         for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "")
-            plain, base = np.zeros(len(texts)), np.zeros(len(texts))
-            for lo, hi in groups(texts, 1_000_000):
-                part = texts.slice(lo, hi - lo)
-                gram, n = grams(part, table)
-                total = np.concatenate([[0.0], np.cumsum(dense[gram], dtype=np.float64)])
+            plain, base = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for half, rows, texts in by_half(batch):
+                gram, n = grams(texts, table)
+                total = np.concatenate([[0.0], np.cumsum(dense[half][gram], dtype=np.float64)])
                 ends = np.cumsum(n)
-                plain[lo:hi] = total[ends - n] - total[ends]
-                _, bits, owner = tokens(part, table, dense)
-                weight = np.array([spelling.get(k, 0.0) for k in (0, 1)])[batch.column("half").slice(lo, hi - lo).to_numpy(zero_copy_only=False)]
-                base[lo:hi] = -np.bincount(owner, bits, hi - lo) - weight * (np.bincount(owner, minlength=hi - lo) - 2)
+                plain[rows] = total[ends - n] - total[ends]
+                _, bits, owner = tokens(texts, table, dense[half])
+                base[rows] = -np.bincount(owner, bits, len(rows)) - spelling.get(half, 0.0) * (np.bincount(owner, minlength=len(rows)) - 2)
             columns = [batch.column(c) for c in ("key", "lang", "has_word", "content", "n_chars")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(plain), pa.array(base)], names=["key", "lang", "has_word", "content", "n_chars", "plain", "base"])
 
@@ -314,10 +322,10 @@ def _word_grams(batches):
 
 def word_bits(seen: DataFrame, trusted: DataFrame, ws: Workspace) -> DataFrame | None:
     """key, lang, has_word, n_chars, plain (spelling alone), bits of each of `seen`, by character; None without trusted text."""
-    model = trained(trusted.select("text"), ws)
-    if model is None:
+    models = [trained(trusted.where(F.col("half") != half).select("text"), ws) for half in (0, 1)]
+    if models == [None, None]:
         return None
-    shared = seen.sparkSession.sparkContext.broadcast(model)
+    shared = seen.sparkSession.sparkContext.broadcast([models[k] or models[1 - k] for k in (0, 1)])
     deltas, spelling = word_tables(trusted, shared, ws)
     kind = dict(seen.dtypes)
     base = seen.mapInArrow(_base(shared, spelling), f"key {kind['key']}, lang {kind['lang']}, has_word boolean, content long, n_chars long, plain double, base double")

@@ -247,7 +247,7 @@ def test_joins_give_the_same_perplexity(spark, texts):
 
 
 def plain_word_bits(texts, trusted, spell):
-    """Bits of each text by trigrams of the trusted texts of the other half, straight from the definition; spell(word) is log2 of its spelling."""
+    """Bits of each text by trigrams of the trusted texts of the other half, straight from the definition; spell(word, half) is log2 of its spelling."""
     half = lambda t: zlib.crc32(t.encode()) % 2
     padded = lambda t: ["<", "<", *WORD.findall(t), ">"]
     counts = [{0: Counter(), 1: Counter()} for _ in range(4)]
@@ -279,7 +279,7 @@ def plain_word_bits(texts, trusted, spell):
     out = []
     for t in texts:
         w = padded(t)
-        out.append(-sum(np.log2(p(half(t), tuple(w[i - 2 : i + 1]), 2.0 ** (spell(w[i]) if w[i] != ">" else -6))) for i in range(2, len(w))))
+        out.append(-sum(np.log2(p(half(t), tuple(w[i - 2 : i + 1]), 2.0 ** (spell(w[i], half(t)) if w[i] != ">" else -6))) for i in range(2, len(w))))
     return out
 
 
@@ -294,8 +294,9 @@ def test_words_equal_the_definition(spark, texts):
     seen = rows.select("key", "lang", "text", has_word, F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("content"), half)
     trusted = rows.where("key % 3 = 0 and key < 60").select("text", half)
     got = {r.key: r for r in kneser_ney.word_bits(seen, trusted, Workspace(spark)).collect()}
-    dense, table = kneser_ney.trained(trusted.select("text"), Workspace(spark)).dense(), kneser_ney.class_table()
-    spell = lambda w: float(kneser_ney.spelled(pa.array([w]), table, dense)[0])
+    table = kneser_ney.class_table()
+    dense = [kneser_ney.trained(trusted.where(F.col("half") != k).select("text"), Workspace(spark)).dense() for k in (0, 1)]
+    spell = lambda w, k: float(kneser_ney.spelled(pa.array([w]), table, dense[k])[0])
     for i, want in enumerate(plain_word_bits(some, [t for i, t in enumerate(some) if i % 3 == 0 and i < 60], spell)):
         assert got[i].bits == pytest.approx(want / len(some[i]), abs=1e-3)
 

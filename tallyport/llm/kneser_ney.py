@@ -17,8 +17,7 @@ spelling alone outside theirs, widened by a margin that shrinks with length and
 wide below: above for noise, below for endless repetition. Copies of trusted texts have few bits by their words whatever else
 stands between them, so few bits by words reject nothing, and spelling is judged by itself.
 
-Defined results: null and empty texts and those shorter than min_chars are judged by nothing but length: kept is false
-for texts without a word, else true; a null language is a language of its own; a language with fewer than least_docs
+Defined results: kept is false for texts without a word, and every other text, however short, is judged by the limits; a null language is a language of its own; a language with fewer than least_docs
 trusted documents uses the quantiles of all of them; without any trusted text all texts with a word are kept;
 repeated rows are scored each by itself; repeated labels count as trusted if one does; other columns are left out; an
 empty table gives an empty table.
@@ -37,7 +36,7 @@ from .shared import WORD, Workspace, groups, spread
 
 ORDER, BITS, START = 4, 6, 63
 CLASSES = 1 << BITS
-LOW, HIGH, MARGIN, MIN_CHARS, LEAST_DOCS = 0.005, 0.995, 0.05, 100, 50
+LOW, HIGH, MARGIN, SHORT, QUANTILE_CHARS, LEAST_DOCS = 0.005, 0.995, 0.05, 40, 100, 50
 
 
 def class_table() -> np.ndarray:
@@ -394,9 +393,10 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
         scored = seen.select("key", "lang", "has_word", "n_chars", F.lit(0.0).alias("plain"), F.lit(0.0).alias("bits"))
     scored = ws.save(scored, "scored")
     ws.release()
-    slack = MARGIN * F.sqrt(F.lit(2000.0) / F.greatest("n_chars", F.lit(1)))
-    judged = scored.where(F.col("n_chars") >= MIN_CHARS)
-    known = judged.join(trusted, F.col("key") == F.col("doc_id"), "left_semi")
+    size = F.greatest("n_chars", F.lit(1))
+    slack = MARGIN * F.sqrt(F.lit(2000.0) / size) * (1 + SHORT / size)
+    # short texts vary too much for limits that all lengths share: the slack widens those of longer ones for them
+    known = scored.where(F.col("n_chars") >= QUANTILE_CHARS).join(trusted, F.col("key") == F.col("doc_id"), "left_semi")
     ends = [F.percentile_approx("plain", LOW, 10_000).alias("low"), F.percentile_approx("plain", HIGH, 10_000).alias("most"), F.percentile_approx("bits", HIGH, 10_000).alias("high"), F.count(F.lit(1)).alias("n")]
     every = known.agg(*ends).select(F.col("low").alias("all_low"), F.col("most").alias("all_most"), F.col("high").alias("all_high"), F.col("n").alias("all_n"))
     by_lang = ws.save(known.groupBy("lang").agg(*ends).where(F.col("n") >= LEAST_DOCS), "limits")
@@ -409,7 +409,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     most = F.coalesce("most", F.lit(limits["all_most"]).cast("double")) + few
     inside = F.coalesce(F.col("plain").between(F.col("low"), F.col("most")) & (F.col("bits") <= F.col("high")), F.lit(True))
     found = found.withColumns({"low": low, "most": most, "high": high})
-    kept = F.col("has_word") & ((F.col("n_chars") < MIN_CHARS) | inside)
+    kept = F.col("has_word") & inside
     return found.select(
         F.col("key").alias("doc_id"), "lang", "n_chars", F.col("bits").alias("bits_per_char"), F.pow(F.lit(2.0), "bits").alias("perplexity"),
         F.col("plain").alias("spelling_bits"), "low", F.col("most").alias("spelling_high"), "high", kept.alias("kept"),

@@ -321,6 +321,16 @@ def test_order_of_words_counts(spark, sf_dir):
     assert sum(kept[i] for i in range(400)) >= 396 and not any(kept[1000 + i] for i in range(20))
 
 
+def test_short_noise_is_rejected(spark):
+    rng = np.random.default_rng(2)
+    prose = lambda n: " ".join("".join(rng.choice(list("aeiorst"), rng.integers(2, 7))) for _ in range(n))
+    rows = [(i, prose(8 if i % 8 == 0 else 60), "en") for i in range(200)] + [(900, "Xq*** zvwj$$$ kp&&& wvqk$$$", "en"), (901, "Zk*** qjw.###", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in kneser_ney.quality_classifier(docs, labels).collect()}
+    assert sum(kept[i] for i in range(200)) >= 196 and not kept[900] and not kept[901]
+
+
 def test_quality_classifier(docs, labels, spark):
     got = kneser_ney.quality_classifier(docs, labels).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in pairs(docs))

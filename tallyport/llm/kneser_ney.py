@@ -17,8 +17,8 @@ spelling alone outside theirs, widened by a margin that shrinks with length and
 wide below: above for noise, below for endless repetition. Copies of trusted texts have few bits by their words whatever else
 stands between them, so few bits by words reject nothing, and spelling is judged by itself.
 
-Defined results: kept is false for texts without a word, and every other text, however short, is judged by the limits; a null language is a language of its own; a language with fewer than least_docs
-trusted documents uses the quantiles of all of them; without any trusted text all texts with a word are kept;
+Defined results: kept is false for texts without a word, and every other text, however short, is judged by the limits; a null language is a language of its own; a language without any
+trusted document of quantile_chars characters uses the quantiles of all of them; without any trusted text all texts with a word are kept;
 repeated rows are scored each by itself; repeated labels count as trusted if one does; other columns are left out; an
 empty table gives an empty table.
 """
@@ -36,7 +36,7 @@ from .shared import WORD, Workspace, groups, spread
 
 ORDER, BITS, START = 4, 6, 63
 CLASSES = 1 << BITS
-LOW, HIGH, MARGIN, SHORT, QUANTILE_CHARS, LEAST_DOCS = 0.005, 0.995, 0.05, 40, 100, 50
+LOW, HIGH, MARGIN, SHORT, QUANTILE_CHARS, FEW_DOCS = 0.005, 0.995, 0.05, 40, 100, 50
 
 
 def class_table() -> np.ndarray:
@@ -399,11 +399,11 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     known = scored.where(F.col("n_chars") >= QUANTILE_CHARS).join(trusted, F.col("key") == F.col("doc_id"), "left_semi")
     ends = [F.percentile_approx("plain", LOW, 10_000).alias("low"), F.percentile_approx("plain", HIGH, 10_000).alias("most"), F.percentile_approx("bits", HIGH, 10_000).alias("high"), F.count(F.lit(1)).alias("n")]
     every = known.agg(*ends).select(F.col("low").alias("all_low"), F.col("most").alias("all_most"), F.col("high").alias("all_high"), F.col("n").alias("all_n"))
-    by_lang = ws.save(known.groupBy("lang").agg(*ends).where(F.col("n") >= LEAST_DOCS), "limits")
+    by_lang = ws.save(known.groupBy("lang").agg(*ends), "limits")
     # one row
     limits = every.first()
     found = scored.join(by_lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
-    few = slack * (1 + LEAST_DOCS / F.coalesce("n", F.lit(max(limits["all_n"], 1))))  # quantiles of few documents are uncertain
+    few = slack * (1 + FEW_DOCS / F.coalesce("n", F.lit(max(limits["all_n"], 1))))  # quantiles of few documents are uncertain
     low = F.coalesce("low", F.lit(limits["all_low"]).cast("double")) - 3 * few
     high = F.coalesce("high", F.lit(limits["all_high"]).cast("double")) + few
     most = F.coalesce("most", F.lit(limits["all_most"]).cast("double")) + few

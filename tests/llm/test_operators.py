@@ -331,6 +331,17 @@ def test_short_noise_is_rejected(spark):
     assert sum(kept[i] for i in range(200)) >= 196 and not kept[900] and not kept[901]
 
 
+def test_rare_languages_have_their_own_limits(spark):
+    rng = np.random.default_rng(3)
+    prose = lambda letters: " ".join("".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(200))
+    rows = [(i, prose("abcdefghijklmnopqrstuvwxyz"), "en") for i in range(120)] + [(500 + i, prose("ae"), "xx") for i in range(30)]
+    rows += [(900, prose("abcdefghijklmnopqrstuvwxyz"), "xx"), (901, prose("abcdefghijklmnopqrstuvwxyz"), "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in rows if i < 900], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in kneser_ney.quality_classifier(docs, labels).collect()}
+    assert all(kept[500 + i] for i in range(30)) and not kept[900] and kept[901]
+
+
 def test_quality_classifier(docs, labels, spark):
     got = kneser_ney.quality_classifier(docs, labels).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in pairs(docs))

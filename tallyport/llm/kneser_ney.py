@@ -1,26 +1,33 @@
-"""Quality classifier: interpolated modified Kneser-Ney model of word trigrams, trained on trusted text.
+"""Quality classifier: interpolated modified Kneser-Ney model of word bigrams, trained on trusted text, by sharded count joins.
 
-All trusted text is counted: shards by gram add up the trigrams of words that tasks send, lower orders count how many
-different words stand before a gram, and joins by context give discounted shares and back-off weights. These tables grow
-with the corpus and are never broadcast. What a word costs that no trusted text has is its spelling: a Kneser-Ney model of
-four character classes (64 of them, so its tables are bounded and broadcast), the last back-off of the word model.
+All trusted text is counted. A gram's hash gives its shard; tasks send each shard the distinct grams of a block of documents with
+their counts, as packed sorted arrays, and a shard adds them up. How many words a gram's first word is followed by, and its last
+word follows, is summed by shards of words, which send discounted back-off weights and continuation shares back to the shards
+of grams. The model so has a value for each gram: what it changes of the logarithm that lower orders alone would give. The
+last back-off is spelling (spelling.py), whose tables are bounded by its alphabet. Model and counts grow with the corpus; they
+are joined shard by shard and never broadcast.
 
-A seen gram's share is kept as the difference it makes to the logarithm that lower orders alone would give, and a context's
-back-off weight as its logarithm. A document's bits are then its spelling's plus the sum over its own grams that the table
-holds: one join of each document's distinct grams with the table.
+Scoring joins blocks of documents (some MB of text each) with the shards: a block sends every shard its distinct grams, once
+however many of its documents hold them, and gets their values back, so that neither a frequent gram nor a large group of
+copies makes a large task. A document's bits are its spelling's less the values of its grams.
 
 No text is scored by a model that has seen it: texts are halved by a hash of the text, so that equal texts stay together, and
-each is scored by the trusted texts of the other half. So all trusted documents are held out.
+each is scored by the trusted texts of the other half. So all trusted documents are held out. The halves' models are made one
+after the other, and the documents of a half are scored in ROUNDS parts, so that a part of the shuffle is on disk at a time; each
+part reads the table's text once more.
 
 A document is rejected where its bits per character lie above its language's quantile of trusted documents, or the bits of its
-spelling alone outside theirs, widened by a margin that shrinks with length and with the number of those documents, thrice as
-wide below: above for noise, below for endless repetition. Copies of trusted texts have few bits by their words whatever else
-stands between them, so few bits by words reject nothing, and spelling is judged by itself.
-
-Defined results: kept is false for texts without a word, and every other text, however short, is judged by the limits; a null language is a language of its own; a language without any
-trusted document of quantile_chars characters uses the quantiles of all of them; without any trusted text all texts with a word are kept;
-repeated rows are scored each by itself; repeated labels count as trusted if one does; other columns are left out; an
-empty table gives an empty table.
+spelling alone outside theirs, widened by a margin (MARGIN bits at 2,000 characters) that shrinks with length and with the number
+of those documents, thrice as wide below: above for noise, below for endless repetition. Copies of trusted texts have few bits
+by their words whatever else stands between them, so few bits by words reject nothing, and spelling is judged by itself.
+Quantiles are exact to 1 / GRID bit and don't depend on how the table is dealt.
+
+Defined results: kept is false for texts without a word, and every other text, however short, is judged by the limits; texts of
+any length are scored whole, the longest alone in a block; documents with equal bits are judged alike; a null language is a
+language of its own; a language without any trusted document of QUANTILE_CHARS characters uses the quantiles of all of them; with
+all trusted text in one half that half's model scores all; without any trusted text all texts with a word are kept; rows with a
+null id are scored and never trusted; repeated rows are scored each by itself; repeated labels count as trusted if one does;
+other columns are left out, or handed on as they are in the struct `carry`; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,153 +36,103 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import WORD, Workspace, groups, spread
+from .spelling import BITS, class_table, discounts, grams, spelled, trained
 
-ORDER, BITS, START = 4, 6, 63
-CLASSES = 1 << BITS
-LOW, HIGH, MARGIN, SHORT, QUANTILE_CHARS, FEW_DOCS = 0.005, 0.995, 0.05, 40, 100, 50
-
-
-def class_table() -> np.ndarray:
-    """Class of each code point below 65536; those above are of the class of other signs."""
-    out = np.full(1 << 16, 62, np.uint32)
-    for c in range(1 << 16):
-        ch = chr(c)
-        if c > 127:
-            out[c] = (61 if ch.isupper() else 60) if ch.isalpha() else 53 if ch.isdigit() else 62
-        elif ch.isalpha():
-            out[c] = c - 96 if ch.islower() else c - 64 + 26
-        elif ch.isdigit():
-            out[c] = 53
-        else:
-            out[c] = {"\n": 59, " ": 0, ".": 54, ",": 55, "!": 56, "?": 56}.get(ch, 0 if ch.isspace() else 57 if ch in "'\"()-:;" else 58)
-    return out
-
-
-def grams(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(gram that ends at each character, characters of each text); START stands before a text."""
-    pad = "\U0010ffff" * (ORDER - 1)
-    n = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    points = np.frombuffer((pad + pad.join(texts.to_pylist())).encode("utf-32-le", "replace"), np.uint32)
-    code = np.where(points == 0x10FFFF, START, table[np.minimum(points, (1 << 16) - 1)]).astype(np.uint32)
-    code[(points > 0xFFFF) & (points != 0x10FFFF)] = 62
-    keep = np.ones(len(code), bool)
-    starts = np.cumsum(n + ORDER - 1) - n - (ORDER - 1)
-    for k in range(ORDER - 1):
-        keep[starts + k] = False
-    ends = np.flatnonzero(keep)
-    gram = np.zeros(len(ends), np.uint32)
-    for k in range(ORDER):
-        gram |= code[ends - k] << np.uint32(BITS * k)
-    return gram, n
-
-
-def _count(batches):
-    table = class_table()
-    for batch in batches:
-        texts = pc.fill_null(batch.column("text"), "")
-        for lo, hi in groups(texts, 1_000_000):
-            gram, n = np.unique(grams(texts.slice(lo, hi - lo), table)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(n)], names=["gram", "c"])
-
-
-def kneser_ney_tables(texts: DataFrame, ws: Workspace) -> list[tuple[DataFrame, DataFrame]]:
-    """For orders 1 to 4: (gram, share) discounted shares, and (context, backoff) weights."""
-    counts = ws.save(texts.mapInArrow(_count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")), "counts-4")
-    ws.release()
-    levels = [counts]
-    for order in range(ORDER - 1, 0, -1):  # a gram's count below the highest order: classes seen before it
-        types = levels[-1].select(F.col("gram").bitwiseAND(F.lit((1 << BITS * order) - 1)).alias("gram"))
-        levels.append(ws.save(types.groupBy("gram").agg(F.count(F.lit(1)).alias("c")), f"counts-{order}"))
-    out = []
-    for order, level in zip(range(1, ORDER + 1), levels[::-1], strict=True):
-        n = level.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-        cut = discounts(n["n1"], n["n2"], n["n3"], n["n4"])
-        taken = F.when(F.col("c") == 1, cut[0]).when(F.col("c") == 2, cut[1]).otherwise(cut[2])
-        level = level.withColumns({"context": F.shiftright("gram", BITS), "taken": taken})
-        totals = ws.save(level.groupBy("context").agg(F.sum("c").alias("total"), F.sum("taken").alias("left")), f"totals-{order}")
-        shares = level.join(totals, "context").select("gram", ((F.col("c") - F.col("taken")) / F.col("total")).alias("share"))
-        out.append((ws.save(shares, f"shares-{order}"), totals.select("context", (F.col("left") / F.col("total")).alias("backoff"))))
-    return out
-
+LOW, HIGH, MARGIN, SHORT, QUANTILE_CHARS, FEW_DOCS, GRID = 0.005, 0.995, 0.05, 40, 100, 50, 1024
+#: Bytes of text in a block, parts in which a half is scored, shards at least (as a power of two), bytes of all text for a shard.
+BLOCK, ROUNDS, SHARD_BITS, SHARD_BYTES = 6_000_000, 2, 9, 8_000_000
+#: Words are hashes of 48 bits. Those that stand before and after a text; multipliers of hashes; bits of an end by spelling.
+BEFORE, AFTER, STEP, END_BITS = np.uint64(0x9E3779B97F4A), np.uint64(0xC2B2AE3D27D4), np.uint64(0xD6E8FEB86659FD93), float(BITS)
+ROW = "shard long, kind int, source long, a binary, b binary, c binary"
+NAMES = ["shard", "kind", "source", "a", "b", "c"]
 
-def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts of counts 1, 2 and more; plain values where counts of counts are missing."""
-    if not (n1 and n2):
-        return 0.5, 0.5, 0.5
-    y = n1 / (n1 + 2 * n2)
-    found = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.0)
-    return tuple(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), found, strict=True))
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one map of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-class Model:
-    """Sparse tables of all orders; dense() unfolds them to the log2 probability of each gram."""
-
-    def __init__(self, levels: list[tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]):
-        self.levels = levels
-
-    def dense(self) -> np.ndarray:
-        """In place: the table of an order is the only array of its size."""
-        lower = np.full(1, 1 / CLASSES, np.float32)
-        for order, ((gram, share), (context, backoff)) in enumerate(self.levels, 1):
-            weight = np.ones(CLASSES ** (order - 1), np.float32)
-            weight[context] = backoff
-            p = np.empty(CLASSES**order, np.float32)
-            p.reshape(-1, len(lower))[:] = lower
-            p.reshape(-1, CLASSES)[:] *= weight[:, None]
-            p[gram] += share.astype(np.float32)
-            lower = p
-        np.maximum(lower, 1e-12, out=lower)
-        return np.log2(lower, out=lower)
 
+def gram_keys(*words: np.ndarray) -> np.ndarray:
+    """64-bit hash of grams of one or two words."""
+    h = np.full(len(words[0]), len(words), np.uint64)
+    for w in words:
+        h = mixed(h * STEP + w)
+    return h
 
-def trained(texts: DataFrame, ws: Workspace) -> Model | None:
-    levels = []
-    for shares, backoff in kneser_ney_tables(texts, ws):
-        a, b = shares.toPandas(), backoff.toPandas()  # bounded by the alphabet
-        if not len(a):
-            return None
-        levels.append(((a["gram"].to_numpy(), a["share"].to_numpy()), (b["context"].to_numpy(), b["backoff"].to_numpy())))
-    return Model(levels)
 
+def pack48(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8", copy=False)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-#: Hashes of the words that stand before and after a text, multipliers of hashes, and the bits of an end without the model.
-BEFORE, AFTER, STEP, END_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93), float(BITS)
 
+def unpack48(raw) -> np.ndarray:
+    body = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(body), 8), np.uint8)
+    out[:, :6] = body
+    return out.view("<u8").ravel()
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A one-to-one map of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
+class Shards:
+    """2**bits shards; a key's shard is its top bits, its place in the shard the 48 bits behind them."""
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """64-bit hashes of words."""
-    return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    def __init__(self, bits: int):
+        self.bits = bits
 
+    def of_key(self, key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint64(64 - self.bits)).astype(np.int64)
 
-def gram_hashes(model: np.ndarray, *words: np.ndarray) -> np.ndarray:
-    """Hash of a gram of one to three words in a model, as signed numbers."""
-    h = mixed(model.astype(np.uint64) * STEP + np.uint64(len(words)))
-    for w in words:
-        h = mixed(h * STEP + w)
-    return h.view(np.int64)
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return key << np.uint64(self.bits) >> np.uint64(16)
 
+    def of_word(self, word: np.ndarray) -> np.ndarray:
+        return (word >> np.uint64(48 - self.bits)).astype(np.int64)
 
-def spelled(words: pa.Array, table: np.ndarray, dense: np.ndarray) -> np.ndarray:
-    """log2 probability of the spelling of each word, from the blank before it to the one after it."""
-    gram, n = grams(pc.binary_join_element_wise(" ", words, " ", ""), table)
-    total = np.concatenate([[0.0], np.cumsum(dense[gram], dtype=np.float64)])
-    ends = np.cumsum(n)
-    return total[ends] - total[ends - n + 1]
+    def rows(self, shard: np.ndarray, kind: int, source, **columns: np.ndarray) -> pa.RecordBatch:
+        """A row for each run of equal shards; 48-bit columns are packed, others go as they are. source: a number, or the shards' own."""
+        first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
+        ends = np.append(first, len(shard))
+        blobs = []
+        for name in ("a", "b", "c"):
+            x = columns.get(name)
+            if x is None:
+                blobs.append(pa.nulls(len(first), pa.binary()))
+                continue
+            raw, size = (pack48(x), 6) if x.dtype == np.uint64 else (np.ascontiguousarray(x).tobytes(), x.dtype.itemsize * (x.shape[1] if x.ndim > 1 else 1))
+            blobs.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * size).astype(np.int32)), pa.py_buffer(raw)]))
+        heads = [pa.array(shard[first]), pa.array(np.full(len(first), kind, np.int32)), pa.array(np.full(len(first), source, np.int64))]
+        return pa.RecordBatch.from_arrays([*heads, *blobs], names=NAMES)
 
 
-def tokens(texts: pa.Array, table: np.ndarray | None = None, dense: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, log2 probability of its spelling, text it is of) of all texts in turn: BEFORE twice, its words, AFTER; without tables no spelling."""
+def rows_of(batches):
+    """(shard, kind, source, a, b, c) row by row, blobs as buffers."""
+    for batch in batches:
+        heads = [batch.column(c).to_pylist() for c in NAMES[:3]]
+        blobs = [batch.column(c) for c in NAMES[3:]]
+        for i, head in enumerate(zip(*heads, strict=True)):
+            yield *head, *[b[i].as_buffer() for b in blobs]
+
+
+def runs(batches, by: int = 0):
+    """(shard or source, rows of it): rows come sorted by it."""
+    held, now = [], None
+    for row in rows_of(batches):
+        if held and row[by] != now:
+            yield now, held
+            held = []
+        now = row[by]
+        held.append(row)
+    if held:
+        yield now, held
+
+
+def words_of(texts: pa.Array, table: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, log2 probability of its spelling, text it is of) of all texts in turn: BEFORE, its words, AFTER."""
     lists = pc.ascii_split_whitespace(texts)
     words = pc.list_flatten(lists)
     owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
@@ -183,192 +140,293 @@ def tokens(texts: pa.Array, table: np.ndarray | None = None, dense: np.ndarray |
     coded = words.filter(full).dictionary_encode()
     owner = owner[full.to_numpy(zero_copy_only=False)]
     code = coded.indices.to_numpy(zero_copy_only=False)
-    n = np.bincount(owner, minlength=len(texts)) + 3
+    n = np.bincount(owner, minlength=len(texts)) + 2
     ends = np.cumsum(n)
     word, bits = np.full(int(n.sum()), BEFORE, np.uint64), np.zeros(int(n.sum()))
     word[ends - 1], bits[ends - 1] = AFTER, -END_BITS
-    at = np.arange(len(code)) + 3 * owner + 2
     if len(code):
-        word[at] = word_hashes(coded.dictionary)[code]
-        if dense is not None:
-            bits[at] = spelled(coded.dictionary, table, dense)[code]
+        at = np.arange(len(code)) + 2 * owner + 1
+        word[at] = (pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False) >> np.uint64(16))[code]
+        bits[at] = spelled(coded.dictionary, table, dense)[code]
     return word, bits, np.repeat(np.arange(len(texts)), n)
 
 
-def by_half(batch: pa.RecordBatch):
-    """(half, rows, texts) of slices of a batch of (text, half)."""
-    texts = pc.fill_null(batch.column("text"), "")
-    halves = batch.column("half").to_numpy(zero_copy_only=False)
-    for lo, hi in groups(texts, 1_000_000):
-        for half in (0, 1):
-            rows = lo + np.flatnonzero(halves[lo:hi] == half)
-            if len(rows):
-                yield half, rows, texts.take(pa.array(rows))
+def pairs_at(owner: np.ndarray) -> np.ndarray:
+    """Places of the words that have one behind them in the same text."""
+    return np.flatnonzero(owner[1:] == owner[:-1])
+
+
+def summed(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first of each different key, rising by key; sum of its c)."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return order[first], np.add.reduceat(c[order], first) if len(first) else c[:0]
 
 
-def _trigrams(shared):
+def _counts(shared, shards: Shards):
+    """Kind 0: first words, second words and counts of a block's bigrams, to shards of grams. Kind 1: words and their spelling, to shards of words."""
+
     def run(batches):
-        table, dense = class_table(), [m.dense() for m in shared.value]
+        table, dense = class_table(), shared.value.dense()
         for batch in batches:
-            for half, _, texts in by_half(batch):
-                model = 1 - half
-                word, bits, owner = tokens(texts, table, dense[model])
-                at = np.flatnonzero(owner[2:] == owner[:-2]) + 2
-                models = np.full(len(at), model, np.int64)
-                _, first, c = np.unique(gram_hashes(models, word[at - 2], word[at - 1], word[at]), return_index=True, return_counts=True)
-                at = at[first]
-                columns = [pa.array(models[first]), *[pa.array(word[at - k].view(np.int64)) for k in (2, 1, 0)], pa.array(bits[at].astype(np.float32)), pa.array(c)]
-                yield pa.RecordBatch.from_arrays(columns, names=["model", "u", "v", "w", "s", "c"])
+            texts = pc.fill_null(batch.column("text"), "")
+            for lo, hi in groups(texts, BLOCK):
+                word, bits, owner = words_of(texts.slice(lo, hi - lo), table, dense)
+                at = pairs_at(owner)
+                key = gram_keys(word[at], word[at + 1])
+                one, c = summed(key, np.ones(len(at), np.int64))
+                yield shards.rows(shards.of_key(key[one]), 0, 0, a=word[at[one]], b=word[at[one] + 1], c=c)
+                w, first = np.unique(word, return_index=True)
+                yield shards.rows(shards.of_word(w), 1, 0, a=w, b=bits[first].astype(np.float32))
 
     return run
 
 
-def _hashed(*names):
-    """(gram, delta) of rows of a model's words."""
+def _added(batches):
+    """A shard's rows of a kind added up; n1 to n4: how many bigrams have these counts, n: how many there are."""
+    for shard, rows in runs(batches):
+        out = {"a": [], "b": [], "c": [], "kind": [], "n": []}
+        for kind in (0, 1):
+            some = [r for r in rows if r[1] == kind]
+            if not some:
+                continue
+            a = np.concatenate([unpack48(r[3]) for r in some])
+            if kind:
+                a, first = np.unique(a, return_index=True)
+                body = [pack48(a), np.concatenate([np.frombuffer(r[4], np.float32) for r in some])[first].tobytes(), None]
+                n = np.zeros(5, np.int64)
+            else:
+                b = np.concatenate([unpack48(r[4]) for r in some])
+                one, c = summed(gram_keys(a, b), np.concatenate([np.frombuffer(r[5], np.int64) for r in some]))
+                body, n = [pack48(a[one]), pack48(b[one]), c.tobytes()], np.append(len(c), np.bincount(np.minimum(c, 5), minlength=6)[1:5])
+            for k, x in zip(("a", "b", "c", "kind", "n"), (*body, kind, n), strict=True):
+                out[k].append(x)
+        k, n = len(out["kind"]), np.array(out["n"]).T
+        heads = [pa.array([shard] * k, pa.int64()), pa.array(out["kind"], pa.int32()), pa.array([0] * k, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*heads, *[pa.array(out[c], pa.binary()) for c in "abc"], *map(pa.array, n)], names=[*NAMES, "n", "n1", "n2", "n3", "n4"])
+
+
+def _words_in(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.unique(np.concatenate([v, w]))
+
+
+def _requests(shards: Shards):
+    """Kind 2, from shards of grams to shards of words: each word of a shard's bigrams, with (bigrams that it begins counted once, twice, more
+    often; how often it begins one; bigrams that it ends) there."""
 
     def run(batches):
-        for batch in batches:
-            model, *words = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("model", *names)]
-            yield pa.RecordBatch.from_arrays([pa.array(gram_hashes(model, *[w.view(np.uint64) for w in words])), batch.column("delta")], names=["gram", "delta"])
+        for shard, _, _, a, b, c in rows_of(batches):
+            v, w, c = unpack48(a), unpack48(b), np.frombuffer(c, np.int64)
+            words = _words_in(v, w)
+            at, size = np.searchsorted(words, v), len(words)
+            stats = [np.bincount(at, c == 1, size), np.bincount(at, c == 2, size), np.bincount(at, c > 2, size), np.bincount(at, c, size), np.bincount(np.searchsorted(words, w), minlength=size)]
+            yield shards.rows(shards.of_word(words), 2, shard, a=words, b=np.stack(stats, axis=1).astype(np.int64))
 
     return run
 
 
-def word_tables(texts: DataFrame, shared, ws: Workspace) -> tuple[DataFrame, dict[int, float]]:
-    """((gram, delta) of trusted texts (text, half), log2 of the weight of spelling by model).
+def _word_stats(batches):
+    """A shard's words with the sums of their numbers and their spelling; m1 to m4: how many end so many bigrams, m: sum of these."""
+    for shard, rows in runs(batches):
+        asked = [r for r in rows if r[1] == 2]
+        known = [r for r in rows if r[1] == 1]
+        words, at = np.unique(np.concatenate([unpack48(r[3]) for r in asked]), return_inverse=True)
+        stats = np.zeros((len(words), 5), np.int64)
+        np.add.at(stats, at, np.concatenate([np.frombuffer(r[4], np.int64).reshape(-1, 5) for r in asked]))
+        spell = np.concatenate([np.frombuffer(r[4], np.float32) for r in known])[np.searchsorted(np.concatenate([unpack48(r[3]) for r in known]), words)]
+        m = np.append(stats[:, 4].sum(), np.bincount(np.minimum(stats[:, 4], 5), minlength=6)[1:5])
+        blobs = [pa.array([x], pa.binary()) for x in (pack48(words), stats.tobytes(), spell.tobytes())]
+        heads = [pa.array([x], t) for x, t in ((shard, pa.int64()), (0, pa.int32()), (0, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*heads, *blobs, *[pa.array([int(x)]) for x in m]], names=[*NAMES, "m", "m1", "m2", "m3", "m4"])
 
-    The deltas of a document's grams of one to three words, added to its spelling, give its log2 probability. A gram that is a
-    context too has two rows.
-    """
-    found = texts.mapInArrow(_trigrams(shared), "model long, u long, v long, w long, s float, c long")
-    level = ws.save(found.groupBy("model", "u", "v", "w").agg(F.max("s").alias("s"), F.sum("c").alias("c")), "words-3")
+
+def _replies(shards: Shards, cut: tuple, cut_low: tuple, total: int, rest: float):
+    """Kind 1, to the shards of grams that asked: log2 of the words' back-off weights, of their lower-order probabilities, and how often they begin
+    a bigram. Kind 2, to the shards of the words' own keys: the value of each word."""
+
+    def run(batches):
+        for _, rows in runs(batches):
+            words, stats, spell = unpack48(rows[0][3]), np.frombuffer(rows[0][4], np.int64).reshape(-1, 5), np.frombuffer(rows[0][5], np.float32).astype(np.float64)
+            n, ends = stats[:, 3], stats[:, 4]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                weight = np.where(n > 0, np.log2((stats[:, :3] @ np.array(cut)) / n), 0.0)
+            share = np.where(ends > 0, (ends - np.array([0.0, *cut_low])[np.minimum(ends, 3)]) / total, 0.0)
+            low = np.log2(share + np.exp2(rest + spell))
+            value = weight + np.where(ends > 0, low - rest - spell, 0.0)
+            key = gram_keys(words)
+            order = np.argsort(key)
+            key = key[order]
+            yield shards.rows(shards.of_key(key), 2, 0, a=shards.place(key), b=value[order].astype(np.float32))
+            every = np.stack([weight, low, n], axis=1).astype(np.float32)
+            for shard, kind, source, a, _, _ in rows:
+                if kind == 2:
+                    found = every[np.searchsorted(words, unpack48(a))]
+                    yield shards.rows(np.full(len(found), source), 1, shard, b=found)
+
+    return run
+
+
+def _values(shards: Shards, cut: tuple):
+    """Kind 0: a shard's keys, rising, and their values: of bigrams and of single words."""
+
+    def run(batches):
+        for shard, rows in runs(batches):
+            keys, values = [unpack48(r[3]) for r in rows if r[1] == 2], [np.frombuffer(r[4], np.float32) for r in rows if r[1] == 2]
+            for _, kind, _, a, b, c in rows:
+                if kind == 0:
+                    v, w, c = unpack48(a), unpack48(b), np.frombuffer(c, np.int64)
+                    known = np.concatenate([np.frombuffer(r[4], np.float32).reshape(-1, 3) for r in rows if r[1] == 1]).astype(np.float64)
+                    words = _words_in(v, w)
+                    weight, low, n = known[np.searchsorted(words, v), 0], known[np.searchsorted(words, w), 1], known[np.searchsorted(words, v), 2]
+                    below = weight + low
+                    p = np.log2((c - np.array([0.0, *cut])[np.minimum(c, 3)]) / n + np.exp2(below))
+                    keys.append(shards.place(gram_keys(v, w)))
+                    values.append((p - below).astype(np.float32))
+            key, value = np.concatenate(keys), np.concatenate(values)
+            order = np.argsort(key, kind="stable")
+            yield shards.rows(np.full(len(key), shard), 0, 0, a=key[order], b=value[order])
+
+    return run
+
+
+def _by(df: DataFrame, *order: str) -> DataFrame:
+    """All rows of a shard (or source) in one task, in order."""
+    return df.repartition(order[0]).sortWithinPartitions(*order)
+
+
+def word_model(texts: DataFrame, spelling, shards: Shards, ws: Workspace) -> tuple[DataFrame, float]:
+    """(shard rows of keys and values, log2 of the weight that words leave to spelling) of the trusted `texts` (text)."""
+    counts = ws.save(_by(texts.select("text").mapInArrow(_counts(spelling, shards), ROW), "shard").mapInArrow(_added, ROW + ", n long, n1 long, n2 long, n3 long, n4 long"), "counts")
     ws.release()
-    levels = [level]
-    for names in (("v", "w"), ("w",)):
-        level = ws.save(levels[0].groupBy("model", *names).agg(F.max("s").alias("s"), F.count(F.lit(1)).alias("c")), f"words-{len(names)}")
-        levels.insert(0, level)
-    out, lower, spelling = [], None, {}
-    for order, level in enumerate(levels, 1):
-        names = ("u", "v", "w")[3 - order :]
-        n = level.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-        cut = discounts(n["n1"], n["n2"], n["n3"], n["n4"])
-        level = level.withColumn("taken", F.when(F.col("c") == 1, cut[0]).when(F.col("c") == 2, cut[1]).otherwise(cut[2]))
-        totals = level.groupBy("model", *names[:-1]).agg(F.sum("c").alias("total"), F.sum("taken").alias("left"))
-        totals = ws.save(totals.select("model", *names[:-1], "total", F.log2(F.col("left") / F.col("total")).alias("delta")), f"word-totals-{order}")
-        if order == 1:  # two rows at most
-            spelling = {r["model"]: r["delta"] for r in totals.collect()}
-            joined = level.join(F.broadcast(totals), "model").withColumn("below", F.col("s").cast("double"))
-        else:
-            out.append(totals.mapInArrow(_hashed(*names[:-1]), "gram long, delta double"))
-            joined = level.join(totals, ["model", *names[:-1]]).join(lower, ["model", *names[1:]])
-        below = F.col("delta") + F.col("below")
-        p = F.log2((F.col("c") - F.col("taken")) / F.col("total") + F.pow(F.lit(2.0), below))
-        level = ws.save(joined.select("model", *names, p.alias("p"), (p - below).alias("delta")), f"word-shares-{order}")
-        out.append(level.mapInArrow(_hashed(*names), "gram long, delta double"))
-        lower = level.select("model", *names, F.col("p").alias("below"))
-        ws.drop(f"words-{order}")
-    table = out[0]
-    for rows in out[1:]:
-        table = table.unionAll(rows)
-    table = ws.save(table, "word-model")
+    found = counts.agg(*[F.sum(f"n{k}") for k in (1, 2, 3, 4)]).first()
+    cut = discounts(*found)
+    bigrams = counts.where("kind = 0").select(*NAMES)
+    asked = bigrams.mapInArrow(_requests(shards), ROW)
+    stats = _by(asked.unionByName(counts.where("kind = 1").select(*NAMES)), "shard").mapInArrow(_word_stats, ROW + ", m long, m1 long, m2 long, m3 long, m4 long")
+    stats = ws.save(stats, "words")
     ws.release()
-    ws.drop(*[f"word-{kind}-{order}" for kind in ("totals", "shares") for order in (1, 2, 3)])
-    return table, spelling
+    total, *found = stats.agg(*[F.sum(c) for c in ("m", "m1", "m2", "m3", "m4")]).first()
+    cut_low = discounts(*found)
+    types = stats.agg(F.sum(F.length("b") / 40)).first()[0] - 1  # but BEFORE, which ends no bigram
+    n1, n2 = found[:2]
+    rest = float(np.log2((cut_low[0] * n1 + cut_low[1] * n2 + cut_low[2] * (types - n1 - n2)) / total))
+    told = _by(asked.unionByName(stats.select(*NAMES)), "shard", "kind").mapInArrow(_replies(shards, cut, cut_low, total, rest), ROW)
+    model = _by(bigrams.unionByName(told), "shard", "kind", "source").mapInArrow(_values(shards, cut), ROW)
+    model = ws.save(model, "model")
+    ws.drop("counts", "words")
+    ws.release()
+    return model, rest
 
 
-def _base(shared, spelling):
-    """Bits of each text by its spelling, without and with the weight that the word model leaves to spelling."""
+def _asked(shared, shards: Shards, rest: float, carried: list[str]):
+    """Kind 1: the different grams of a block, to their shards. Kind 2: the block's documents, how often each has each of these grams, and its bits
+    by spelling, which pass through any shard."""
 
     def run(batches):
-        table, dense = class_table(), [m.dense() for m in shared.value]
+        table, dense = class_table(), shared.value.dense()
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            plain, base = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for half, rows, texts in by_half(batch):
+            every = pc.fill_null(batch.column("text"), "")
+            for lo, hi in groups(every, BLOCK):
+                texts = every.slice(lo, hi - lo)
                 gram, n = grams(texts, table)
-                total = np.concatenate([[0.0], np.cumsum(dense[half][gram], dtype=np.float64)])
+                total = np.concatenate([[0.0], np.cumsum(dense[gram], dtype=np.float64)])
                 ends = np.cumsum(n)
-                plain[rows] = total[ends - n] - total[ends]
-                _, bits, owner = tokens(texts, table, dense[half])
-                base[rows] = -np.bincount(owner, bits, len(rows)) - spelling.get(half, 0.0) * (np.bincount(owner, minlength=len(rows)) - 2)
-            columns = [batch.column(c) for c in ("key", "lang", "has_word", "content", "n_chars")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(plain), pa.array(base)], names=["key", "lang", "has_word", "content", "n_chars", "plain", "base"])
+                plain = total[ends - n] - total[ends]
+                word, bits, owner = words_of(texts, table, dense)
+                base = -np.bincount(owner, bits, len(texts)) - rest * (np.bincount(owner, minlength=len(texts)) - 1)
+                at = pairs_at(owner)
+                key, of = np.concatenate([gram_keys(word), gram_keys(word[at], word[at + 1])]), np.concatenate([owner, owner[at]])
+                order = np.argsort(key, kind="stable")
+                key, of = key[order], of[order]
+                first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])))
+                count = np.diff(np.append(first, len(key)))
+                key, of = key[first], of[first]
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                yield shards.rows(shards.of_key(key[first]), 1, block, a=shards.place(key[first]))
+                docs = batch.select(carried).slice(lo, hi - lo).append_column("plain", pa.array(plain)).append_column("base", pa.array(base))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(docs)
+                use = pa.RecordBatch.from_arrays([pa.array(x.astype(np.uint32)) for x in (np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key)))), of, count)], names=["gram", "of", "count"])
+                held = pa.BufferOutputStream()
+                with pa.ipc.new_stream(held, use.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(use)
+                heads = [pa.array([x], t) for x, t in ((block % (1 << shards.bits), pa.int64()), (2, pa.int32()), (block, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*heads, pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([held.getvalue().to_pybytes()], pa.binary()), pa.nulls(1, pa.binary())], names=NAMES)
+                block += 1
 
     return run
 
 
-def _word_grams(batches):
-    """(content, gram, c): each text's different grams of one to three words, contexts among them."""
+def _looked_up(batches):
+    """The values of the grams that blocks ask a shard for, 0 for those that it doesn't hold."""
+    now, keys, values = None, np.zeros(0, np.uint64), np.zeros(0, np.float32)
     for batch in batches:
-        texts = pc.fill_null(batch.column("text"), "")
-        for lo, hi in groups(texts, 1_000_000):
-            word, _, owner = tokens(texts.slice(lo, hi - lo))
-            half = batch.column("half").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-            gram, of = [], []
-            for order in (1, 2, 3):
-                # a text's first BEFORE is in no gram by itself: the context of the first word is the second one
-                at = np.flatnonzero(owner[order - 1 :] == owner[: len(owner) - order + 1]) + order - 1
-                if order == 1:
-                    at = at[np.append(False, owner[1:] == owner[:-1])]
-                gram.append(gram_hashes(half[owner[at]], *[word[at - k] for k in range(order - 1, -1, -1)]))
-                of.append(owner[at])
-            gram, of = np.concatenate(gram), np.concatenate(of)
-            _, first, c = np.unique(mixed(of.astype(np.uint64) * STEP) ^ gram.view(np.uint64), return_index=True, return_counts=True)
-            first_order = np.argsort(of[first], kind="stable")
-            first, c = first[first_order], c[first_order]
-            content = batch.column("content").slice(lo, hi - lo).take(pa.array(of[first]))
-            yield pa.RecordBatch.from_arrays([content, pa.array(gram[first]), pa.array(c.astype(np.int32))], names=["content", "gram", "c"])
-
-
-def word_bits(seen: DataFrame, trusted: DataFrame, ws: Workspace) -> DataFrame | None:
-    """key, lang, has_word, n_chars, plain (spelling alone), bits of each of `seen`, by character; None without trusted text."""
-    models = [trained(trusted.where(F.col("half") != half).select("text"), ws) for half in (0, 1)]
-    if models == [None, None]:
-        return None
-    shared = seen.sparkSession.sparkContext.broadcast([models[k] or models[1 - k] for k in (0, 1)])
-    deltas, spelling = word_tables(trusted, shared, ws)
-    kind = dict(seen.dtypes)
-    base = seen.mapInArrow(_base(shared, spelling), f"key {kind['key']}, lang {kind['lang']}, has_word boolean, content long, n_chars long, plain double, base double")
-    base = ws.save(base, "base")
-    rows = seen.where("has_word").select("content", "text", "half").mapInArrow(_word_grams, "content long, gram long, c int")
-    gain = rows.join(deltas, "gram").groupBy("content").agg(F.sum(F.col("c") * F.col("delta")).alias("gain"))
-    gain = ws.save(gain, "gain")
-    ws.release()
-    ws.drop("word-model")
-    # equal texts are of one content, and each has sent its grams
-    copies = base.where("has_word").groupBy("content").agg(F.count(F.lit(1)).alias("copies"))
-    gain = gain.join(copies, "content").select("content", (F.col("gain") / F.col("copies")).alias("gain"))
-    size = F.greatest("n_chars", F.lit(1))
-    bits = (F.col("base") - F.coalesce("gain", F.lit(0.0))) / size
-    return base.join(gain, "content", "left").select("key", "lang", "has_word", "n_chars", (F.col("plain") / size).alias("plain"), bits.alias("bits"))
-
+        out = []
+        for shard, kind, source, a, b, c in rows_of([batch]):
+            if shard != now:
+                now, keys, values = shard, np.zeros(0, np.uint64), np.zeros(0, np.float32)
+            if kind == 0:
+                keys, values = unpack48(a), np.frombuffer(b, np.float32)
+            elif kind == 2:
+                out.append((shard, kind, source, a, b, c))
+            else:
+                asked = unpack48(a)
+                at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+                found = np.where(keys[at] == asked, values[at], np.float32(0)) if len(keys) else np.zeros(len(asked), np.float32)
+                out.append((shard, 1, source, None, found.tobytes(), None))
+        if out:
+            heads = [pa.array(x, t) for x, t in zip(list(zip(*out, strict=True))[:3], (pa.int64(), pa.int32(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*heads, *[pa.array([None if x is None else memoryview(x) for x in col], pa.binary()) for col in list(zip(*out, strict=True))[3:]]], names=NAMES)
+
+
+def _scored(names: list[str]):
+    def run(batches):
+        for _, rows in runs(batches, 2):
+            values = np.concatenate([np.frombuffer(r[4], np.float32) for r in rows[:-1]])
+            docs = pa.ipc.open_stream(rows[-1][3]).read_next_batch()
+            use = pa.ipc.open_stream(rows[-1][4]).read_next_batch()
+            gram, of, count = (c.to_numpy() for c in use.columns)
+            assert len(values) == gram[-1] + 1
+            gain = np.bincount(of, count * values[gram].astype(np.float64), docs.num_rows)
+            size = np.maximum(docs.column("n_chars").to_numpy(), 1)
+            plain, bits = docs.column("plain").to_numpy() / size, (docs.column("base").to_numpy() - gain) / size
+            yield pa.RecordBatch.from_arrays([*[docs.column(c) for c in names], pa.array(plain), pa.array(bits)], names=[*names, "plain", "bits"])
 
-def _document_grams(batches):
-    """(key, gram, c) of each text; key is a number of the row."""
-    table = class_table()
-    for batch in batches:
-        texts = pc.fill_null(batch.column("text"), "")
-        for lo, hi in groups(texts, 1_000_000):
-            gram, n = grams(texts.slice(lo, hi - lo), table)
-            owner = np.repeat(np.arange(hi - lo, dtype=np.int64), n)
-            pair, c = np.unique(owner << (BITS * ORDER) | gram.astype(np.int64), return_counts=True)
-            key = batch.column("key").take(pa.array(lo + (pair >> (BITS * ORDER))))
-            yield pa.RecordBatch.from_arrays([key, pa.array(pair & ((1 << BITS * ORDER) - 1)), pa.array(c)], names=["key", "gram", "c"])
+    return run
 
 
-def bits_by_joins(texts: DataFrame, tables: list[tuple[DataFrame, DataFrame]], ws: Workspace) -> DataFrame:
-    """(key, bits, n_chars) of texts (key, text) with a character at least, by joins alone: the same numbers as by look-up.
+def word_bits(seen: DataFrame, trusted: DataFrame, ws: Workspace) -> DataFrame | None:
+    """The columns of `seen` but text, half and round, with plain (bits of spelling alone) and bits, by character; None without trusted text.
 
-    Each gram that occurs is joined with the shards of its share and back-off of every order, and the documents' counts with the
-    result. For alphabets too large to broadcast; it shuffles a row for each distinct gram of each document.
+    seen: text, n_chars, half, round and others. trusted: text, half.
     """
-    counts = ws.save(texts.select("key", "text").mapInArrow(_document_grams, f"key {dict(texts.dtypes)['key']}, gram long, c long"), "document-grams")
-    p = counts.select("gram").distinct().withColumn("p", F.lit(1 / CLASSES))
-    for order, (shares, backoff) in enumerate(tables, 1):
-        p = p.withColumn("own", F.col("gram").bitwiseAND(F.lit((1 << BITS * order) - 1))).withColumn("behind", F.shiftright("own", BITS))
-        p = p.join(shares.select(F.col("gram").alias("own"), "share"), "own", "left").join(backoff.select(F.col("context").alias("behind"), "backoff"), "behind", "left")
-        p = p.select("gram", (F.coalesce("share", F.lit(0.0)) + F.coalesce("backoff", F.lit(1.0)) * F.col("p")).alias("p"))
-    p = ws.save(p.select("gram", F.log2(F.greatest("p", F.lit(1e-12))).alias("b")), "gram-bits")
-    return counts.join(p, "gram").groupBy("key").agg((-F.sum(F.col("c") * F.col("b")) / F.sum("c")).alias("bits"), F.sum("c").alias("n_chars"))
+    size = seen.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = Shards(max(SHARD_BITS, int(np.ceil(np.log2(max(size, 1) / SHARD_BYTES)))))
+    names = [c for c in seen.columns if c not in ("text", "half", "round")]
+    kinds = dict(seen.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in names], "plain double", "bits double"])
+    models = trained(trusted)
+    if models == [None, None]:
+        return None
+    parts = []
+    for half in (0, 1):
+        by = 1 - half if models[1 - half] else half
+        own = trusted.where(F.col("half") == by)
+        shared = seen.sparkSession.sparkContext.broadcast(models[by])  # bounded by the alphabet
+        model, rest = word_model(own, shared, shards, ws)
+        for k in range(ROUNDS):
+            asked = seen.where((F.col("half") == half) & (F.col("round") == k)).select("text", *names).mapInArrow(_asked(shared, shards, rest, names), ROW)
+            told = _by(model.unionByName(asked), "shard", "kind").mapInArrow(_looked_up, ROW)
+            parts.append(ws.save(_by(told, "source", "kind", "shard").mapInArrow(_scored(names), schema), f"scored-{half}-{k}"))
+            ws.release()
+        ws.drop("model")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -376,41 +434,55 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, n_chars, bits_per_char, perplexity, spelling_bits, low, spelling_high, high, kept of each document; trusted text: labels with quality 1."""
+def quantiles(values: DataFrame, by: list[str]) -> DataFrame:
+    """Of each group of `values` (by, plain, bits): low and most (LOW and HIGH quantiles of plain), high (HIGH of bits), n.
+
+    Values are counted by steps of 1 / GRID, so that what is sorted is the steps of a group, not its rows.
+    """
+    step = lambda c: F.round(F.col(c) * GRID).cast("long")
+    steps = values.select(*by, F.explode(F.array(F.struct(F.lit(0).alias("m"), step("plain").alias("x")), F.struct(F.lit(1).alias("m"), step("bits").alias("x")))).alias("s"))
+    steps = steps.groupBy(*by, "s.m", "s.x").agg(F.count(F.lit(1)).alias("c"))
+    group = Window.partitionBy(*by, "m")
+    steps = steps.withColumns({"below": F.sum("c").over(group.orderBy("x")), "n": F.sum("c").over(group)})
+    at = lambda m, q: F.min(F.when((F.col("m") == m) & (F.col("below") >= F.ceil(F.col("n") * q)), F.col("x"))) / GRID
+    return steps.groupBy(*by).agg(at(0, LOW).alias("low"), at(0, HIGH).alias("most"), at(1, HIGH).alias("high"), F.max("n").alias("n"))
+
+
+def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple = ()) -> DataFrame:
+    """doc_id, lang, n_chars, bits_per_char, perplexity, spelling_bits, low, spelling_high, high, kept of each document, and carry, a struct of the
+    columns that it names; trusted text: labels with quality 1."""
     ws = Workspace(docs.sparkSession)
     text = F.col(text_col).cast("string")
-    narrow = docs.select(F.col(id_col).alias("key"), F.col(lang_col).alias("lang"), text.alias("text"))
+    more = [F.struct(*carry).alias("carry")] if carry else []
+    narrow = docs.select(F.col(id_col).alias("key"), F.col(lang_col).alias("lang"), text.alias("text"), *more)
+    dealt = spread(narrow, "key")
+    if dealt is not narrow:  # blocks must be the same when a lost task runs again
+        dealt = dealt.sortWithinPartitions("key", "text")
     trusted = ws.save(trusted_ids(labels), "trusted")
-    content = F.xxhash64("text")
-    half = F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(2)).alias("half")
-    own = spread(narrow.select("key", "text").join(trusted, F.col("key") == F.col("doc_id"), "left_semi"), "key").select("text", half)
+    place = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    half, part = F.pmod(place, F.lit(2)).alias("half"), F.pmod(F.shiftright(place, 1), F.lit(ROUNDS)).alias("round")
     has_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("has_word")
     n_chars = F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")
-    seen = spread(narrow, "key").select("key", "lang", "text", has_word, n_chars, content.alias("content"), half)
+    own = dealt.select("key", "text").join(trusted, F.col("key") == F.col("doc_id"), "left_semi").select("text", half)
+    seen = dealt.select("key", "lang", "text", has_word, n_chars, half, part, *["carry"] * bool(carry))
     scored = word_bits(seen, own, ws)
     if scored is None:
-        scored = seen.select("key", "lang", "has_word", "n_chars", F.lit(0.0).alias("plain"), F.lit(0.0).alias("bits"))
-    scored = ws.save(scored, "scored")
+        scored = ws.save(seen.drop("text", "half", "round").withColumns({"plain": F.lit(0.0), "bits": F.lit(0.0)}), "scored")
     ws.release()
     size = F.greatest("n_chars", F.lit(1))
     slack = MARGIN * F.sqrt(F.lit(2000.0) / size) * (1 + SHORT / size)
     # short texts vary too much for limits that all lengths share: the slack widens those of longer ones for them
     known = scored.where(F.col("n_chars") >= QUANTILE_CHARS).join(trusted, F.col("key") == F.col("doc_id"), "left_semi")
-    ends = [F.percentile_approx("plain", LOW, 10_000).alias("low"), F.percentile_approx("plain", HIGH, 10_000).alias("most"), F.percentile_approx("bits", HIGH, 10_000).alias("high"), F.count(F.lit(1)).alias("n")]
-    every = known.agg(*ends).select(F.col("low").alias("all_low"), F.col("most").alias("all_most"), F.col("high").alias("all_high"), F.col("n").alias("all_n"))
-    by_lang = ws.save(known.groupBy("lang").agg(*ends), "limits")
-    # one row
-    limits = every.first()
-    found = scored.join(by_lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
-    few = slack * (1 + FEW_DOCS / F.coalesce("n", F.lit(max(limits["all_n"], 1))))  # quantiles of few documents are uncertain
-    low = F.coalesce("low", F.lit(limits["all_low"]).cast("double")) - 3 * few
-    high = F.coalesce("high", F.lit(limits["all_high"]).cast("double")) + few
-    most = F.coalesce("most", F.lit(limits["all_most"]).cast("double")) + few
+    known = ws.save(known.select("lang", "plain", "bits"), "known")
+    by_lang = ws.save(quantiles(known, ["lang"]).withColumnRenamed("lang", "l"), "limits")
+    every = quantiles(known, []).first()  # one row
+    low, most, high, n = every or (None, None, None, None)
+    found = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left")
+    few = slack * (1 + FEW_DOCS / F.coalesce("n", F.lit(max(n or 0, 1))))  # quantiles of few documents are uncertain
+    or_all = lambda c, x: F.coalesce(c, F.lit(x).cast("double"))
+    found = found.withColumns({"low": or_all("low", low) - 3 * few, "most": or_all("most", most) + few, "high": or_all("high", high) + few})
     inside = F.coalesce(F.col("plain").between(F.col("low"), F.col("most")) & (F.col("bits") <= F.col("high")), F.lit(True))
-    found = found.withColumns({"low": low, "most": most, "high": high})
-    kept = F.col("has_word") & inside
     return found.select(
         F.col("key").alias("doc_id"), "lang", "n_chars", F.col("bits").alias("bits_per_char"), F.pow(F.lit(2.0), "bits").alias("perplexity"),
-        F.col("plain").alias("spelling_bits"), "low", F.col("most").alias("spelling_high"), "high", kept.alias("kept"),
+        F.col("plain").alias("spelling_bits"), "low", F.col("most").alias("spelling_high"), "high", (F.col("has_word") & inside).alias("kept"), *["carry"] * bool(carry),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 xxhash = pytest.importorskip("xxhash")
 
-from tallyport.llm import anchors, debruijn, embeddings, kneser_ney, mixing, packing, quality_rules, simhash_golay, suffix_levels, token_counts, toxicity, word_bpe  # noqa: E402
+from tallyport.llm import anchors, debruijn, embeddings, kneser_ney, mixing, packing, quality_rules, simhash_golay, spelling, suffix_levels, token_counts, toxicity, word_bpe  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -186,16 +186,16 @@ def test_rules_reject_unlike_text(spark, sf_dir):
 
 def plain_kneser_ney(texts):
     """log2 probability of a gram, straight from the definition."""
-    table, size, n = kneser_ney.class_table(), kneser_ney.CLASSES, kneser_ney.ORDER
+    table, size, n = spelling.class_table(), spelling.CLASSES, spelling.ORDER
     counts = [Counter() for _ in range(n + 1)]
     for t in texts:
-        codes = [kneser_ney.START] * (n - 1) + [int(table[ord(c)]) if ord(c) < 65536 else 62 for c in t]
+        codes = [spelling.START] * (n - 1) + [int(table[ord(c)]) if ord(c) < 65536 else 62 for c in t]
         for i in range(n - 1, len(codes)):
             counts[n][tuple(codes[i - n + 1 : i + 1])] += 1
     for k in range(n - 1, 0, -1):
         for g in counts[k + 1]:
             counts[k][g[1:]] += 1
-    cut = [None] + [kneser_ney.discounts(*[sum(v == j for v in counts[k].values()) for j in (1, 2, 3, 4)]) for k in range(1, n + 1)]
+    cut = [None] + [spelling.discounts(*[sum(v == j for v in counts[k].values()) for j in (1, 2, 3, 4)]) for k in range(1, n + 1)]
     d = lambda k, c: cut[k][min(c, 3) - 1]
     totals = [None] + [Counter() for _ in range(n)]
     lefts = [None] + [Counter() for _ in range(n)]
@@ -216,89 +216,107 @@ def plain_kneser_ney(texts):
     return p
 
 
-def test_kneser_ney_equals_the_definition(spark, texts):
-    from tallyport.llm.shared import Workspace
+def halved(spark, texts):
+    return spark.createDataFrame([(t, zlib.crc32(t.encode()) % 2) for t in texts], "text string, half int")
+
 
+def test_kneser_ney_equals_the_definition(spark, texts):
     some = [t for t in texts[:40] if t]
-    model = kneser_ney.trained(spark.createDataFrame([(t,) for t in some], "text string"), Workspace(spark))
-    dense, p = model.dense(), plain_kneser_ney(some)
+    models = spelling.trained(halved(spark, some))
     rng = np.random.default_rng(0)
-    for g in [*rng.integers(0, 64, (300, 4)).tolist(), [20, 8, 5, 0], [63, 63, 63, 46], [8, 5, 0, 15]]:
-        code = g[0] << 18 | g[1] << 12 | g[2] << 6 | g[3]
-        assert dense[code] == pytest.approx(np.log2(p(tuple(g))), abs=2e-3)
-    assert np.exp2(dense.reshape(-1, 64).astype(float)).sum(axis=1) == pytest.approx(1, abs=1e-3)
-
-
-def test_joins_give_the_same_perplexity(spark, texts):
-    import pyarrow as pa
-
-    from tallyport.llm.shared import Workspace
-
-    ws = Workspace(spark)
-    trusted = spark.createDataFrame([(t,) for t in texts[:30] if t], "text string")
-    tables = kneser_ney.kneser_ney_tables(trusted, ws)
-    dense, table = kneser_ney.trained(trusted, Workspace(spark)).dense(), kneser_ney.class_table()
-    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
-    got = {r.key: r for r in kneser_ney.bits_by_joins(rows, tables, ws).collect()}
-    assert set(got) == {i for i, t in enumerate(texts) if t}
-    for i, r in got.items():
-        gram, n = kneser_ney.grams(pa.array([texts[i]]), table)
-        assert r.n_chars == n[0] and r.bits == pytest.approx(-dense[gram].mean(dtype=np.float64), abs=1e-3)
+    for half, model in enumerate(models):
+        dense, p = model.dense(), plain_kneser_ney([t for t in some if zlib.crc32(t.encode()) % 2 == half])
+        for g in [*rng.integers(0, 64, (300, 4)).tolist(), [20, 8, 5, 0], [63, 63, 63, 46], [8, 5, 0, 15]]:
+            code = g[0] << 18 | g[1] << 12 | g[2] << 6 | g[3]
+            assert dense[code] == pytest.approx(np.log2(p(tuple(g))), abs=2e-3)
+        assert np.exp2(dense.reshape(-1, 64).astype(float)).sum(axis=1) == pytest.approx(1, abs=1e-3)
+    assert spelling.trained(halved(spark, [])) == [None, None]
 
 
 def plain_word_bits(texts, trusted, spell):
-    """Bits of each text by trigrams of the trusted texts of the other half, straight from the definition; spell(word, half) is log2 of its spelling."""
+    """Bits of each text by bigrams of the trusted texts of the other half, straight from the definition; spell(word, half) is log2 of its spelling."""
     half = lambda t: zlib.crc32(t.encode()) % 2
-    padded = lambda t: ["<", "<", *WORD.findall(t), ">"]
-    counts = [{0: Counter(), 1: Counter()} for _ in range(4)]
+    padded = lambda t: ["<", *WORD.findall(t), ">"]
+    counts = {(k, m): Counter() for k in (1, 2) for m in (0, 1)}
     for t in trusted:
         w = padded(t)
-        for i in range(2, len(w)):
-            counts[3][1 - half(t)][tuple(w[i - 2 : i + 1])] += 1
-    for k in (2, 1):
-        for m in (0, 1):
-            for g in counts[k + 1][m]:
-                counts[k][m][g[1:]] += 1
-    cut = [None] + [kneser_ney.discounts(*[sum(v == j for m in (0, 1) for v in counts[k][m].values()) for j in (1, 2, 3, 4)]) for k in (1, 2, 3)]
-    d = lambda c, k: cut[k][min(c, 3) - 1]
+        counts[2, 1 - half(t)].update(zip(w, w[1:], strict=False))
+    for m in (0, 1):
+        counts[1, m].update(b for _, b in counts[2, m])
+    cut = {k: spelling.discounts(*[sum(v == j for v in c.values()) for j in (1, 2, 3, 4)]) for k, c in counts.items()}
     totals, lefts = Counter(), Counter()
-    for k in (1, 2, 3):
-        for m in (0, 1):
-            for g, c in counts[k][m].items():
-                totals[m, k, g[:-1]] += c
-                lefts[m, k, g[:-1]] += d(c, k)
+    for (k, m), own in counts.items():
+        for g, c in own.items():
+            at = (m, g[0]) if k == 2 else (m,)
+            totals[at] += c
+            lefts[at] += cut[k, m][min(c, 3) - 1]
 
-    def p(m, g, base):
-        if not g:
-            return base
-        k, c, total = len(g), counts[len(g)][m][g], totals[m, len(g), g[:-1]]
-        if not total:
-            return p(m, g[1:], base)
-        return ((c - d(c, k)) / total if c else 0) + lefts[m, k, g[:-1]] / total * p(m, g[1:], base)
+    def share(k, m, g, at):
+        c = counts[k, m][g]
+        return (c - cut[k, m][min(c, 3) - 1]) / totals[at] if c else 0
+
+    log2 = lambda x: np.log2(x) if x else -np.inf
+
+    def p(m, v, w, base):
+        """log2; base too, as the spelling of a long word has no number"""
+        low = np.logaddexp2(log2(share(1, m, w, (m,))), log2(lefts[m,] / totals[m,]) + base)
+        return np.logaddexp2(log2(share(2, m, (v, w), (m, v))), log2(lefts[m, v] / totals[m, v]) + low) if totals[m, v] else low
 
     out = []
     for t in texts:
-        w = padded(t)
-        out.append(-sum(np.log2(p(half(t), tuple(w[i - 2 : i + 1]), 2.0 ** (spell(w[i], half(t)) if w[i] != ">" else -6))) for i in range(2, len(w))))
+        w, m = padded(t), half(t)
+        out.append(-sum(p(m, v, x, spell(x, m) if x != ">" else -6) for v, x in zip(w, w[1:], strict=False)))
     return out
 
 
-def test_words_equal_the_definition(spark, texts):
+def test_bits_limits_and_kept_equal_the_definition(spark, texts, docs, labels, monkeypatch):
+    """The whole classifier by plain Python, with blocks of a few documents each: bits, limits of each language, decisions."""
     import pyarrow as pa
 
-    from tallyport.llm.shared import Workspace
+    monkeypatch.setattr(kneser_ney, "BLOCK", 3000)
+    rows = docs.collect()
+    good = {r.doc_id for r in labels.where("quality = 1").collect()} - {None}
+    trusted = [r.text or "" for r in rows if r.doc_id in good]
+    dense = [m.dense() for m in spelling.trained(halved(spark, trusted))]
+    table = spelling.class_table()
+    spell = lambda w, half: float(spelling.spelled(pa.array([w]), table, dense[1 - half])[0])
+    want = []
+    for r, bits in zip(rows, plain_word_bits([r.text or "" for r in rows], trusted, spell), strict=True):
+        t = r.text or ""
+        gram, _ = spelling.grams(pa.array([t]), table)
+        size = max(len(t), 1)
+        want.append((r, size, -float(dense[1 - zlib.crc32(t.encode()) % 2][gram].sum(dtype=float)) / size, bits / size))
+    q = lambda x, f: sorted(x)[int(np.ceil(f * len(x))) - 1] if x else None
+    step = lambda x: np.floor(x * 1024 + 0.5) / 1024
+    ends = lambda own: (q([step(w[2]) for w in own], 0.005), q([step(w[2]) for w in own], 0.995), q([step(w[3]) for w in own], 0.995), len(own))
+    known = [w for w in want if w[0].doc_id in good and w[1] >= 100]
+    plan = Counter()
+    for r, size, plain, bits in want:
+        low, most, high, n = ends([w for w in known if w[0].lang == r.lang] or known)
+        slack = 0.05 * (2000 / size) ** 0.5 * (1 + 40 / size) * (1 + 50 / n)
+        kept = bool(WORD.search(r.text or "")) and low - 3 * slack <= plain <= most + slack and bits <= high + slack
+        plan[r.doc_id, r.lang, len(r.text or ""), round(bits, 3), round(plain, 3), kept] += 1
+    got = kneser_ney.quality_classifier(docs, labels, carry=("text", "kept")).collect()
+    found = Counter()
+    for r in got:
+        assert r.carry.kept == "clash" and len(r.carry.text or "") == r.n_chars
+        # rounding may fall on either side
+        near = [(r.doc_id, r.lang, r.n_chars, round(r.bits_per_char + a, 3), round(r.spelling_bits + b, 3), r.kept) for a in (0, 5e-4, -5e-4) for b in (0, 5e-4, -5e-4)]
+        found[next((k for k in near if plan[k] > found[k]), near[0])] += 1
+    assert found == +plan
+
+
+def test_one_half_alone_scores_all(spark):
+    rows = [(i, f"alpha beta gamma {i}", "en") for i in range(20)]
+    good = [i for i, t, _ in rows if zlib.crc32(t.encode()) % 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = kneser_ney.quality_classifier(docs, spark.createDataFrame([(i, 1) for i in good], "doc_id long, quality int")).collect()
+    assert len(got) == 20 and all(r.kept and r.bits_per_char > 0 for r in got)
+
 
-    some = [t for t in texts if t and WORD.search(t) and len(t) < 5000 and len(t.split()[0]) < 100] + ["new words qqq zzz", "The the of"]
-    half, has_word = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(2)).alias("half"), F.lit(True).alias("has_word")
-    rows = spark.createDataFrame([(i, "en", t) for i, t in enumerate(some)], "key long, lang string, text string")
-    seen = rows.select("key", "lang", "text", has_word, F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("content"), half)
-    trusted = rows.where("key % 3 = 0 and key < 60").select("text", half)
-    got = {r.key: r for r in kneser_ney.word_bits(seen, trusted, Workspace(spark)).collect()}
-    table = kneser_ney.class_table()
-    dense = [kneser_ney.trained(trusted.where(F.col("half") != k).select("text"), Workspace(spark)).dense() for k in (0, 1)]
-    spell = lambda w, k: float(kneser_ney.spelled(pa.array([w]), table, dense[k])[0])
-    for i, want in enumerate(plain_word_bits(some, [t for i, t in enumerate(some) if i % 3 == 0 and i < 60], spell)):
-        assert got[i].bits == pytest.approx(want / len(some[i]), abs=1e-3)
+def test_scores_dont_depend_on_the_deal(spark, docs, labels):
+    one = counted(kneser_ney.quality_classifier(docs.coalesce(1), labels), "doc_id", "bits_per_char", "spelling_bits", "low", "high", "kept")
+    assert one == counted(kneser_ney.quality_classifier(docs.repartition(11), labels), "doc_id", "bits_per_char", "spelling_bits", "low", "high", "kept")
 
 
 def test_order_of_words_counts(spark, sf_dir):

@@ -111,13 +111,13 @@ def mixed_documents(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", tex
     plan = plan.select("draw", "shard", "size", "first_word", "n_blocks", "passes", "extra", F.col("source").alias("plan_source"))
     twins = Window.partitionBy("draw")
     plan = plan.withColumn("twin", F.row_number().over(twins.orderBy("first_word")))
-    rows = docs.select(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)).alias("draw"), F.struct(*docs.columns).alias("row"), F.col(text_col).alias("whole"))
+    rows = docs.select(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)).alias("draw"), F.struct(*docs.columns).alias("row"))
     rows = rows.withColumn("twin", F.row_number().over(twins.orderBy(F.lit(0))))
     both = rows.join(plan, ["draw", "twin"]).withColumn("source", F.col("plan_source"))
-    words = F.regexp_extract_all("whole", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    words = F.regexp_extract_all(F.col("row")[text_col], F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     begin = lambda b: F.greatest(F.col("first_word"), b * BLOCK_WORDS) - F.col("first_word") + 1
     part = let(words, lambda w: F.array_join(F.transform(chosen_blocks(seed), lambda b: F.array_join(F.slice(w, begin(b).cast("int"), overlap(b).cast("int")), "")), ""))
-    copies = F.array_repeat("whole", F.col("passes").cast("int"))
+    copies = F.array_repeat(F.col("row")[text_col], F.col("passes").cast("int"))
     text = F.array_join(F.when(F.col("extra") > 0, F.filter(F.concat(copies, F.array(part)), lambda x: x != "")).otherwise(copies), "\n")
     both = both.withColumn("mixed", text)
     known = {text_col: F.col("mixed"), "n_chars": F.length("mixed").cast("long")}

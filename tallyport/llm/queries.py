@@ -29,7 +29,7 @@ def op2_toxicity(spark, sf_dir):
 
 
 def op3_simhash_golay(spark, sf_dir):
-    return simhash_groups(table(spark, sf_dir, "documents"))
+    return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op4_packing(spark, sf_dir):
@@ -45,7 +45,7 @@ def op6_kneser_ney(spark, sf_dir):
 
 
 def op7_suffix_levels(spark, sf_dir):
-    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return substring_dedup(table(spark, sf_dir, "documents"), rest="none").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op8_debruijn(spark, sf_dir):

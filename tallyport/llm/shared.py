@@ -83,11 +83,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def text_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text as UTF-8 bytes; null stays null). Other columns, whatever their names, end here."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-
-
 def text_column(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text), and nothing else of the input."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

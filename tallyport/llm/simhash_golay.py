@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Workspace, spread, text_bytes
+from .shared import Workspace, spread
 
 MAX_BITS, SEED, SHINGLE = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -104,7 +104,8 @@ def _fingerprints(batches):
 
     for batch in batches:
         found = np.array([fingerprint(t or b"", xxhash.xxh64_intdigest) for t in batch.column("text").to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        more = [c for c in batch.schema.names if c == "carry"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, ["doc_id", *more]), pa.array(found.view(np.int64))], names=["doc_id", *more, "fp"])
 
 
 def _explode(batches):
@@ -195,15 +196,18 @@ def simhash_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(max_bits), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), root (the component's smallest fingerprint, signed) of each document,
+    and carry, a struct of the columns that it names."""
     ws = Workspace(docs.sparkSession)
-    narrow = spread(text_bytes(docs, id_col, text_col), "doc_id")
-    fps = ws.save(narrow.mapInArrow(_fingerprints, f"doc_id {dict(narrow.dtypes)['doc_id']}, fp long"), "fps")
+    more = [F.struct(*carry).alias("carry")] if carry else []
+    narrow = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *more), "doc_id")
+    kinds = dict(narrow.dtypes)
+    fps = ws.save(narrow.mapInArrow(_fingerprints, ", ".join([f"{c} {kinds[c]}" for c in kinds if c != "text"] + ["fp long"])), "fps")
     classes = ws.save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(ws.save(simhash_links(spread(classes, "fp"), max_bits), "edges"), ws)
     placed = classes.join(roots, classes.fp == roots.v, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = ws.save(placed.join(least, "root").select("fp", "component_id"), "placed")
+    placed = ws.save(placed.join(least, "root").select("fp", "root", "component_id"), "placed")
     found = fps.join(placed, "fp")
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", *["carry"] * bool(carry))

@@ -65,30 +65,39 @@ class SuffixLevels:
             self.levels[-2:] = [(rank + 1, name, rows)]
 
 
-def _cut(batches):
-    for batch in parts(batches):
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            text = text or b""
-            runs = merged([(s["lo"], s["hi"]) for s in spans or []])
-            kept, at = [], 0
-            for lo, hi in runs:
-                kept.append(text[at:lo])
-                at = hi
-            kept.append(text[at:])
-            rest = b"".join(kept)
-            out.append((len(text), len(text) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest))
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        names = ["doc_id", "rid", *(["carry"] if "carry" in batch.schema.names else [])]
-        arrays = [*map(batch.column, names), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
-    """doc_id, rid, carry, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of each document.
-
-    carry: a struct of further columns of the input, where some are named.
+def _cut(rest_as: str):
+    def run(batches):
+        for batch in parts(batches):
+            out, rests = [], []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                text = text or b""
+                cuts = merged([(s["lo"], s["hi"]) for s in spans or []])
+                kept, at = [], 0
+                for lo, hi in cuts:
+                    kept.append(text[at:lo])
+                    at = hi
+                kept.append(text[at:])
+                rest = b"".join(kept)
+                out.append((len(text), len(text) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest()))
+                if rest_as != "none":
+                    rests.append(rest if rest_as == "bytes" else "".join(k.decode("utf-8", "ignore") for k in kept))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            names = ["doc_id", "rid", *(["carry"] if "carry" in batch.schema.names else [])]
+            arrays = [*map(batch.column, names), *[pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()], strict=True)]]
+            names += ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            if rest_as != "none":
+                arrays.append(pa.array(rests, pa.binary() if rest_as == "bytes" else pa.string()))
+                names.append("kept")
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return run
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", carry: tuple = (), rest: str = "bytes") -> DataFrame:
+    """doc_id, rid, carry, n_bytes, n_removed, n_spans, kept_sha256, kept of each document.
+
+    carry: a struct of further columns of the input, where some are named. rest: kept as "bytes", or as "text", where the bytes of characters
+    that are cut through go too, or "none".
     """
     ws = Workspace(docs.sparkSession)
     texts = identified(docs, id_col, text_col, carry)
@@ -105,4 +114,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHE
     joined = texts.join(spans, "rid", "left")
     kinds = dict(texts.dtypes)
     more = f"carry {kinds['carry']}, " if carry else ""
-    return joined.mapInArrow(_cut, f"doc_id {kinds['doc_id']}, rid long, {more}n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(_cut(rest), f"doc_id {kinds['doc_id']}, rid long, {more}n_bytes long, n_removed long, n_spans long, kept_sha256 string" + {"bytes": ", kept binary", "text": ", kept string", "none": ""}[rest])

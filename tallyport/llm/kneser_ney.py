@@ -41,11 +41,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import WORD, Workspace, groups, spread
-from .spelling import BITS, class_table, discounts, grams, spelled, trained
+from .spelling import BITS, class_table, discounts, grams, spelled, trained, unfolded
 
 LOW, HIGH, MARGIN, SHORT, QUANTILE_CHARS, FEW_DOCS, GRID = 0.005, 0.995, 0.05, 40, 100, 50, 1024
 #: Bytes of text in a block, parts in which a half is scored, shards at least (as a power of two), bytes of all text for a shard.
-BLOCK, ROUNDS, SHARD_BITS, SHARD_BYTES = 6_000_000, 2, 9, 8_000_000
+BLOCK, ROUNDS, SHARD_BITS, SHARD_BYTES = 4_000_000, 4, 9, 8_000_000
 #: Words are hashes of 48 bits. Those that stand before and after a text; multipliers of hashes; bits of an end by spelling.
 BEFORE, AFTER, STEP, END_BITS = np.uint64(0x9E3779B97F4A), np.uint64(0xC2B2AE3D27D4), np.uint64(0xD6E8FEB86659FD93), float(BITS)
 ROW = "shard long, kind int, source long, a binary, b binary, c binary"
@@ -168,7 +168,7 @@ def _counts(shared, shards: Shards):
     """Kind 0: first words, second words and counts of a block's bigrams, to shards of grams. Kind 1: words and their spelling, to shards of words."""
 
     def run(batches):
-        table, dense = class_table(), shared.value.dense()
+        table, dense = class_table(), unfolded(shared)
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             for lo, hi in groups(texts, BLOCK):
@@ -319,21 +319,39 @@ def word_model(texts: DataFrame, spelling, shards: Shards, ws: Workspace) -> tup
     return model, rest
 
 
+def plain_bits(texts: pa.Array, table: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """Bits of each text by spelling alone."""
+    gram, n = grams(texts, table)
+    total = np.concatenate([[0.0], np.cumsum(dense[gram], dtype=np.float64)])
+    ends = np.cumsum(n)
+    return total[ends - n] - total[ends]
+
+
+def narrowed(x: np.ndarray) -> pa.Array:
+    """In the smallest type of unsigned numbers that holds all."""
+    return pa.array(x.astype(np.min_scalar_type(int(x.max(initial=0)))))
+
+
+def _ipc(batch: pa.RecordBatch) -> pa.Array:
+    """A batch as one compressed binary value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return pa.array([sink.getvalue().to_pybytes()], pa.binary())
+
+
 def _asked(shared, shards: Shards, rest: float, carried: list[str]):
     """Kind 1: the different grams of a block, to their shards. Kind 2: the block's documents, how often each has each of these grams, and its bits
     by spelling, which pass through any shard."""
 
     def run(batches):
-        table, dense = class_table(), shared.value.dense()
+        table, dense = class_table(), unfolded(shared)
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             every = pc.fill_null(batch.column("text"), "")
             for lo, hi in groups(every, BLOCK):
                 texts = every.slice(lo, hi - lo)
-                gram, n = grams(texts, table)
-                total = np.concatenate([[0.0], np.cumsum(dense[gram], dtype=np.float64)])
-                ends = np.cumsum(n)
-                plain = total[ends - n] - total[ends]
+                plain = np.concatenate([plain_bits(texts.slice(a, b - a), table, dense) for a, b in groups(texts, 1_000_000)])
                 word, bits, owner = words_of(texts, table, dense)
                 base = -np.bincount(owner, bits, len(texts)) - rest * (np.bincount(owner, minlength=len(texts)) - 1)
                 at = pairs_at(owner)
@@ -346,15 +364,11 @@ def _asked(shared, shards: Shards, rest: float, carried: list[str]):
                 first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
                 yield shards.rows(shards.of_key(key[first]), 1, block, a=shards.place(key[first]))
                 docs = batch.select(carried).slice(lo, hi - lo).append_column("plain", pa.array(plain)).append_column("base", pa.array(base))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(docs)
-                use = pa.RecordBatch.from_arrays([pa.array(x.astype(np.uint32)) for x in (np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key)))), of, count)], names=["gram", "of", "count"])
-                held = pa.BufferOutputStream()
-                with pa.ipc.new_stream(held, use.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(use)
-                heads = [pa.array([x], t) for x, t in ((block % (1 << shards.bits), pa.int64()), (2, pa.int32()), (block, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*heads, pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([held.getvalue().to_pybytes()], pa.binary()), pa.nulls(1, pa.binary())], names=NAMES)
+                # of consecutive entries, the first of a gram is one gram on
+                step = np.append(False, key[1:] != key[:-1])
+                use = pa.RecordBatch.from_arrays([narrowed(x) for x in (step, of, count)], names=["step", "of", "count"])
+                heads = [pa.array([x], t) for x, t in ((int(mixed(np.array([block], np.uint64))[0] >> np.uint64(64 - shards.bits)), pa.int64()), (2, pa.int32()), (block, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*heads, _ipc(docs), _ipc(use), pa.nulls(1, pa.binary())], names=NAMES)
                 block += 1
 
     return run
@@ -388,7 +402,8 @@ def _scored(names: list[str]):
             values = np.concatenate([np.frombuffer(r[4], np.float32) for r in rows[:-1]])
             docs = pa.ipc.open_stream(rows[-1][3]).read_next_batch()
             use = pa.ipc.open_stream(rows[-1][4]).read_next_batch()
-            gram, of, count = (c.to_numpy() for c in use.columns)
+            step, of, count = (c.to_numpy() for c in use.columns)
+            gram = np.cumsum(step, dtype=np.int64)
             assert len(values) == gram[-1] + 1
             gain = np.bincount(of, count * values[gram].astype(np.float64), docs.num_rows)
             size = np.maximum(docs.column("n_chars").to_numpy(), 1)

@@ -5,6 +5,8 @@ The alphabet bounds the tables (64^4 grams), whatever the corpus, so that a dens
 
 from __future__ import annotations
 
+from functools import cache, lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +19,7 @@ ORDER, BITS, START = 4, 6, 63
 CLASSES = 1 << BITS
 
 
+@cache
 def class_table() -> np.ndarray:
     """Class of each code point below 65536; those above are of the class of other signs."""
     out = np.full(1 << 16, 62, np.uint32)
@@ -38,17 +41,17 @@ def grams(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pad = "\U0010ffff" * (ORDER - 1)
     n = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     points = np.frombuffer((pad + pad.join(texts.to_pylist())).encode("utf-32-le", "replace"), np.uint32)
-    code = np.where(points == 0x10FFFF, START, table[np.minimum(points, (1 << 16) - 1)]).astype(np.uint32)
-    code[(points > 0xFFFF) & (points != 0x10FFFF)] = 62
+    code = table[np.minimum(points, (1 << 16) - 1)]
+    high = np.flatnonzero(points > 0xFFFF)
+    code[high] = np.where(points[high] == 0x10FFFF, START, 62)
     keep = np.ones(len(code), bool)
     starts = np.cumsum(n + ORDER - 1) - n - (ORDER - 1)
     for k in range(ORDER - 1):
         keep[starts + k] = False
-    ends = np.flatnonzero(keep)
-    gram = np.zeros(len(ends), np.uint32)
-    for k in range(ORDER):
-        gram |= code[ends - k] << np.uint32(BITS * k)
-    return gram, n
+    gram = code.copy()
+    for k in range(1, ORDER):
+        gram[k:] |= code[:-k] << np.uint32(BITS * k)
+    return gram[keep], n
 
 
 def _count(batches):
@@ -101,6 +104,12 @@ class Model:
         return np.log2(lower, out=lower)
 
 
+@lru_cache(1)
+def unfolded(shared) -> np.ndarray:
+    """The dense table of a broadcast model: one at a time in a worker, however many tasks use it."""
+    return shared.value.dense()
+
+
 def trained(texts: DataFrame) -> list[Model | None]:
     """The models of the texts (text, half) of half 0 and of half 1; None where there are none."""
     counts = texts.select("text", "half").mapInArrow(_count, "half long, gram long, c long").groupBy("half", "gram").agg(F.sum("c").alias("c"))

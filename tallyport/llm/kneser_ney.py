@@ -45,7 +45,7 @@ from .spelling import BITS, class_table, discounts, grams, spelled, trained, unf
 
 LOW, HIGH, MARGIN, SHORT, QUANTILE_CHARS, FEW_DOCS, GRID = 0.005, 0.995, 0.05, 40, 100, 50, 1024
 #: Bytes of text in a block, parts in which a half is scored, shards at least (as a power of two), bytes of all text for a shard.
-BLOCK, ROUNDS, SHARD_BITS, SHARD_BYTES = 4_000_000, 4, 9, 8_000_000
+BLOCK, ROUNDS, SHARD_BITS, SHARD_BYTES = 4_000_000, 3, 6, 32_000_000
 #: Words are hashes of 48 bits. Those that stand before and after a text; multipliers of hashes; bits of an end by spelling.
 BEFORE, AFTER, STEP, END_BITS = np.uint64(0x9E3779B97F4A), np.uint64(0xC2B2AE3D27D4), np.uint64(0xD6E8FEB86659FD93), float(BITS)
 ROW = "shard long, kind int, source long, a binary, b binary, c binary"
@@ -78,6 +78,17 @@ def unpack48(raw) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """A table of whole numbers, column by column, in the smallest type that holds all, compressed."""
+    x = np.ascontiguousarray(x.T.astype(np.min_scalar_type(int(x.max(initial=0)))))
+    return x.dtype.char.encode() + pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+
+def loosened(raw, rows: int, columns: int) -> np.ndarray:
+    kind = np.dtype(bytes(raw[:1]).decode())
+    return np.frombuffer(pa.decompress(raw[1:], rows * columns * kind.itemsize, "zstd"), kind).reshape(columns, rows).T.astype(np.int64)
+
+
 class Shards:
     """2**bits shards; a key's shard is its top bits, its place in the shard the 48 bits behind them."""
 
@@ -221,7 +232,11 @@ def _requests(shards: Shards):
             words = _words_in(v, w)
             at, size = np.searchsorted(words, v), len(words)
             stats = [np.bincount(at, c == 1, size), np.bincount(at, c == 2, size), np.bincount(at, c > 2, size), np.bincount(at, c, size), np.bincount(np.searchsorted(words, w), minlength=size)]
-            yield shards.rows(shards.of_word(words), 2, shard, a=words, b=np.stack(stats, axis=1).astype(np.int64))
+            stats, to = np.stack(stats, axis=1).astype(np.int64), shards.of_word(words)
+            out = shards.rows(to, 2, shard, a=words)
+            first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+            blobs = [squeezed(x) for x in np.split(stats, first[1:])]
+            yield out.set_column(4, "b", pa.array(blobs, pa.binary()))
 
     return run
 
@@ -233,7 +248,9 @@ def _word_stats(batches):
         known = [r for r in rows if r[1] == 1]
         words, at = np.unique(np.concatenate([unpack48(r[3]) for r in asked]), return_inverse=True)
         stats = np.zeros((len(words), 5), np.int64)
-        np.add.at(stats, at, np.concatenate([np.frombuffer(r[4], np.int64).reshape(-1, 5) for r in asked]))
+        found = np.concatenate([loosened(r[4], len(r[3]) // 6, 5) for r in asked])
+        for k in range(5):
+            stats[:, k] = np.bincount(at, found[:, k], len(words))
         spell = np.concatenate([np.frombuffer(r[4], np.float32) for r in known])[np.searchsorted(np.concatenate([unpack48(r[3]) for r in known]), words)]
         m = np.append(stats[:, 4].sum(), np.bincount(np.minimum(stats[:, 4], 5), minlength=6)[1:5])
         blobs = [pa.array([x], pa.binary()) for x in (pack48(words), stats.tobytes(), spell.tobytes())]

@@ -61,7 +61,8 @@ def _count(batches):
         texts, halves = pc.fill_null(batch.column("text"), ""), batch.column("half").to_numpy()
         for lo, hi in groups(texts, 1_000_000):
             gram, n = grams(texts.slice(lo, hi - lo), table)
-            both, c = np.unique(np.repeat(halves[lo:hi], n).astype(np.int64) << (BITS * ORDER) | gram.astype(np.int64), return_counts=True)
+            both, c = np.unique(np.repeat(halves[lo:hi].astype(np.uint32), n) << np.uint32(BITS * ORDER) | gram, return_counts=True)
+            both = both.astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both >> (BITS * ORDER)), pa.array(both & ((1 << BITS * ORDER) - 1)), pa.array(c)], names=["half", "gram", "c"])
 
 

@@ -36,6 +36,10 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _nothing(rows) -> None:
+    pass
+
+
 class Workspace:
     """Tables written to the shared folder, which cut the lineage: a lost executor costs no upstream stage.
 
@@ -53,7 +57,11 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of plans whose results are written, so that they don't add up."""
+        """Let Spark's cleaner remove the shuffle files of plans whose results are written, so that they don't add up.
+
+        The scheduler's threads refer to the last job until there is another; an empty one frees it.
+        """
+        self.spark.range(0, 1, 1, 1).foreachPartition(_nothing)
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 

@@ -33,7 +33,6 @@ other columns are left out, or handed on as they are in the struct `carry`; an e
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -144,6 +143,8 @@ def runs(batches, by: int = 0):
 
 def words_of(texts: pa.Array, table: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, log2 probability of its spelling, text it is of) of all texts in turn: BEFORE, its words, AFTER."""
+    from xxhash import xxh64_intdigest
+
     lists = pc.ascii_split_whitespace(texts)
     words = pc.list_flatten(lists)
     owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
@@ -157,7 +158,7 @@ def words_of(texts: pa.Array, table: np.ndarray, dense: np.ndarray) -> tuple[np.
     word[ends - 1], bits[ends - 1] = AFTER, -END_BITS
     if len(code):
         at = np.arange(len(code)) + 2 * owner + 1
-        word[at] = (pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False) >> np.uint64(16))[code]
+        word[at] = np.array([xxh64_intdigest(w) >> 16 for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)[code]
         bits[at] = spelled(coded.dictionary, table, dense)[code]
     return word, bits, np.repeat(np.arange(len(texts)), n)
 

@@ -6,6 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,18 @@ def _nothing(rows) -> None:
     pass
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int = 8 << 20):
+    """While tables are written, tasks hand Python batches of `most` bytes: each is held by the JVM and by Python, twice while it grows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Workspace:
     """Tables written to the shared folder, which cut the lineage: a lost executor costs no upstream stage.
 
@@ -53,7 +66,8 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with arrow_batches(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:

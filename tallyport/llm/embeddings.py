@@ -9,8 +9,10 @@ first only, which both vectors' keys tell, so no pairs are written to be told ap
 Equal vectors are one class from the start. Buckets above TILE members are parted in tiles, each pair of parts in a task of
 its own. A task sends per-class counts and a spanning forest, never the pairs of a group.
 
-The number of hashes follows the number of vectors, so that buckets keep their size; probes and tables keep recall at
-cosine 0.9 above 0.99 (64 dimensions; see the tests).
+The number of hashes follows the number of vectors and the sides of the cross-polytope, two for each dimension, so that buckets
+keep their size: at 64 dimensions 2 hashes up to 130,000 vectors and 3 up to 17 million, at 1,536 dimensions 2 up to 130 million.
+Keys of any number of hashes are folded to 58 bits; keys that so meet only share a bucket. Measured recall of pairs at cosine 0.9
+exactly is in the README; nearer pairs are met more often.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
 different lengths don't link; a null vec_id is never a component's smallest id while another is there; repeated rows link
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import STEPS, mix
 from .components import components
 from .shared import Workspace, spread
 from .simhash_golay import Forest
@@ -43,12 +46,24 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(n)
 
 
+def shape(dim: int, n: int) -> tuple[int, int]:
+    """(hashes, probes) for n vectors, for buckets of about eight."""
+    hashes = max(2, math.ceil(math.log(max(n, 2) / 8, 2 * width(dim))))
+    return hashes, 1 << hashes
+
+
+def width(dim: int) -> int:
+    return max(2, 1 << (dim - 1).bit_length())
+
+
+KEY_BITS = 58
+
+
 class CrossPolytope:
-    """Bucket keys of unit vectors of one dimension."""
+    """Bucket keys of unit vectors of one dimension: the table in the top bits, below it a hash of dimension and sides."""
 
     def __init__(self, dim: int, hashes: int, probes: int, tables: int = TABLES, seed: int = SEED):
-        self.dim, self.hashes, self.probes, self.tables = dim, hashes, probes, tables
-        self.width = max(2, 1 << (dim - 1).bit_length())
+        self.dim, self.hashes, self.probes, self.tables, self.width = dim, hashes, probes, tables, width(dim)
         self.signs = np.random.default_rng([seed, dim]).choice(np.array([-1.0, 1.0]), (tables, hashes, 3, self.width))
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
@@ -59,7 +74,7 @@ class CrossPolytope:
 
     def _table(self, x: np.ndarray, t: int) -> np.ndarray:
         n, most = len(x), min(4, self.width)
-        code, loss = np.zeros((n, 1), np.int64), np.zeros((n, 1))
+        code, loss = np.full((n, 1), self.dim, np.uint64), np.zeros((n, 1))
         for signs in self.signs[t]:
             y = x
             for s in signs:
@@ -67,13 +82,14 @@ class CrossPolytope:
             size = np.abs(y)
             top = np.argsort(-size, axis=1, kind="stable")[:, :most]
             value = np.take_along_axis(size, top, 1)
-            own = 2 * top + (np.take_along_axis(y, top, 1) < 0)
-            code = (code[:, :, None] * (2 * self.width) + own[:, None, :]).reshape(n, -1)
+            own = (2 * top + (np.take_along_axis(y, top, 1) < 0)).astype(np.uint64)
+            code = mix(code[:, :, None] * STEPS[0] + own[:, None, :] + np.uint64(1)).reshape(n, -1)
             loss = (loss[:, :, None] + ((value[:, :1] - value) ** 2)[:, None, :]).reshape(n, -1)
             best = np.argsort(loss, axis=1, kind="stable")[:, : max(self.probes, most)]
             code, loss = np.take_along_axis(code, best, 1), np.take_along_axis(loss, best, 1)
         code = code[:, : self.probes]
-        return np.concatenate([code, np.repeat(code[:, :1], self.probes - code.shape[1], axis=1)], axis=1)
+        code = np.concatenate([code, np.repeat(code[:, :1], self.probes - code.shape[1], axis=1)], axis=1)
+        return (code >> np.uint64(64 - KEY_BITS)).astype(np.int64) | t << KEY_BITS
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -82,7 +98,7 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _keys(hashes: int, probes: int, dtype: str):
+def _keys(total: int, hashes: int | None, dtype: str):
     def run(batches):
         hashers = {}
         for batch in batches:
@@ -91,7 +107,7 @@ def _keys(hashes: int, probes: int, dtype: str):
             starts = np.cumsum(size) - size
             for dim in np.unique(size).tolist():
                 rows = np.flatnonzero(size == dim)
-                hasher = hashers.setdefault(dim, CrossPolytope(dim, hashes, probes))
+                hasher = hashers.get(dim) or hashers.setdefault(dim, CrossPolytope(dim, *((hashes, 1 << hashes) if hashes else shape(dim, total))))
                 for at in range(0, len(rows), 2048):
                     part = rows[at : at + 2048]
                     vectors = flat[starts[part][:, None] + np.arange(dim)]
@@ -103,28 +119,24 @@ def _keys(hashes: int, probes: int, dtype: str):
     return run
 
 
-def _entries(tables: int, probes: int):
+def _entries(batches):
     """(bucket, cid) of each bucket that a class enters, once."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(-1, tables, probes)
-            dims = np.array([len(v) for v in batch.column("vector").to_pylist()], np.int64)
-            bucket = (np.arange(tables)[None, :, None] << 58) + (dims[:, None, None] % 4096 << 46) + keys
-            bucket = np.sort(bucket.reshape(len(bucket), -1), axis=1)
-            new = np.ones(bucket.shape, bool)
-            new[:, 1:] = bucket[:, 1:] != bucket[:, :-1]
-            rows = pa.array(np.nonzero(new)[0])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[new]), *[batch.column(c).take(rows) for c in ("cid", "copies", "vector", "keys")]], names=["bucket", "cid", "copies", "vector", "keys"])
-
-    return run
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        blobs = batch.column("keys").to_pylist()
+        every = np.frombuffer(b"".join(blobs), np.int64)
+        rows = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
+        order = np.lexsort((every, rows))
+        bucket, rows = every[order], rows[order]
+        new = np.append(True, (bucket[1:] != bucket[:-1]) | (rows[1:] != rows[:-1]))
+        rows = pa.array(rows[new])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[new]), *[batch.column(c).take(rows) for c in ("cid", "copies", "vector", "keys")]], names=["bucket", "cid", "copies", "vector", "keys"])
 
 
 def bucket_links(bucket: int, x: np.ndarray, keys: np.ndarray, part: np.ndarray, min_cosine: float):
     """(i, j) arrays of the pairs of a bucket, or of two parts of it, at min_cosine whose first shared bucket it is."""
-    table, key = bucket >> 58, bucket & ((1 << 46) - 1)
+    table = bucket >> KEY_BITS
     two = len(np.unique(part)) > 1
     for at in range(0, len(x), 512):
         near = x[at : at + 512] @ x[at:].T >= min_cosine
@@ -140,10 +152,10 @@ def bucket_links(bucket: int, x: np.ndarray, keys: np.ndarray, part: np.ndarray,
                 fresh = ~(keys[a, t][:, :, None] == keys[b, t][:, None, :]).any(axis=(1, 2))
                 a, b = a[fresh], b[fresh]
             shared = np.where(keys[a, table][:, :, None] == keys[b, table][:, None, :], keys[a, table][:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2), initial=np.iinfo(np.int64).max)
-            yield a[shared == key], b[shared == key]
+            yield a[shared == bucket], b[shared == bucket]
 
 
-def _verify(tables: int, probes: int, dtype: str, min_cosine: float):
+def _verify(tables: int, dtype: str, min_cosine: float):
     def run(batches):
         forest, held = Forest(), None
 
@@ -151,14 +163,20 @@ def _verify(tables: int, probes: int, dtype: str, min_cosine: float):
             bucket, tile, cid, copies = (table.column(c).to_numpy() for c in ("bucket", "tile", "cid", "copies"))
             part = table.column("part").to_numpy()
             vectors, keys = table.column("vector").to_pylist(), table.column("keys").to_pylist()
-            start = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (tile[1:] != tile[:-1])))
+            size = np.array([len(v) for v in vectors])
+            # vectors of different lengths meet by a chance of their keys only
+            order = np.lexsort((size, tile, bucket))
+            if (order[1:] < order[:-1]).any():
+                bucket, tile, cid, copies, part, size = (x[order] for x in (bucket, tile, cid, copies, part, size))
+                vectors, keys = [vectors[i] for i in order], [keys[i] for i in order]
+            start = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (tile[1:] != tile[:-1]) | (size[1:] != size[:-1])))
             count = np.zeros(len(bucket), np.int64)
             edges = []
             for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(bucket)], strict=True):
                 if hi - lo < 2:
                     continue
                 x = units(np.frombuffer(b"".join(vectors[lo:hi]), dtype).reshape(hi - lo, -1))
-                k = np.frombuffer(b"".join(keys[lo:hi]), np.int64).reshape(hi - lo, tables, probes)
+                k = np.frombuffer(b"".join(keys[lo:hi]), np.int64).reshape(hi - lo, tables, -1)
                 for i, j in bucket_links(int(bucket[lo]), x, k, part[lo:hi], min_cosine):
                     np.add.at(count, lo + i, copies[lo + j])
                     np.add.at(count, lo + j, copies[lo + i])
@@ -183,8 +201,8 @@ def _verify(tables: int, probes: int, dtype: str, min_cosine: float):
     return run
 
 
-def embedding_groups(embeddings: DataFrame, min_cosine: float = MIN_COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id, kept of each vector."""
+def embedding_groups(embeddings: DataFrame, min_cosine: float = MIN_COSINE, id_col: str = "vec_id", vector_col: str = "embedding", hashes: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept of each vector. hashes: of each table; without it, as many as shape() says."""
     ws = Workspace(embeddings.sparkSession)
     e = F.col(vector_col)
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
@@ -192,11 +210,9 @@ def embedding_groups(embeddings: DataFrame, min_cosine: float = MIN_COSINE, id_c
     rows = embeddings.select(F.col(id_col).alias("vec_id"), F.when(valid, F.xxhash64(e)).alias("cid"), e.alias("e"))
     classes = ws.save(rows.where("cid is not null").groupBy("cid").agg(F.first("e").alias("e"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")), "classes")
     n = classes.count()
-    hashes = max(2, math.ceil(math.log(max(n, 2) / 8, 128)))
-    probes = 1 << hashes
     dtype = "<f4" if dict(embeddings.dtypes)[vector_col] == "array<float>" else "<f8"
-    keyed = spread(classes, "cid").select("cid", "copies", "e").mapInArrow(_keys(hashes, probes, dtype), "cid long, copies long, vector binary, keys binary")
-    entries = keyed.mapInArrow(_entries(TABLES, probes), "bucket long, cid long, copies long, vector binary, keys binary")
+    keyed = spread(classes, "cid").select("cid", "copies", "e").mapInArrow(_keys(n, hashes, dtype), "cid long, copies long, vector binary, keys binary")
+    entries = keyed.mapInArrow(_entries, "bucket long, cid long, copies long, vector binary, keys binary")
     sizes = entries.groupBy("bucket").count().where(F.col("count") > TILE).withColumn("parts", F.ceil(F.col("count") / TILE).cast("int")).drop("count")
     sizes = ws.save(sizes, "large")
     entries = entries.join(sizes, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -204,7 +220,7 @@ def embedding_groups(embeddings: DataFrame, min_cosine: float = MIN_COSINE, id_c
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     entries = entries.withColumn("other", other).withColumn("tile", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
     entries = entries.select("bucket", "tile", "part", "cid", "copies", "vector", "keys")
-    linked = entries.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile").mapInArrow(_verify(TABLES, probes, dtype, min_cosine), "a long, b long, n long")
+    linked = entries.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile").mapInArrow(_verify(TABLES, dtype, min_cosine), "a long, b long, n long")
     linked = ws.save(linked, "linked")
     ws.release()
     counts = linked.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))

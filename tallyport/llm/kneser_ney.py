@@ -40,11 +40,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import WORD, Workspace, groups, spread
-from .spelling import BITS, class_table, discounts, grams, spelled, trained, unfolded
+from .spelling import BITS, SCALE, class_table, discounts, grams, spelled, trained, unfolded
 
 LOW, HIGH, MARGIN, SHORT, QUANTILE_CHARS, FEW_DOCS, GRID = 0.005, 0.995, 0.05, 40, 100, 50, 1024
 #: Bytes of text in a block, parts in which a half is scored, shards at least (as a power of two), bytes of all text for a shard.
-BLOCK, ROUNDS, SHARD_BITS, SHARD_BYTES = 4_000_000, 3, 6, 32_000_000
+BLOCK, ROUNDS, SHARD_BITS, SHARD_BYTES = 3_000_000, 3, 6, 32_000_000
 #: Words are hashes of 48 bits. Those that stand before and after a text; multipliers of hashes; bits of an end by spelling.
 BEFORE, AFTER, STEP, END_BITS = np.uint64(0x9E3779B97F4A), np.uint64(0xC2B2AE3D27D4), np.uint64(0xD6E8FEB86659FD93), float(BITS)
 ROW = "shard long, kind int, source long, a binary, b binary, c binary"
@@ -340,9 +340,9 @@ def word_model(texts: DataFrame, spelling, shards: Shards, ws: Workspace) -> tup
 def plain_bits(texts: pa.Array, table: np.ndarray, dense: np.ndarray) -> np.ndarray:
     """Bits of each text by spelling alone."""
     gram, n = grams(texts, table)
-    total = np.concatenate([[0.0], np.cumsum(dense[gram], dtype=np.float64)])
+    total = np.concatenate([[0], np.cumsum(dense[gram], dtype=np.int64)])
     ends = np.cumsum(n)
-    return total[ends - n] - total[ends]
+    return (total[ends - n] - total[ends]) / SCALE
 
 
 def narrowed(x: np.ndarray) -> pa.Array:
@@ -388,6 +388,7 @@ def _asked(shared, shards: Shards, rest: float, carried: list[str]):
                 heads = [pa.array([x], t) for x, t in ((int(mixed(np.array([block], np.uint64))[0] >> np.uint64(64 - shards.bits)), pa.int64()), (2, pa.int32()), (block, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*heads, _ipc(docs), _ipc(use), pa.nulls(1, pa.binary())], names=NAMES)
                 block += 1
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -1,6 +1,6 @@
 """Spelling: interpolated modified Kneser-Ney 4-grams of 64 character classes, the last back-off of the word model.
 
-The alphabet bounds the tables (64^4 grams), whatever the corpus, so that a dense table of 67 MB at most is what workers hold.
+The alphabet bounds the tables (64^4 grams), whatever the corpus, so that a dense table of 34 MB at most is what workers hold.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from .shared import groups
 
 ORDER, BITS, START = 4, 6, 63
 CLASSES = 1 << BITS
+SCALE = 800  # the least probability, 2**-40, is -32000
 
 
 @cache
@@ -91,7 +92,7 @@ class Model:
             self.levels.append((gram, (c - cut) / total[at], context, np.bincount(at, cut) / total))
 
     def dense(self) -> np.ndarray:
-        """In place: the table of an order is the only array of its size."""
+        """log2 of probabilities in steps of 1 / SCALE, as whole numbers, so that sums are exact. The table of an order is the only large array."""
         lower = np.full(1, 1 / CLASSES, np.float32)
         for order, (gram, share, context, backoff) in enumerate(self.levels, 1):
             weight = np.ones(CLASSES ** (order - 1), np.float32)
@@ -102,7 +103,9 @@ class Model:
             p[gram] += share.astype(np.float32)
             lower = p
         np.maximum(lower, 1e-12, out=lower)
-        return np.log2(lower, out=lower)
+        np.log2(lower, out=lower)
+        lower *= SCALE
+        return np.rint(lower, out=lower).astype(np.int16)
 
 
 @lru_cache(1)
@@ -122,6 +125,6 @@ def trained(texts: DataFrame) -> list[Model | None]:
 def spelled(words: pa.Array, table: np.ndarray, dense: np.ndarray) -> np.ndarray:
     """log2 probability of the spelling of each word, from the blank before it to the one after it."""
     gram, n = grams(pc.binary_join_element_wise(" ", words, " ", ""), table)
-    total = np.concatenate([[0.0], np.cumsum(dense[gram], dtype=np.float64)])
+    total = np.concatenate([[0], np.cumsum(dense[gram], dtype=np.int64)])
     ends = np.cumsum(n)
-    return total[ends] - total[ends - n + 1]
+    return (total[ends] - total[ends - n + 1]) / SCALE

@@ -228,8 +228,8 @@ def test_kneser_ney_equals_the_definition(spark, texts):
         dense, p = model.dense(), plain_kneser_ney([t for t in some if zlib.crc32(t.encode()) % 2 == half])
         for g in [*rng.integers(0, 64, (300, 4)).tolist(), [20, 8, 5, 0], [63, 63, 63, 46], [8, 5, 0, 15]]:
             code = g[0] << 18 | g[1] << 12 | g[2] << 6 | g[3]
-            assert dense[code] == pytest.approx(np.log2(p(tuple(g))), abs=2e-3)
-        assert np.exp2(dense.reshape(-1, 64).astype(float)).sum(axis=1) == pytest.approx(1, abs=1e-3)
+            assert dense[code] / spelling.SCALE == pytest.approx(np.log2(p(tuple(g))), abs=2e-3)
+        assert np.exp2(dense.reshape(-1, 64) / spelling.SCALE).sum(axis=1) == pytest.approx(1, abs=1e-3)
     assert spelling.trained(halved(spark, [])) == [None, None]
 
 
@@ -285,7 +285,7 @@ def test_bits_limits_and_kept_equal_the_definition(spark, texts, docs, labels, m
         t = r.text or ""
         gram, _ = spelling.grams(pa.array([t]), table)
         size = max(len(t), 1)
-        want.append((r, size, -float(dense[1 - zlib.crc32(t.encode()) % 2][gram].sum(dtype=float)) / size, bits / size))
+        want.append((r, size, -float(dense[1 - zlib.crc32(t.encode()) % 2][gram].sum(dtype=int)) / spelling.SCALE / size, bits / size))
     q = lambda x, f: sorted(x)[int(np.ceil(f * len(x))) - 1] if x else None
     step = lambda x: np.floor(x * 1024 + 0.5) / 1024
     ends = lambda own: (q([step(w[2]) for w in own], 0.005), q([step(w[2]) for w in own], 0.995), q([step(w[3]) for w in own], 0.995), len(own))
@@ -479,17 +479,46 @@ def test_embeddings(spark, monkeypatch, tile):
     assert embeddings.embedding_groups(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("hashes", "probes"), [(2, 4), (3, 8)])
-def test_cross_polytope_recall(hashes, probes):
+@pytest.mark.parametrize(("dim", "hashes", "least"), [(64, 2, 0.99), (64, 3, 0.99), (64, 4, 0.97), (64, 5, 0.95), (384, 2, 0.97), (384, 3, 0.95), (768, 2, 0.97), (768, 3, 0.95), (1536, 2, 0.95)])
+def test_cross_polytope_recall(dim, hashes, least):
     """Pairs at cosine 0.9 exactly share a bucket in one table at least."""
-    rng, n = np.random.default_rng(3), 1500
-    a = embeddings.units(rng.normal(size=(n, 64)))
-    b = rng.normal(size=(n, 64))
+    rng, n = np.random.default_rng(3), 600
+    a = embeddings.units(rng.normal(size=(n, dim)))
+    b = rng.normal(size=(n, dim))
     b = embeddings.units(b - (a * b).sum(axis=1, keepdims=True) * a)
     near = 0.9 * a + np.sqrt(1 - 0.81) * b
-    hasher = embeddings.CrossPolytope(64, hashes, probes)
+    hasher = embeddings.CrossPolytope(dim, hashes, 1 << hashes)
     met = (hasher.keys(a)[:, :, :, None] == hasher.keys(near)[:, :, None, :]).any(axis=(1, 2, 3))
-    assert met.mean() >= 0.99
+    print(dim, hashes, met.mean())
+    assert met.mean() >= least
+
+
+def test_number_of_hashes():
+    assert [embeddings.shape(64, n)[0] for n in (10, 130_000, 10**6, 10**9)] == [2, 2, 3, 4]
+    assert [embeddings.shape(1536, n)[0] for n in (10, 10**8, 10**9)] == [2, 2, 3]
+
+
+def test_many_hashes_and_mixed_lengths_lose_no_link(spark):
+    """Five hashes at 1,536 dimensions, and vectors of 1,024 and 2,048 dimensions in one table."""
+    rng, rows = np.random.default_rng(4), []
+    for k, dim in enumerate((1024, 1536, 2048)):
+        for i in range(25):
+            v = rng.normal(size=dim)
+            rows += [(1000 * k + 2 * i, v.tolist()), (1000 * k + 2 * i + 1, (v + 0.05 * rng.normal(size=dim)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert counted(embeddings.embedding_groups(df, hashes=5), "vec_id", "n_links", "component_id", "kept") == plain_embedding_groups(rows)
+
+
+def test_a_bucket_of_mixed_lengths():
+    """Vectors of 2, 4 and 8 numbers whose keys met by chance: only those of a length are compared."""
+    import pyarrow as pa
+
+    vectors = [np.eye(d)[i % 2] for i in range(4) for d in (2, 4, 8)]
+    keys = (np.arange(embeddings.TABLES, dtype=np.int64)[:, None] << embeddings.KEY_BITS).tobytes()
+    columns = {"bucket": [0] * 12, "tile": [0] * 12, "part": [0] * 12, "cid": list(range(12)), "copies": [1] * 12, "vector": [v.tobytes() for v in vectors], "keys": [keys] * 12}
+    (out,) = embeddings._verify(embeddings.TABLES, "<f8", 0.9)([pa.RecordBatch.from_pydict(columns)])
+    linked = {frozenset(e) for e in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True) if e[1] is not None}
+    assert linked == {frozenset((i, j)) for i in range(12) for j in range(i) if (i - j) == 6}
 
 
 # --- repeated spans -----------------------------------------------------------------------------------------------------

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, parts
+from .shared import Workspace, freed, parts
 
 #: Odd multipliers of the hashes, made from a rule: golden-ratio steps, made odd.
 STEPS = np.array([(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1)) | 1 for i in range(16)], np.uint64)
@@ -173,7 +173,7 @@ def _rows(kind):
                 columns = [h.view(np.int64), sig.view(np.int64), rid[text[piece]], at - starts[piece] + first[piece], count.astype(np.int32), anchor.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "sig", "rid", "first", "windows", "anchor"])
 
-    return run
+    return freed(run)
 
 
 def anchor_rows(texts: DataFrame, kind) -> DataFrame:
@@ -232,7 +232,7 @@ def _contents(kind):
                 rid = pc.take(batch.column("rid"), pa.array(owner[at : at + 4096]))
                 yield pa.RecordBatch.from_arrays([part.field("h"), rid, part.field("first"), part.field("windows"), part.field("n"), content], names=["h", "rid", "first", "windows", "n", "content"])
 
-    return run
+    return freed(run)
 
 
 def _matches(kind, most: int = 2 << 20):
@@ -274,7 +274,7 @@ def _matches(kind, most: int = 2 << 20):
         if held:
             yield found(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    return run
+    return freed(run)
 
 
 def repeated_spans(rows: DataFrame, texts: DataFrame, kind, ws: Workspace, name: str, solid_spans=None) -> DataFrame:
@@ -347,7 +347,7 @@ def _window_rows(kind):
                 columns = [pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), batch.column("rid").take(taken), pa.array(batch.column("first").to_numpy()[row] + j), batch.column("n").take(taken)]
                 yield pa.RecordBatch.from_arrays(columns, names=["f", "g", "rid", "lo", "n"])
 
-    return run
+    return freed(run)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import Words, anchor_rows, merged, repeated_spans
-from .shared import Workspace, parts, spread
+from .shared import Workspace, freed, parts, spread
 from .suffix_levels import identified
 
 WINDOW = 35
@@ -59,6 +59,7 @@ def _path_spans(again, contents, kind, ws, name):
     return placed.select("rid", "lo", (F.col("end") + kind.window - 1).alias("hi"))
 
 
+@freed
 def _cut(batches):
     for batch in parts(batches):
         n, removed, digests, kept = [], [], [], []

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .anchors import STEPS, mix
 from .components import components
-from .shared import Workspace, spread
+from .shared import Workspace, freed, spread
 from .simhash_golay import Forest
 
 MIN_COSINE, TABLES, SEED, TILE = 0.9, 6, 42, 2048
@@ -116,9 +116,10 @@ def _keys(total: int, hashes: int | None, dtype: str):
                     blobs = [[v.tobytes() for v in vectors.astype(dtype)], [k.tobytes() for k in keys]]
                     yield pa.RecordBatch.from_arrays([*columns, *[pa.array(b, pa.binary()) for b in blobs]], names=["cid", "copies", "vector", "keys"])
 
-    return run
+    return freed(run)
 
 
+@freed
 def _entries(batches):
     """(bucket, cid) of each bucket that a class enters, once."""
     for batch in batches:
@@ -198,7 +199,7 @@ def _verify(tables: int, dtype: str, min_cosine: float):
         if held is not None:
             yield links(held)
 
-    return run
+    return freed(run)
 
 
 def embedding_groups(embeddings: DataFrame, min_cosine: float = MIN_COSINE, id_col: str = "vec_id", vector_col: str = "embedding", hashes: int | None = None) -> DataFrame:

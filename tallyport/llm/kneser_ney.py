@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, Workspace, groups, spread
+from .shared import WORD, Workspace, freed, groups, spread
 from .spelling import BITS, SCALE, class_table, discounts, grams, spelled, trained, unfolded
 
 LOW, HIGH, MARGIN, SHORT, QUANTILE_CHARS, FEW_DOCS, GRID = 0.005, 0.995, 0.05, 40, 100, 50, 1024
@@ -192,9 +192,10 @@ def _counts(shared, shards: Shards):
                 w, first = np.unique(word, return_index=True)
                 yield shards.rows(shards.of_word(w), 1, 0, a=w, b=bits[first].astype(np.float32))
 
-    return run
+    return freed(run)
 
 
+@freed
 def _added(batches):
     """A shard's rows of a kind added up; n1 to n4: how many bigrams have these counts, n: how many there are."""
     for shard, rows in runs(batches):
@@ -239,9 +240,10 @@ def _requests(shards: Shards):
             blobs = [squeezed(x) for x in np.split(stats, first[1:])]
             yield out.set_column(4, "b", pa.array(blobs, pa.binary()))
 
-    return run
+    return freed(run)
 
 
+@freed
 def _word_stats(batches):
     """A shard's words with the sums of their numbers and their spelling; m1 to m4: how many end so many bigrams, m: sum of these."""
     for shard, rows in runs(batches):
@@ -282,7 +284,7 @@ def _replies(shards: Shards, cut: tuple, cut_low: tuple, total: int, rest: float
                     found = every[np.searchsorted(words, unpack48(a))]
                     yield shards.rows(np.full(len(found), source), 1, shard, b=found)
 
-    return run
+    return freed(run)
 
 
 def _values(shards: Shards, cut: tuple):
@@ -305,7 +307,7 @@ def _values(shards: Shards, cut: tuple):
             order = np.argsort(key, kind="stable")
             yield shards.rows(np.full(len(key), shard), 0, 0, a=key[order], b=value[order])
 
-    return run
+    return freed(run)
 
 
 def _by(df: DataFrame, *order: str) -> DataFrame:
@@ -388,11 +390,11 @@ def _asked(shared, shards: Shards, rest: float, carried: list[str]):
                 heads = [pa.array([x], t) for x, t in ((int(mixed(np.array([block], np.uint64))[0] >> np.uint64(64 - shards.bits)), pa.int64()), (2, pa.int32()), (block, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*heads, _ipc(docs), _ipc(use), pa.nulls(1, pa.binary())], names=NAMES)
                 block += 1
-            pa.default_memory_pool().release_unused()
 
-    return run
+    return freed(run)
 
 
+@freed
 def _looked_up(batches):
     """The values of the grams that blocks ask a shard for, 0 for those that it doesn't hold."""
     now, keys, values = None, np.zeros(0, np.uint64), np.zeros(0, np.float32)
@@ -429,7 +431,7 @@ def _scored(names: list[str]):
             plain, bits = docs.column("plain").to_numpy() / size, (docs.column("base").to_numpy() - gain) / size
             yield pa.RecordBatch.from_arrays([*[docs.column(c) for c in names], pa.array(plain), pa.array(bits)], names=[*names, "plain", "bits"])
 
-    return run
+    return freed(run)
 
 
 def word_bits(seen: DataFrame, trusted: DataFrame, ws: Workspace) -> DataFrame | None:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .shared import groups, text_column
+from .shared import freed, groups, text_column
 from .word_bpe import WordIds, default_path, ids_of, word_ids
 
 WINDOW, END_ID = 2048, 1
@@ -180,7 +180,7 @@ def _pack(path: str, window: int):
         if stream and (rest := stream.cut(True)) is not None:
             yield rest
 
-    return run
+    return freed(run)
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

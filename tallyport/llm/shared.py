@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,23 @@ def _nothing(rows) -> None:
     pass
 
 
+def freed(run):
+    """A function of Arrow batches, after which the worker gives unused memory back to the system: other tasks reuse the worker beside a JVM that
+    has its own needs."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, most: int = 8 << 20):
     """While tables are written, tasks hand Python batches of `most` bytes: each is held by the JVM and by Python, twice while it grows."""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Workspace, spread
+from .shared import Workspace, freed, spread
 
 MAX_BITS, SEED, SHINGLE = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -99,6 +99,7 @@ def fingerprint(text: bytes, xxh64) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+@freed
 def _fingerprints(batches):
     import xxhash
 
@@ -108,6 +109,7 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([*map(batch.column, ["doc_id", *more]), pa.array(found.view(np.int64))], names=["doc_id", *more, "fp"])
 
 
+@freed
 def _explode(batches):
     code = Golay()
     for batch in batches:
@@ -184,7 +186,7 @@ def _verify(max_bits: int):
         if len(held_key):
             yield edges(held_key, held_fp)
 
-    return run
+    return freed(run)
 
 
 def simhash_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import groups
+from .shared import freed, groups
 
 ORDER, BITS, START = 4, 6, 63
 CLASSES = 1 << BITS
@@ -55,6 +55,7 @@ def grams(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return gram[keep], n
 
 
+@freed
 def _count(batches):
     """(half, gram, c) of texts (text, half)."""
     table = class_table()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Bytes, anchor_rows, merged, repeated_spans
-from .shared import Workspace, parts, spread
+from .shared import Workspace, freed, parts, spread
 
 WINDOW, BATCHES = 200, 2
 
@@ -90,7 +90,7 @@ def _cut(rest_as: str):
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return run
+    return freed(run)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", carry: tuple = (), rest: str = "bytes") -> DataFrame:

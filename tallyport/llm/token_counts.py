@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import groups, spread, text_column
+from .shared import freed, groups, spread, text_column
 from .word_bpe import default_path, ids_of, word_ids
 
 LIMIT = 2048
@@ -89,7 +89,7 @@ def _counts(path: str, keep: bool):
                 names += ["prefix_bytes", "prefix_tokens"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return run
+    return freed(run)
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", prefix_table: bool = False) -> DataFrame:

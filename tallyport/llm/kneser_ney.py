@@ -406,7 +406,7 @@ def _looked_up(batches):
             if kind == 0:
                 keys, values = unpack48(a), np.frombuffer(b, np.float32)
             elif kind == 2:
-                out.append((shard, kind, source, a, b, c))
+                out.append((shard, kind, source, a.to_pybytes(), b.to_pybytes(), None))
             else:
                 asked = unpack48(a)
                 at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
@@ -414,7 +414,7 @@ def _looked_up(batches):
                 out.append((shard, 1, source, None, found.tobytes(), None))
         if out:
             heads = [pa.array(x, t) for x, t in zip(list(zip(*out, strict=True))[:3], (pa.int64(), pa.int32(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*heads, *[pa.array([None if x is None else memoryview(x) for x in col], pa.binary()) for col in list(zip(*out, strict=True))[3:]]], names=NAMES)
+            yield pa.RecordBatch.from_arrays([*heads, *[pa.array(col, pa.binary()) for col in list(zip(*out, strict=True))[3:]]], names=NAMES)
 
 
 def _scored(names: list[str]):

@@ -75,6 +75,14 @@ def same(a: Column, a_kind: T.DataType, b: Column, b_kind: T.DataType, canonical
     return a.eqNullSafe(b)
 
 
+def display(value: Column, kind: T.DataType) -> Column:
+    """A value as it is shown: times with as many digits of the second as they have, bytes as text, others as they are."""
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
+        digits = F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        return F.when(digits.endswith(".000000"), F.substring(digits, 1, 19)).otherwise(F.rtrim(digits, F.lit("0")))
+    return value.cast("string") if isinstance(kind, T.BinaryType) else value
+
+
 def row_hash(columns: dict[str, tuple[Column, T.DataType]]) -> Column:
     """SHA-256 over the canonical texts in order of column name, NULL as its text."""
     parts = [F.coalesce(canonical(c, kind), F.lit(NULL_TEXT)).alias(name) for name, (c, kind) in sorted(columns.items())]

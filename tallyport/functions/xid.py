@@ -53,9 +53,10 @@ def parse_prepare_event(body: bytes) -> tuple[Xid, bool]:
 
     Where the second length can't be 32 bits wide, it is read as 8 bits.
     """
-    one_phase, number, n = body[0] != 0, *struct.unpack_from("<iI", body, 1)
-    m = struct.unpack_from("<I", body, 9)[0]
-    at = 13
+    if len(body) < 10:
+        raise ValueError("prepare event is too short")
+    one_phase, number, n = body[0] != 0, *struct.unpack_from("<II", body, 1)
+    m, at = struct.unpack_from("<I", body, 9)[0] if len(body) >= 13 else len(body), 13
     if at + n + m > len(body):
         m, at = body[9], 10
     if at + n + m > len(body):

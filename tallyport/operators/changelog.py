@@ -27,11 +27,12 @@ def resolve_prepared(prepared: DataFrame, outcomes: DataFrame) -> DataFrame:
     prepared: (txn, xid, pos). outcomes: (xid, action, pos). An outcome matches its own key first; else the newest earlier
     prepared transaction whose key is equal but for the format. Each outcome counts once.
     """
-    with_suffix = prepared.withColumn("suffix", key_suffix(F.col("xid")))
-    ends = outcomes.select(F.col("xid").alias("out_xid"), "action", F.col("pos").alias("out_pos"), key_suffix(F.col("xid")).alias("suffix"))
-    near = with_suffix.join(ends, "suffix").where(F.col("pos") <= F.col("out_pos"))
-    exact = (F.col("xid") == F.col("out_xid")).cast("int")
-    best = near.groupBy("out_xid", "out_pos", "action").agg(F.max_by(F.struct("txn", "xid"), F.struct(exact, F.col("pos"))).alias("m"))
+    none = F.lit(None)
+    begun = prepared.select("xid", "pos", F.struct("txn", "xid").alias("m"), none.cast("string").alias("action"))
+    every = begun.unionByName(outcomes.select("xid", "pos", "action"), allowMissingColumns=True).withColumn("suffix", key_suffix(F.col("xid")))
+    # the newest prepared one up to each place, by a sort for each key: ids that are used again and again make no pairs
+    newest = lambda by: F.last("m", ignorenulls=True).over(Window.partitionBy(by).orderBy("pos", F.col("m").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    best = every.withColumn("m", F.coalesce(newest("xid"), newest("suffix"))).where(F.col("action").isNotNull() & F.col("m").isNotNull()).withColumnRenamed("pos", "out_pos")
     ended = best.select("m.txn", F.when(F.col("action") == "commit", F.col("out_pos")).alias("commit_pos"), "action", "out_pos")
     ended = ended.groupBy("txn").agg(F.min_by(F.struct("commit_pos", "action"), "out_pos").alias("e")).select("txn", "e.commit_pos", "e.action")
     return prepared.join(ended, "txn", "left").select("txn", "xid", "commit_pos", F.coalesce("action", F.lit("pending")).alias("outcome"))
@@ -43,6 +44,16 @@ def orphans(prepared: DataFrame, outcomes: DataFrame) -> DataFrame:
     return outcomes.where(F.col("action") == "commit").withColumn("suffix", key_suffix(F.col("xid"))).join(keys, "suffix", "left_anti").drop("suffix")
 
 
+def of_tables(log: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(operations of the active mappings with their target_table, operations of tables that no mapping knows).
+
+    log: rows with table_id. mappings: (table_id, target_table, active), one row a table; the planner broadcasts them if they are few.
+    Operations of inactive mappings are in neither.
+    """
+    known = mappings.select("table_id", "target_table", "active")
+    return log.join(known.where("active").drop("active"), "table_id"), log.join(known, "table_id", "left_anti")
+
+
 def visible(log: DataFrame, transactions: DataFrame) -> DataFrame:
     """Operations that take effect, with commit_pos and prepared. transactions: (txn, commit_pos, prepared), null commit_pos: none."""
     return log.join(transactions.where(F.col("commit_pos").isNotNull()).select("txn", "commit_pos", "prepared"), "txn")

@@ -1,4 +1,7 @@
-"""Comparison of two versions of a keyed table: one full outer join, classified row by row."""
+"""Comparison of two versions of a keyed table: one full outer join, classified row by row.
+
+Keys are taken to be unique on each side (operators.precheck tells); of repeated keys each pair of rows is compared.
+"""
 
 from __future__ import annotations
 
@@ -80,6 +83,18 @@ def compare_tables(jobs: list[tuple[DataFrame, DataFrame, TableMapping]], only:
     return reduce(DataFrame.unionByName, parts)
 
 
+def record(diffs: DataFrame, path: str, job: int) -> DataFrame:
+    """Differences stored below path as those of a job, over what an earlier run of the job has left, and read again: what is repaired or
+    counted later is what was found, without another comparison."""
+    diffs.write.mode("overwrite").parquet(f"{path.rstrip('/')}/job={job}")
+    return diffs.sparkSession.read.schema(diffs.schema).parquet(f"{path.rstrip('/')}/job={job}")
+
+
+def counted(diffs: DataFrame) -> DataFrame:
+    """One row: how many differences of each kind, and all."""
+    return diffs.agg(*[F.count_if(F.col("diff_type") == kind).alias(kind) for kind in KINDS], F.count(F.lit(1)).alias("diff_rows"))
+
+
 def summary(diffs: DataFrame) -> DataFrame:
     return diffs.groupBy("diff_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -87,13 +102,15 @@ def summary(diffs: DataFrame) -> DataFrame:
 def field_values(source: DataFrame, target: DataFrame, mapping: TableMapping) -> DataFrame:
     """key, column, source_value, target_value, equal for each compared column of rows that both sides have and that differ."""
     joined = _joined(source, target, mapping).where(F.col("s").isNotNull() & F.col("t").isNotNull())
+    # typed tests first: text is made of the rows that differ, not of all
+    joined = joined.where(F.size(_differing(joined, mapping, None)) > 0)
     s, t = joined.schema["s"].dataType, joined.schema["t"].dataType
     cells = []
     for n in s.names:
         a, b = F.col("s")[n], F.col("t")[n]
         cells.append(F.struct(F.lit(n).alias("column"), canonical(a, s[n].dataType).alias("source_value"), canonical(b, t[n].dataType).alias("target_value"), same(a, s[n].dataType, b, t[n].dataType).alias("equal")))
     cells = F.array(*cells)
-    return joined.select(F.col("k").alias("key"), cells.alias("cells")).where(F.exists("cells", lambda c: ~c["equal"])).select("key", F.explode("cells").alias("c")).select("key", "c.*")
+    return joined.select(F.col("k").alias("key"), F.explode(cells).alias("c")).select("key", "c.*")
 
 
 def hashes(rows: DataFrame, key: str, names: dict[str, str] | None = None) -> DataFrame:

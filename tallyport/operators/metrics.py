@@ -88,6 +88,33 @@ def progress(tables: DataFrame) -> DataFrame:
     return sums.select(F.col("processed").cast("long").alias("processed"), F.col("total").cast("long").alias("total"), F.when(F.col("total") > 0, share).when(F.col("active"), F.lit(100.0)).otherwise(F.lit(0.0)).alias("percent"))
 
 
+def capped_percent(done: Column, total: Column, before: Column) -> Column:
+    """Percent of work that still runs: never above 99.9; what it was before where there is no total."""
+    return F.when(total > 0, F.least(F.lit(99.9), done * F.lit(100.0) / total)).otherwise(before.cast("double"))
+
+
+def bump(jobs: DataFrame, key: str, increments: DataFrame) -> DataFrame:
+    """Jobs (key, total_rows, processed_rows, diff_rows, repaired_rows, progress_percent) after increments (key, processed, diffs, repaired), of
+    which a job may have any number."""
+    sums = increments.groupBy(key).agg(*[F.sum(c).alias(f"_{c}") for c in ("processed", "diffs", "repaired")])
+    more = lambda c, by: F.col(c) + F.coalesce(F.col(by), F.lit(0))
+    found = jobs.join(sums, key, "left").withColumns({"processed_rows": more("processed_rows", "_processed"), "diff_rows": more("diff_rows", "_diffs"), "repaired_rows": more("repaired_rows", "_repaired")})
+    percent = F.when(F.col("_processed").isNull(), F.col("progress_percent").cast("double")).otherwise(capped_percent(F.col("processed_rows"), F.col("total_rows"), F.col("progress_percent")))
+    return found.withColumn("progress_percent", percent).select(*jobs.columns)
+
+
+def of_task(log: DataFrame, task_id: int | None = None, low=None, high=None) -> DataFrame:
+    """Log rows of a task (of all, without one) from low to high, both included."""
+    rows = log if not task_id else log.where(F.col("task_id") == task_id)
+    rows = rows if low is None else rows.where(F.col("created_at") >= F.lit(low))
+    return rows if high is None else rows.where(F.col("created_at") <= F.lit(high))
+
+
+def live_counts(rows: DataFrame, **conditions: str) -> DataFrame:
+    """One row: how many rows hold each condition."""
+    return rows.agg(*[F.count_if(F.expr(test)).alias(name) for name, test in conditions.items()])
+
+
 def throughput(rows: Column, seconds: Column) -> Column:
     """Rows a second, 0 without time."""
     return F.coalesce(F.try_divide(rows.cast("double"), seconds.cast("double")), F.lit(0.0))

@@ -70,13 +70,13 @@ def commits(tx: DataFrame) -> DataFrame:
 
 def prepares(tx: DataFrame) -> DataFrame:
     """Prepared transactions (txn, xid, pos)."""
-    name = F.concat(F.lit("mw_xa_"), F.lpad(F.col("txn").cast("string"), 6, "0"))
+    name = F.concat(F.lit("trx_"), F.lpad(F.col("txn").cast("string"), 6, "0"))
     return tx.where("kind <> 'plain'").select("txn", xid_key(name).alias("xid"), F.col("last_pos").alias("pos"))
 
 
 def outcomes(tx: DataFrame) -> DataFrame:
     """Ends of prepared transactions (xid, action, pos); a rollback comes 20 places behind the last operation."""
-    name = F.concat(F.lit("mw_xa_"), F.lpad(F.col("txn").cast("string"), 6, "0"))
+    name = F.concat(F.lit("trx_"), F.lpad(F.col("txn").cast("string"), 6, "0"))
     ended = tx.where("kind in ('xa_commit', 'xa_rollback')")
     commit = F.col("kind") == "xa_commit"
     return ended.select(xid_key(name).alias("xid"), F.when(commit, "commit").otherwise("rollback").alias("action"), (F.col("last_pos") + F.when(commit, 50).otherwise(20)).alias("pos"))

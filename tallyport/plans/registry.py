@@ -174,7 +174,7 @@ def changelog_txn_visible(spark, sf_dir):
     return changelog.assemble(ops, fx.commits(fx.transactions(ops))).select("pos", "txn", "k", "op", "commit_pos")
 
 
-@query(f"""WITH {fx.LOG_SQL} SELECT txn, '1:' || lower(hex('mw_xa_' || lpad(CAST(txn AS VARCHAR), 6, '0'))) || ':' AS xid, CASE WHEN kind = 'xa_commit' THEN last_pos + 50 END AS commit_pos,
+@query(f"""WITH {fx.LOG_SQL} SELECT txn, '1:' || lower(hex('trx_' || lpad(CAST(txn AS VARCHAR), 6, '0'))) || ':' AS xid, CASE WHEN kind = 'xa_commit' THEN last_pos + 50 END AS commit_pos,
 CASE kind WHEN 'xa_commit' THEN 'commit' WHEN 'xa_rollback' THEN 'rollback' ELSE 'pending' END AS outcome FROM tx WHERE kind <> 'plain'""")
 def changelog_xa_resolve(spark, sf_dir):
     tx = fx.transactions(fx.log(spark, sf_dir))
@@ -189,7 +189,7 @@ def changelog_xa_pending(spark, sf_dir):
     return ops.join(pending, "txn", "left_semi").select("pos", "txn", "op")
 
 
-@query(f"WITH {fx.LOG_SQL} SELECT '1:' || lower(hex('mw_xa_' || lpad(CAST(txn AS VARCHAR), 6, '0'))) || ':' AS xid, 'commit' AS action, last_pos + 50 AS pos FROM tx WHERE kind = 'xa_commit' AND txn % 33 = 0")
+@query(f"WITH {fx.LOG_SQL} SELECT '1:' || lower(hex('trx_' || lpad(CAST(txn AS VARCHAR), 6, '0'))) || ':' AS xid, 'commit' AS action, last_pos + 50 AS pos FROM tx WHERE kind = 'xa_commit' AND txn % 33 = 0")
 def changelog_xa_orphans(spark, sf_dir):
     tx = fx.transactions(fx.log(spark, sf_dir))
     return changelog.orphans(fx.prepares(tx.where("txn % 33 <> 0")), fx.outcomes(tx)).select("xid", "action", "pos")
@@ -253,13 +253,67 @@ def log_high_water(spark, sf_dir):
     return changelog.high_water(table(spark, sf_dir, "events").select(F.concat(F.lit("binlog."), F.lpad(number, 6, "0")).alias("file"), (F.col("event_id") % 1000).alias("pos")))
 
 
-@query(f"WITH {fx.LOG_SQL} SELECT txn, '1:' || lower(hex('mw_xa_' || lpad(CAST(txn AS VARCHAR), 6, '0'))) || ':' AS key, lower(hex('mw_xa_' || lpad(CAST(txn AS VARCHAR), 6, '0'))) || ':' AS suffix FROM tx")
+@query(f"WITH {fx.LOG_SQL} SELECT txn, '1:' || lower(hex('trx_' || lpad(CAST(txn AS VARCHAR), 6, '0'))) || ':' AS key, lower(hex('trx_' || lpad(CAST(txn AS VARCHAR), 6, '0'))) || ':' AS suffix FROM tx")
 def xid_parse(spark, sf_dir):
     tx = fx.transactions(fx.log(spark, sf_dir))
-    key = xid_key(F.concat(F.lit("mw_xa_"), F.lpad(F.col("txn").cast("string"), 6, "0")))
+    key = xid_key(F.concat(F.lit("trx_"), F.lpad(F.col("txn").cast("string"), 6, "0")))
     return tx.select("txn", key.alias("key"), key_suffix(key).alias("suffix"))
 
 
+@query(f"""WITH {fx.LOG_SQL}, routed AS (SELECT pos, op, k, 'copy_' || (k % 4) AS target_table FROM lg WHERE k % 4 IN (0, 2))
+SELECT target_table, k, max_by(op, pos) AS op, max(pos) AS pos FROM routed GROUP BY ALL""")
+def changelog_tables(spark, sf_dir):
+    """One log of several tables: operations of active mappings, the last of each key of each target table."""
+    log = fx.log(spark, sf_dir).withColumn("table_id", F.col("k") % 4)
+    mappings = spark.createDataFrame([(0, "copy_0", True), (1, "copy_1", False), (2, "copy_2", True)], "table_id long, target_table string, active boolean")
+    return merge.last_per_key(changelog.of_tables(log, mappings)[0], ["target_table", "k"], ["pos"]).select("target_table", "k", "op", "pos")
+
+
+@query(f"WITH {fx.LOG_SQL} SELECT k % 4 AS table_id, count(*) AS n FROM lg WHERE k % 4 = 3 GROUP BY ALL")
+def changelog_unknown_tables(spark, sf_dir):
+    log = fx.log(spark, sf_dir).withColumn("table_id", F.col("k") % 4)
+    mappings = spark.createDataFrame([(0, "copy_0", True), (1, "copy_1", False), (2, "copy_2", True)], "table_id long, target_table string, active boolean")
+    return changelog.of_tables(log, mappings)[1].groupBy("table_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {fx.METRICS_SQL} SELECT id, created_at, event_type FROM m WHERE task_id = 3 AND created_at >= (SELECT min(created_at) + INTERVAL 1 HOUR FROM m) AND created_at <= (SELECT max(created_at) - INTERVAL 1 HOUR FROM m)")
+def task_log_range(spark, sf_dir):
+    log = fx.metrics_log(spark, sf_dir)
+    low, high = log.agg(F.min("created_at") + F.expr("INTERVAL 1 HOUR"), F.max("created_at") - F.expr("INTERVAL 1 HOUR")).first()
+    return metrics.of_task(log, 3, low, high).select("id", "created_at", "event_type")
+
+
+@query("""WITH j AS (SELECT o_orderpriority AS job, CASE WHEN o_orderpriority LIKE '5%' THEN 0 ELSE count(*) END AS total_rows, count_if(o_orderstatus <> 'O') + CASE WHEN o_orderpriority LIKE '1%' THEN count(*) ELSE 0 END AS done,
+count_if(o_orderkey % 7 = 0) AS d, count_if(o_orderkey % 14 = 0) AS r FROM orders GROUP BY 1)
+SELECT job, total_rows, 10 + done AS processed_rows, 1 + d AS diff_rows, r AS repaired_rows, CASE WHEN total_rows > 0 THEN least(99.9, (10 + done) * 100.0::DOUBLE / total_rows) ELSE 12.5 END AS progress_percent FROM j""")
+def job_progress(spark, sf_dir):
+    """Counters of jobs after many increments, percent capped while they run."""
+    orders = table(spark, sf_dir, "orders").withColumn("job", F.col("o_orderpriority"))
+    total = F.when(F.col("job").startswith("5"), F.lit(0)).otherwise(F.count(F.lit(1)))
+    jobs = orders.groupBy("job").agg(total.alias("total_rows")).select("job", "total_rows", F.lit(10).cast("long").alias("processed_rows"), F.lit(1).cast("long").alias("diff_rows"), F.lit(0).cast("long").alias("repaired_rows"), F.lit(12.5).alias("progress_percent"))
+    done = (F.col("o_orderstatus") != "O").cast("long") + F.col("job").startswith("1").cast("long")
+    more = orders.select("job", done.alias("processed"), (F.col("o_orderkey") % 7 == 0).cast("long").alias("diffs"), (F.col("o_orderkey") % 14 == 0).cast("long").alias("repaired"))
+    return metrics.bump(jobs, "job", more)
+
+
+@query("SELECT count_if(c_acctbal > 0) AS positive, count_if(c_mktsegment = 'BUILDING') AS building FROM customer")
+def live_counts(spark, sf_dir):
+    return metrics.live_counts(table(spark, sf_dir, "customer"), positive="c_acctbal > 0", building="c_mktsegment = 'BUILDING'")
+
+
+@query(f"WITH {fx.VERSIONS_SQL} SELECT o_orderkey, o_custkey FROM src WHERE coalesce(o_orderpriority, '') = ''")
+def unset_rows(spark, sf_dir):
+    return scan.unset(fx.versions(spark, sf_dir)[0], "o_orderpriority").select("o_orderkey", "o_custkey")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') || '.25' END AS shown, event_type AS raw FROM (SELECT event_id, event_type, date_trunc('second', ts) AS ts FROM events)""")
+def display_values(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    shown = F.date_trunc("second", "ts") + F.when(F.col("event_id") % 3 == 0, F.expr("INTERVAL 0 SECOND")).otherwise(F.expr("INTERVAL 0.25 SECOND"))
+    rows = events.select("event_id", shown.alias("t"), F.col("event_type").cast("binary").alias("b"))
+    return rows.select("event_id", canon.display(F.col("t"), rows.schema["t"].dataType).alias("shown"), canon.display(F.col("b"), rows.schema["b"].dataType).alias("raw"))
+
+
 # --- comparison and repair ----------------------------------------------------------------------------------------------
 
 
@@ -329,6 +383,13 @@ def repair_apply(spark, sf_dir):
     return repair.repair(compare.compare(source, target, fx.MAPPING), source, target, fx.MAPPING)[0]
 
 
+@query(f"WITH {fx.JOINED_SQL} SELECT count_if(diff_type = 'missing_target') AS missing_target, count_if(diff_type = 'missing_source') AS missing_source, count_if(diff_type = 'mismatch') AS mismatch, count(*) AS diff_rows FROM diff WHERE diff_type IS NOT NULL")
+def compare_recorded(spark, sf_dir):
+    """Differences written once, and counted from what is stored."""
+    source, target = fx.versions(spark, sf_dir)
+    return compare.counted(compare.record(compare.compare(source, target, fx.MAPPING), work_folder(spark), 7))
+
+
 @query(f"WITH {fx.JOINED_SQL} SELECT source_pk, target_pk, CASE WHEN diff_type = 'missing_source' OR source_pk % 5 = 0 THEN 'skipped' ELSE 'repaired' END AS status FROM diff WHERE diff_type IS NOT NULL")
 def repair_skipped(spark, sf_dir):
     """The source has lost every fifth row since the comparison."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime
+from decimal import Decimal
+
 from functools import reduce
 from operator import add
 
@@ -91,8 +94,30 @@ def by_keys(rows: DataFrame, key: str, keys: DataFrame, column: str | None = Non
     return found if column is None or until is None else found.where(F.col(column) <= F.lit(until))
 
 
+def unset(rows: DataFrame, column: str) -> DataFrame:
+    """Rows whose text column is null or empty."""
+    return rows.where(F.coalesce(F.col(column).cast("string"), F.lit("")) == "")
+
+
+def sql_literal(value) -> str:
+    """A value as a literal of standard SQL: text is quoted with its quotes doubled, times by their type."""
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, int | float | Decimal):
+        return str(value)
+    if isinstance(value, datetime):
+        return f"TIMESTAMP '{value:%Y-%m-%d %H:%M:%S.%f}'"
+    if isinstance(value, date):
+        return f"DATE '{value:%Y-%m-%d}'"
+    if isinstance(value, str):
+        return "'" + value.replace("'", "''") + "'"
+    raise TypeError(f"no literal of {type(value).__name__}")
+
+
 def jdbc_table(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: list | None = None, where: str = "", properties: dict | None = None) -> DataFrame:
-    """A table of a database; bounds are the split points of its key, each range one partition with its condition pushed down."""
+    """A table of a database; bounds are the split points of its key, each range one partition with its condition pushed down.
+
+    key and where are SQL of the database and stand in its conditions as they are, so neither may come from outside."""
     properties = properties or {}
     if not (key and bounds):
         found = spark.read.jdbc(url, name, properties=properties)
@@ -100,7 +125,8 @@ def jdbc_table(spark: SparkSession, url: str, name: str, key: str | None = None,
     lows, highs = [None, *bounds], [*bounds, None]
     ranges = []
     for low, high in zip(lows, highs, strict=True):
-        tests = ([f"{key} > {low!r}"] if low is not None else [f"({key} IS NULL OR {key} <= {high!r})"]) + ([f"{key} <= {high!r}"] if high is not None and low is not None else [])
+        below = [] if high is None else [f"{key} <= {sql_literal(high)}"]
+        tests = [f"{key} > {sql_literal(low)}", *below] if low is not None else [f"({key} IS NULL OR {below[0]})"]
         ranges.append(" AND ".join([*tests, *([f"({where})"] if where else [])]))
     return spark.read.jdbc(url, name, predicates=ranges, properties=properties)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import threading
 
@@ -43,7 +44,7 @@ class Replay:
 
     def __init__(self, spark: SparkSession, path: str, key: list[str], columns: str, order: list[str] = ORDER):
         self.table, self.key, self.order = VersionedTable(spark, path), key, order
-        self.spark, self.columns = spark, columns
+        self.spark, self.columns, self.stream = spark, columns, ""
 
     def _empty(self, ops: DataFrame) -> DataFrame:
         at = T.StructType([ops.schema[o] for o in self.order])
@@ -55,6 +56,7 @@ class Replay:
         self.table.publish(apply_batch(target, ops, self.key, self.order))
 
     def start(self, ops: DataFrame, checkpoint: str, **trigger):
+        self.stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
         return ops.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
     def state(self) -> DataFrame:
@@ -67,11 +69,12 @@ EVENTS = ("op", "commit", "prepare", "xa_commit", "xa_rollback")
 
 
 class TransactionalReplay(Replay):
-    """Replay of a raw log: rows have (pos, event, txn, xid, op) besides the values; see EVENTS.
+    """Replay of a raw log: rows have (pos, event, txn, xid, op) besides the values; see EVENTS. Where positions start anew in each file, rows
+    have (file, pos) and are ordered by both.
 
     A micro-batch is joined with what earlier ones left open. Transactions that have ended take effect at the place of
     their commit; open and prepared ones are carried in a table of their own, published after the target and tagged with the
-    batch's number. A batch that is run again is either known by that tag or finds the open rows that it found before, and
+    stream's checkpoint and the batch's number, as a new checkpoint counts from 0 again. A batch that is run again is either known by that tag or finds the open rows that it found before, and
     the target takes nothing twice. A commit of a prepared transaction
     that nobody has prepared is an error, or is set aside with on_orphan="keep".
     """
@@ -81,8 +84,11 @@ class TransactionalReplay(Replay):
         self.open, self.aside, self.on_orphan = VersionedTable(spark, f"{path}/open"), VersionedTable(spark, f"{path}/aside"), on_orphan
 
     def batch(self, log: DataFrame, number: int) -> None:
-        if self.open.tag() == str(number):
+        tag = f"{self.stream}-{number}"
+        if self.open.tag() == tag:
             return
+        if "file" in log.columns:
+            log = log.withColumn("pos", F.struct("file", "pos")).drop("file")
         rows = self.open.read().unionByName(log).dropDuplicates(["pos", "event"]) if self.open.version() else log
         rows = rows.persist()
         try:
@@ -99,7 +105,7 @@ class TransactionalReplay(Replay):
             super().batch(ops, number)
             done = ends.select("txn").union(found.where("outcome <> 'pending'").select("txn"))
             left = rows.where("event in ('op', 'prepare')").join(done, "txn", "left_anti")
-            self.open.publish(left.select(*log.columns), str(number))
+            self.open.publish(left.select(*log.columns), tag)
         finally:
             rows.unpersist()
 

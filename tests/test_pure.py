@@ -105,7 +105,7 @@ def test_mappings():
 @pytest.mark.parametrize(
     ("text", "xid"),
     [
-        ("'a','b',1", Xid(b"a", b"b", 1)), ("X'6162'", Xid(b"ab")), ("0x6162", Xid(b"ab")), ("'a''b'", Xid(b"a'b")), ("mw_xa_005", Xid(b"mw_xa_005")), ("X'61',X'',7", Xid(b"a", b"", 7)),
+        ("'a','b',1", Xid(b"a", b"b", 1)), ("X'6162'", Xid(b"ab")), ("0x6162", Xid(b"ab")), ("'a''b'", Xid(b"a'b")), ("trx_005", Xid(b"trx_005")), ("X'61',X'',7", Xid(b"a", b"", 7)),
     ],
 )
 def test_xid(text, xid):
@@ -113,7 +113,7 @@ def test_xid(text, xid):
 
 
 def test_xid_key_and_statements():
-    assert parse_xid("'mw_xa_005'").key == "1:6d775f78615f303035:"
+    assert parse_xid("'trx_005'").key == "1:7472785f303035:"
     assert parse_statement("XA COMMIT 'a','b',1 ONE PHASE") == ("commit", Xid(b"a", b"b", 1), True)
     assert parse_statement("xa prepare X'6162'") == ("prepare", Xid(b"ab"), False)
     assert parse_statement("COMMIT") is None
@@ -123,6 +123,11 @@ def test_xid_key_and_statements():
 
 
 def test_prepare_event():
+    short = b"\0" + struct.pack("<II", 0xFFFFFFFF, 1) + b"\1ab"
+    assert len(short) == 12 and parse_prepare_event(short) == (Xid(b"a", b"b", 0xFFFFFFFF), False)
+    for n in range(10):
+        with pytest.raises(ValueError):
+            parse_prepare_event(short[:n])
     assert parse_prepare_event(b"\0" + struct.pack("<iII", 1, 3, 2) + b"abcde") == (Xid(b"abc", b"de", 1), False)
 
 

@@ -293,3 +293,33 @@ def test_shown_text(spark):
     df = spark.createDataFrame([(None,), (-5,), (0,), (59,), (60,), (3661,), (90000,)], "s long")
     assert [r[0] for r in df.select(duration_text(F.col("s"))).collect()] == ["0 s", "0 s", "0 s", "59 s", "1 min 0 s", "1 h 1 min", "1 d 1 h"]
     assert [r[0] for r in spark.createDataFrame([(999,), (1000,), (2500000,)], "n long").select(compact_number(F.col("n"))).collect()] == ["999", "1.0k", "2.5m"]
+
+
+def test_streams_over_files_with_their_own_positions(spark, tmp_path):
+    """Two files whose positions both start at 0, and a stream that starts anew on another checkpoint: nothing is taken for a repeat."""
+    schema = "file string, " + RAW
+    one = [("a", 0, "op", 1, None, "insert", 1, 1.0), ("a", 1, "op", 2, None, "insert", 2, 2.0), ("a", 2, "commit", 2, None, None, None, None)]
+    two = [("b", 0, "op", 3, None, "insert", 3, 3.0), ("b", 1, "commit", 3, None, None, None, None), ("b", 2, "commit", 1, None, None, None, None)]
+    schema_rows = lambda part: spark.createDataFrame(part, schema)
+    job = replay.TransactionalReplay(spark, str(tmp_path / "t"), ["k"], "k long, v double")
+    job.stream = "first"
+    job.batch(schema_rows(one), 0)
+    job.stream = "second"
+    job.batch(schema_rows(two), 0)
+    assert rows(job.state(), "k") == [(1, 1.0), (2, 2.0), (3, 3.0)]
+
+
+def test_reused_transaction_ids(spark):
+    prepared = spark.createDataFrame([(i, "1:61:", 10 * i) for i in range(1, 6)], "txn long, xid string, pos long")
+    outcomes = spark.createDataFrame([("1:61:" if i % 2 else "2:61:", "commit", 10 * i + 5) for i in range(1, 5)], "xid string, action string, pos long")
+    assert rows(changelog.resolve_prepared(prepared, outcomes).select("txn", "commit_pos", "outcome"), "txn") == [(i, 10 * i + 5, "commit") for i in range(1, 5)] + [(5, None, "pending")]
+
+
+def test_literals():
+    from datetime import date
+    from decimal import Decimal
+
+    shown = [scan.sql_literal(x) for x in (5, 1.5, Decimal("2.50"), "a'b", date(2024, 1, 2), datetime(2024, 1, 2, 3, 4, 5), True)]
+    assert shown == ["5", "1.5", "2.50", "'a''b'", "DATE '2024-01-02'", "TIMESTAMP '2024-01-02 03:04:05.000000'", "TRUE"]
+    with pytest.raises(TypeError):
+        scan.sql_literal(b"x")

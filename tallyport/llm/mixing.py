@@ -4,7 +4,7 @@
    stops at twice its source's size; the excess goes to the others by weight until none is above.
 2. Each source's documents are dealt into shards in seeded order; a shard's words are cut into equal blocks.
 3. Highest quotients (votes / 1, 3, 5, ...) give each source, and within it each shard, a whole number of blocks.
-4. A shard takes all its blocks as often as its quota allows, and the rest of the quota by seeded choice.
+4. A shard takes all its blocks as often as its quota allows, and the rest of the quota at equal steps from a seeded start.
    A document's taken words follow from the blocks that it overlaps, by arithmetic; no block is a row.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; null is a source of its own; documents with
@@ -21,7 +21,7 @@ from .shared import WORD, Workspace, let, spread, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
-BLOCK_WORDS, SHARD_DOCS, MAX_SHARDS = 32, 1024, 4096
+BLOCK_WORDS = 32
 
 
 def _capped_targets(sources: DataFrame, weights: tuple, share: float, most: float) -> DataFrame:
@@ -74,7 +74,8 @@ def mixing_plan(docs: DataFrame, seed: int = 42, weights: tuple = WEIGHTS, id_co
     sized = narrow.select("doc_id", "source", word_count(F.col("whole")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "whole").alias("draw"))
     sized = ws.save(sized, "sizes")
     sources = ws.save(_capped_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, SHARE, MOST), "sources")
-    n_shards = F.least(F.lit(MAX_SHARDS), F.ceil(F.col("n_docs") / SHARD_DOCS)).cast("long")
+    # as many shards as documents in one, so that neither a shard's line nor a source's shards become large before the other
+    n_shards = F.ceil(F.sqrt("n_docs")).cast("long")
     dealt = sized.join(sources, sized.source.eqNullSafe(sources.source)).drop(sources.source)
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), n_shards))
     line = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,10 +99,6 @@ def mixing_plan(docs: DataFrame, seed: int = 42, weights: tuple = WEIGHTS, id_co
     return mixed.withColumn("taken", F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long"))
 
 
-#: The largest primes below 2**31. None divides a shard's number of blocks, which is smaller.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
-
-
 def mixed_documents(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of `docs` that the mix takes, with its columns: each text as often as taken, and the extra blocks' words behind.
 
@@ -125,15 +122,13 @@ def mixed_documents(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", tex
 
 
 def chosen_blocks(seed: int) -> Column:
-    """The document's blocks that are taken once more: those that a seeded permutation b -> (p * b + c) mod n of the
-    shard's n blocks, p a prime above n, puts before its extra."""
+    """The document's blocks that are taken once more: of the shard's n blocks, whose documents stand in seeded order, `extra` at equal steps
+    from a seeded start, those where (block + start) * extra passes a multiple of n."""
     n = F.greatest(F.col("n_blocks"), F.lit(1))
-    pick = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("shard"), F.col("source")), F.lit(len(PRIMES))).cast("int")
-    step = F.get(F.array(*[F.lit(p).cast("long") for p in PRIMES]), pick) % n
-    move = F.pmod(F.xxhash64(F.lit(seed + 3), F.col("shard"), F.col("source")), n)
+    start = F.pmod(F.xxhash64(F.lit(seed + 3), F.col("shard"), F.col("source")), n)
     first = F.floor(F.col("first_word") / BLOCK_WORDS).cast("long")
     last = F.floor((F.col("first_word") + F.greatest("size", F.lit(1)) - 1) / BLOCK_WORDS).cast("long")
-    chosen = F.filter(F.sequence(first, last), lambda b: (step * b + move) % n < F.col("extra"))
+    chosen = F.filter(F.sequence(first, last), lambda b: (b + start) * F.col("extra") % n + F.col("extra") >= n)
     return F.when((F.col("extra") > 0) & (F.col("size") > 0), chosen).otherwise(F.array().cast("array<long>"))
 
 

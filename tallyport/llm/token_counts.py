@@ -2,9 +2,13 @@
 
 count[0] = 0 and count[i] = count[i - 1] + tokens(word i): the exact count of every prefix that ends with a word.
 A prefix that ends inside a word adds the count of that word's own prefix, which depends on this word alone.
-From these counts any truncation or budget question is a search, and no text is encoded again.
+From these counts any truncation or budget question is a search, and no text is encoded again. The prefix counts of all texts are
+stored as a table; the query reads each text's total from its last entry.
 
-Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each by itself; rows
+Special strings of the tokenizer start with "<|" and hold no white space, so a word that has them is encoded by itself, by the
+library, and the sums go on behind it.
+
+Defined results: null and empty texts have 0 bytes and 0 tokens and no prefix; texts of any length are counted whole; repeated rows are counted each by itself; rows
 with a null id stay; other columns of the input are left out; an empty table gives an empty table.
 """
 
@@ -16,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .shared import freed, groups, spread, text_column
+from .shared import Workspace, freed, groups, spread, text_column
 from .word_bpe import default_path, ids_of, word_ids
 
 LIMIT = 2048
@@ -29,17 +34,15 @@ class PrefixCounts:
     def __init__(self, text: str, path: str):
         self.text = text.encode()
         self.memo = word_ids(path)
-        self.special = b"<|" in self.text
-        self.ends, self.counts = prefixes(self.text, self.memo)
+        self.ends = word_ends(np.frombuffer(self.text, np.uint8), np.array([0, len(self.text)]))
+        self.counts = np.cumsum(counts_of(self.text.split(), self.memo))
 
     def count(self, n_bytes: int) -> int:
         """Tokens of the first n_bytes bytes; a cut inside a character leaves that character out."""
         head = self.text[:n_bytes].decode("utf-8", "ignore").encode()
-        if self.special:
-            return len(self.memo.whole(head))
         k = bisect_right(self.ends, len(head))
         last = head[self.ends[k - 1] if k else 0 :].split()
-        return (int(self.counts[k - 1]) if k else 0) + (int(self.memo.counts([last[0].lower()])[0]) if last else 0)
+        return (int(self.counts[k - 1]) if k else 0) + (int(counts_of(last, self.memo)[0]) if last else 0)
 
     def fit(self, budget: int) -> int:
         """Bytes of the longest prefix of whole words with at most budget tokens."""
@@ -47,59 +50,69 @@ class PrefixCounts:
         return int(self.ends[k - 1]) if k else 0
 
 
-def prefixes(text: bytes, memo) -> tuple[np.ndarray, np.ndarray]:
-    """(byte offset after each word, tokens up to there)."""
-    words = text.split()
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    inside = np.frombuffer(text, np.uint8)
-    inside = ~((inside == 32) | ((inside >= 9) & (inside <= 13)))
-    ends = np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1
-    assert len(ends) == len(sizes)
-    if b"<|" in text:
-        return ends, np.array([len(memo.whole(text[:e])) for e in ends.tolist()], np.int64)
-    return ends, np.cumsum(memo.counts([w.lower() for w in words]))
-
-
-def _counts(path: str, keep: bool):
+def counts_of(words: list[bytes], memo) -> np.ndarray:
+    """Tokens of each word."""
+    special = [b"<|" in w for w in words]
+    if not any(special):
+        return memo.counts([w.lower() for w in words])
+    out = np.zeros(len(words), np.int64)
+    out[[not x for x in special]] = memo.counts([w.lower() for w, x in zip(words, special, strict=True) if not x])
+    out[special] = [len(memo.whole(w)) for w, x in zip(words, special, strict=True) if x]
+    return out
+
+
+def word_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places behind the words of texts that stand one behind another in `data`."""
+    inside = np.append(~((data == 32) | ((data >= 9) & (data <= 13))), False)
+    ends = inside[:-1] & ~inside[1:]
+    last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
+    ends[last] = inside[last]
+    return np.flatnonzero(ends) + 1
+
+
+def prefix_arrays(texts: pa.Array, memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words before each text and in all, bytes up to each word's end in its text, tokens up to there) of texts without nulls."""
+    raw = texts.cast(pa.binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if raw.buffers()[2] is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    ends = word_ends(data, offsets)
+    at = np.append(0, np.searchsorted(ends, offsets[1:], "right"))
+    n = np.diff(at)
+    rows, _, special = ids_of(texts, memo)
+    c, plain = np.zeros(len(ends), np.int64), np.ones(len(texts), bool)
+    plain[special] = False
+    c[np.repeat(plain, n)] = memo.count[rows[rows != memo.row[b""]]]
+    for i in special:
+        c[at[i] : at[i + 1]] = counts_of(raw[i].as_py().split(), memo)
+    total = np.append(0, np.cumsum(c))
+    return at, ends - np.repeat(offsets[:-1], n), total[1:] - np.repeat(total[at[:-1]], n)
+
+
+def _prefixes(path: str):
     def run(batches):
         memo = word_ids(path)
         for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "")
-            n = np.zeros(len(texts), np.int64)
-            ends, counts = [], []
-            for lo, hi in groups(texts):
-                if keep:
-                    memo.trim()
-                    for i in range(lo, hi):
-                        e, c = prefixes(texts[i].as_py().encode(), memo)
-                        ends.append(e.tolist())
-                        counts.append(c.tolist())
-                        n[i] = c[-1] if len(c) else 0
-                    continue
-                part = texts.slice(lo, hi - lo)
-                rows, at, special = ids_of(part, memo)
-                total = np.concatenate([[0], np.cumsum(memo.count[rows], dtype=np.int64)])
-                n[lo:hi] = total[at[1:]] - total[at[:-1]]
-                for i in special:
-                    n[lo + i] = len(memo.whole(part[i].as_py().encode()))
-            columns = [batch.column("doc_id"), pc.binary_length(texts).cast(pa.int64()), pa.array(n)]
-            names = ["doc_id", "n_bytes", "n_tokens"]
-            if keep:
-                columns += [pa.array(ends, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))]
-                names += ["prefix_bytes", "prefix_tokens"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            every = pc.fill_null(batch.column("text"), "")
+            for lo, hi in groups(every):
+                texts = every.slice(lo, hi - lo)
+                at, ends, counts = prefix_arrays(texts, memo)
+                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ends, counts)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pc.binary_length(texts).cast(pa.int64()), *lists], names=["doc_id", "n_bytes", "prefix_bytes", "prefix_tokens"])
 
     return freed(run)
 
 
-def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", prefix_table: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of each document; with prefix_table also the counts of all prefixes.
-
-    One pass without a shuffle. prefix_bytes and prefix_tokens have an entry for each word: where it ends, and the
-    tokens of the text up to there.
-    """
+def prefix_table(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, prefix_bytes, prefix_tokens of each document: an entry for each word, where it ends and the tokens of the text up to there."""
     narrow = spread(text_column(docs, id_col, text_col), "doc_id")
-    kind = dict(narrow.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_bytes long, n_tokens long" + ", prefix_bytes array<long>, prefix_tokens array<long>" * prefix_table
-    out = narrow.mapInArrow(_counts(path or default_path(), prefix_table), schema)
-    return out.withColumn("over_limit", out.n_tokens > limit)
+    return narrow.mapInArrow(_prefixes(path or default_path()), f"doc_id {dict(narrow.dtypes)['doc_id']}, n_bytes long, prefix_bytes array<int>, prefix_tokens array<int>")
+
+
+def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of each document, from the stored table of prefix counts. No shuffle."""
+    # rising numbers are small as differences
+    options = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
+    stored = Workspace(docs.sparkSession).save(prefix_table(docs, path, id_col, text_col), "prefixes", **options)
+    n_tokens = F.coalesce(F.get("prefix_tokens", F.size("prefix_tokens") - 1), F.lit(0)).cast("long")
+    return stored.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))

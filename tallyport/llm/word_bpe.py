@@ -35,6 +35,12 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.max_words = max_words
+        # what the memo relies on: words are encoded each by itself, in lower case, and special strings begin with "<|"
+        parts = [self.library.encode(w, add_special_tokens=False).ids for w in ("ab,", "Çd's", "12x", "(é)")]
+        if self.library.encode("AB,\t çD's\n12x  (É)", add_special_tokens=False).ids != sum(parts, []):
+            raise ValueError(f"not a tokenizer of single lower-case words: {path}")
+        if odd := [t.content for t in self.library.get_added_tokens_decoder().values() if not t.content.startswith("<|") or len(t.content.split()) != 1]:
+            raise ValueError(f"special strings that don't begin with <|: {odd}")
         names = self.library.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(names.values()) + 1, bool)
         for name, i in names.items():

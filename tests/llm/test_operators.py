@@ -53,7 +53,7 @@ def test_token_counts(docs, library):
 
 
 def test_prefix_counts(texts, library):
-    for t in texts:
+    for t in [*texts, "a<|endoftext|>b <|endoftext|> <| c|> " * 9, "Tail <|endoftext|><|endoftext|>.", "É<|é <|x|> İ<|endoftext|>"]:
         if not t:
             continue
         t = t[:400]
@@ -67,6 +67,22 @@ def test_prefix_counts(texts, library):
             assert not rest or p.count(rest[0]) > budget
 
 
+def test_prefix_table(docs, library):
+    for r in token_counts.prefix_table(docs.where("length(text) < 3000")).join(docs.select("doc_id", "text"), "doc_id").dropDuplicates(["doc_id"]).collect():
+        raw = (r.text or "").encode()
+        assert len(r.prefix_bytes) == len(raw.split())
+        assert r.prefix_tokens == [len(library.encode(raw[:e].decode(), add_special_tokens=False).ids) for e in r.prefix_bytes]
+
+
+def test_long_text_is_counted_in_linear_time(library):
+    import time
+
+    text = "word <|endoftext|> Other<|x " * 40_000
+    began = time.time()
+    p = token_counts.PrefixCounts(text, word_bpe.default_path())
+    assert p.count(len(text)) == len(library.encode(text, add_special_tokens=False).ids) and time.time() - began < 30
+
+
 def test_word_ids_are_those_of_the_library(library):
     import random
 
@@ -646,6 +662,41 @@ def test_mixed_documents(docs):
     assert counted(out.select("doc_id", words.alias("w")), "doc_id", "w") == counted(plan, "doc_id", "taken")
 
 
+def highest_quotients(votes, caps, seats):
+    """One seat after another; ties go to the first."""
+    won = [0] * len(votes)
+    for _ in range(seats):
+        k = max((i for i in range(len(votes)) if won[i] < caps[i]), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))
+        won[k] += 1
+    return won
+
+
+def test_taken_words_one_by_one(docs):
+    """Every document's taken words by dealing all blocks one after another; shards and starts are Spark's hashes."""
+    start = F.pmod(F.xxhash64(F.lit(45), F.col("shard"), F.col("source")), F.greatest("n_blocks", F.lit(1)))
+    plan = mixing.mixing_plan(docs).withColumn("start", start).collect()
+    shards = {}
+    for r in sorted(plan, key=lambda r: (r.draw, r.doc_id is not None, r.doc_id or 0, r.size)):
+        shards.setdefault((r.source is None, r.source or "", r.shard), []).append(r)
+    words = {k: sum(r.size for r in own) for k, own in shards.items()}
+    blocks = {k: -(-n // mixing.BLOCK_WORDS) for k, n in words.items()}
+    ratio = {k: own[0].target / own[0].source_size if own[0].source_size else 0.0 for k, own in shards.items()}
+    names = sorted({k[:2] for k in shards})
+    of = lambda name: sorted(k for k in shards if k[:2] == name)
+    votes = [sum(ratio[k] * blocks[k] for k in of(s)) for s in names]
+    by_source = highest_quotients(votes, [sum(2 * blocks[k] for k in of(s)) for s in names], int(sum(votes) + 0.5))
+    for name, seats in zip(names, by_source, strict=True):
+        own = of(name)
+        for k, quota in zip(own, highest_quotients([ratio[x] * blocks[x] for x in own], [2 * blocks[x] for x in own], seats), strict=True):
+            n = blocks[k]
+            times = [quota // n + ((b + shards[k][0].start) * (quota % n) // n != ((b + shards[k][0].start + 1) * (quota % n)) // n) for b in range(n)]
+            assert sum(times) == quota
+            at = 0
+            for r in shards[k]:
+                assert r.taken == sum(times[w // mixing.BLOCK_WORDS] for w in range(at, at + r.size))
+                at += r.size
+
+
 def test_sainte_lague(spark):
     votes = [53.0, 24.0, 23.0, 0.0, 7.5]
     df = spark.createDataFrame([("g", i, v, 100) for i, v in enumerate(votes)] + [("f", 0, 5.0, 3)], "g string, i int, votes double, cap long")

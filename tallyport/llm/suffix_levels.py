@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .anchors import Bytes, anchor_rows, merged, repeated_spans
 from .shared import Workspace, freed, parts, spread
 
-WINDOW, BATCHES = 200, 2
+WINDOW, BATCHES = 200, 3
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str, carry: tuple = ()) -> DataFrame:
@@ -47,7 +47,7 @@ class SuffixLevels:
         """everything: (rid, text) of all batches so far, this one included."""
         k, self.batches = self.batches, self.batches + 1
         own = f"{self.name}-{k}"
-        rows = self.ws.save(anchor_rows(texts, self.kind), own)
+        rows = self.ws.save(anchor_rows(texts, self.kind).sortWithinPartitions("h", "sig"), own)
         every = rows.withColumn("is_new", F.lit(True))
         for _, _, level in self.levels:
             every = every.unionByName(level.withColumn("is_new", F.lit(False)))
@@ -107,7 +107,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHE
     for k in range(batches):
         # documents that come later have no rows yet, and no spans
         found = index.add(narrow.where(F.pmod("rid", F.lit(batches)) == k), narrow)
-        index.merge() if k < batches - 1 else None
+        index.merge()
         spans = found if spans is None else spans.unionByName(found)
     spans = ws.save(spans.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
     ws.release()

@@ -60,7 +60,7 @@ class SuffixLevels:
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (rank, a, old), (_, b, new) = self.levels[-2:]
             name = f"{self.name}-{rank + 1}-{self.batches}"
-            rows = self.ws.save(old.unionByName(new).repartitionByRange("h").sortWithinPartitions("h", "sig"), name)
+            rows = self.ws.save(old.unionByName(new).repartitionByRange("h", "sig", "rid").sortWithinPartitions("h", "sig"), name)
             self.ws.drop(a, b)
             self.levels[-2:] = [(rank + 1, name, rows)]
 

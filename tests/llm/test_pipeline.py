@@ -70,3 +70,39 @@ def test_nothing_else_imports_the_subpackage():
     for path in [*(root / "tallyport").rglob("*.py")]:
         if "llm" not in path.parts:
             assert "llm" not in path.read_text()
+
+
+def test_stages_on_edge_rows(spark, sf_dir, docs):
+    """Nulls in every column, empty texts, repeated rows and ids, ids of unlike texts, further columns with clashing names; then an empty table."""
+    more = spark.createDataFrame([(12, "another text under the id of twelve, with words of its own", "en", "a", 1), (None, "a text without an id � of its own", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = docs.unionByName(more, allowMissingColumns=True)
+    ws, columns = Workspace(spark), list(cp.COLUMNS)
+    key = lambda df: Counter((r.doc_id, r.text, r.lang, r.source) for r in df.collect())
+
+    found = quality_classifier(rows, table(spark, sf_dir, "labels"), carry=cp.COLUMNS).where("kept")
+    out = ws.save(cp.STAGES[0][1](spark, rows, sf_dir), "a")
+    assert out.columns == columns and key(out) == key(found.select("carry.*")) and key(out)
+
+    rows = rows.select(*columns)
+    groups = simhash_groups(rows, carry=("text",)).collect()
+    out = ws.save(cp.STAGES[1][1](spark, rows, sf_dir), "b")
+    kept = key(out)
+    assert out.columns == columns and max(kept.values()) == 1 and sum(kept.values()) == len({r.root for r in groups})
+    roots = {(r.doc_id, r.carry.text): r.root for r in groups}
+    assert {roots[k[:2]] for k in kept} == {r.root for r in groups}
+    for k in kept:  # the smallest id of its group, null last
+        assert k[0] == min((r.doc_id for r in groups if r.root == roots[k[:2]] and r.doc_id is not None), default=None)
+
+    out = ws.save(cp.STAGES[2][1](spark, out, sf_dir), "c")
+    assert out.columns == columns and all(WORD.search(r.text) and r.n_chars == len(r.text) for r in out.collect())
+    assert any("�" in r.text for r in out.collect())
+    for name in ("d", "e"):
+        stage = cp.STAGES["abcde".index(name)][1]
+        out = ws.save(stage(spark, out, sf_dir), name)
+        assert out.count()
+        if name == "d":
+            assert out.columns == columns
+
+    nothing = docs.limit(0)
+    for _, stage in cp.STAGES:
+        assert stage(spark, nothing, sf_dir).count() == 0

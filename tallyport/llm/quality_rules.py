@@ -2,11 +2,12 @@
 
 Each document's character-class histogram and common-word histogram are held against those of its language by
 Jensen-Shannon distance (base 2, 0 to 1). A language's reference is the sum over all its documents that pass the
-base rules. Documents with too few characters or words for a histogram are not judged by that distance.
+base rules; every language that occurs has one of character classes, those with listed words one of words too. Documents
+with too few characters or words for a histogram are not judged by that distance.
 
-Defined results: a null or empty text has no words and fails the base rule (n_words < 10); a null or unlisted
-language has no reference, so only the base rule counts; repeated rows are judged each by itself; columns other
-than id, text and language are left out; an empty table gives an empty table.
+Defined results: a null or empty text has no words and fails the base rule (n_words < 10); with a null language only the
+base rule counts, as such documents have no language in common; very long texts are judged whole like any other; repeated
+rows are judged each by itself; columns other than id, text and language are left out; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -131,16 +132,16 @@ def quality_rules(
     features = ws.save(features.withColumn("base_failed", base), "features")
     chars = [c for c in features.columns if c.startswith("c_")]
     commons = [c for c in features.columns if c.startswith("w_")]
-    listed = features.where(~F.col("base_failed") & F.col("lang").isin(list(COMMON_WORDS)))
-    reference = listed.groupBy("lang").agg(*[F.sum(c).alias(f"ref_{c}") for c in (*chars, *commons)])
-    # a row for each listed language at most: len(COMMON_WORDS) rows
-    both = features.join(F.broadcast(reference), "lang", "left")
+    passing = features.where(~F.col("base_failed") & F.col("lang").isNotNull())
+    reference = passing.groupBy("lang").agg(*[F.sum(c).alias(f"ref_{c}") for c in (*chars, *commons)])
+    # a row a language, written, so that the planner knows its size and broadcasts it only where it is small
+    both = features.join(ws.save(reference, "reference"), "lang", "left")
     n_chars = reduce(add, [F.col(c) for c in chars])
     distance = lambda names: js_distance([F.col(c) for c in names], [F.col(f"ref_{c}") for c in names])
     judged = both.withColumns(
         {
             "char_distance": F.when(n_chars >= min_chars, distance(chars)),
-            "word_distance": F.when(F.col("n_words") >= min_words, distance(commons)),
+            "word_distance": F.when((F.col("n_words") >= min_words) & F.col("lang").isin(list(COMMON_WORDS)), distance(commons)),
         }
     )
     far = F.coalesce(F.col("char_distance") > max_char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False))

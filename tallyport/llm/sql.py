@@ -45,7 +45,7 @@ f AS (SELECT *, length(text) AS n_chars, n_words < 10 OR 100 * n_repeat_words >
 common(lang, i, word) AS (VALUES {common}),
 x AS (SELECT doc_id, i, count(*) AS n FROM (SELECT doc_id, lang, unnest(ws) AS word FROM base) JOIN common USING (lang, word) GROUP BY 1, 2),
 h AS ({chars} UNION ALL {rest} UNION ALL {words}),
-ref AS (SELECT lang, kind, bin, sum(c) / sum(sum(c)) OVER (PARTITION BY lang, kind) AS q FROM h WHERE NOT base_failed AND lang IN (SELECT lang FROM common) GROUP BY 1, 2, 3),
+ref AS (SELECT lang, kind, bin, sum(c) / sum(sum(c)) OVER (PARTITION BY lang, kind) AS q FROM h WHERE NOT base_failed AND lang IS NOT NULL GROUP BY 1, 2, 3),
 s AS (SELECT doc_id, kind, sqrt(greatest(sum(CASE WHEN a > 0 THEN a * log2(2 * a / (a + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (a + q)) ELSE 0 END) / 2, 0)) AS d
     FROM (SELECT *, c / nullif(sum(c) OVER (PARTITION BY doc_id, kind), 0) AS a FROM h) JOIN ref USING (lang, kind, bin) GROUP BY 1, 2),
 far AS (SELECT DISTINCT doc_id FROM s JOIN f USING (doc_id) WHERE (kind = 'c' AND n_chars >= {q.MIN_CHARS} AND d > {q.MAX_CHAR_DISTANCE}) OR (kind = 'w' AND n_words >= {q.MIN_WORDS} AND d > {q.MAX_WORD_DISTANCE}))

@@ -200,6 +200,16 @@ def test_rules_reject_unlike_text(spark, sf_dir):
     assert [r.kept for r in got.where("doc_id < 100").collect()] == [False, False]
 
 
+def test_every_language_has_its_own_characters(spark):
+    """A language without listed words is judged by its characters alone; a null one by the base rule alone."""
+    rows = [(i, " ".join(f"слово{i}ж{j}" for j in range(80)), "xx") for i in range(30)]
+    junk = " ".join(f"{j}{j + 1}!!{j}" for j in range(150))
+    df = spark.createDataFrame([*rows, (100, junk, "xx"), (101, junk, None), (102, junk, "yy")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+    assert [got[i].kept for i in (0, 29, 100, 101, 102)] == [True, True, False, True, True]
+    assert got[101].char_distance is None and got[102].char_distance == pytest.approx(0, abs=1e-6) and all(r.word_distance is None for r in got.values())
+
+
 def plain_kneser_ney(texts):
     """log2 probability of a gram, straight from the definition."""
     table, size, n = spelling.class_table(), spelling.CLASSES, spelling.ORDER
@@ -408,6 +418,18 @@ def test_toxicity_edges(docs, labels, spark):
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_learns_one_text_an_id(spark, monkeypatch):
+    """What comes to the driver is bounded by ids that were drawn, however many documents repeat one of them."""
+    texts = [(i, f"you stupid idiot number {i}" if i % 4 == 0 else f"a calm sentence about topic {i}", int(i % 4 == 0)) for i in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts] + [(4, f"{t} again") for _, t, _ in texts] + [(None, "you idiot"), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts] + [(None, 1)], "doc_id long, toxic int")
+    seen = []
+    fitted = toxicity.BoostedTrees.fit
+    monkeypatch.setattr(toxicity.BoostedTrees, "fit", lambda self, x, y: seen.append(len(x)) or fitted(self, x, y))
+    got = toxicity.toxicity(docs, labels, max_rows=40).collect()
+    assert len(got) == 162 and seen and seen[0] <= 40 and {r.held_out for r in got if r.doc_id is None} == {True}
+
+
 def test_isotonic_and_trees():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 3))

@@ -9,11 +9,13 @@
    probabilities, kept strictly increasing by a small share of the raw probability.
 5. Scoring reads each whole text once, in Arrow batches; words are told apart in Arrow and looked up once a batch.
 
-Language, source, ids and labels are not features. Fitted on the driver from max_rows rows of some twenty numbers.
+Language, source, ids and labels are not features. Fitted on the driver from max_rows rows of some twenty numbers: one text an id.
 
 Defined results: null and empty texts have all features zero and get the model's score of that; without labelled rows of both
 classes every score is the share of toxic rows (0 without any); repeated rows are scored each by itself; repeated labels of a
-document count as toxic if one does; other columns are left out; an empty table gives an empty table.
+document count as toxic if one does; unlike texts of one id are scored each by itself, the one of the smallest hash is learned from; a null id
+is held out, its text scored; very long texts are read whole, in slices of some MB of a batch; ties of scores stay ties; other columns are left
+out; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import groups, spread, text_column
+from .shared import Workspace, groups, spread, text_column
 
 MAX_ROWS, LEXICON_SIZE, FOLDS = 20_000, 512, 5
 #: Second-person words of the four languages.
@@ -216,12 +218,17 @@ def held_out(id_col) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, lexicon_size: int = LEXICON_SIZE) -> ToxicityModel:
-    """docs: (doc_id, text). labels: (doc_id, toxic), rows that may be learned from."""
+    """docs: (doc_id, text). labels: (doc_id, toxic), rows that may be learned from.
+
+    At most max_rows rows are learned from: one text an id, the one with the smallest hash where an id has several.
+    """
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     draw = F.xxhash64(F.lit(7), F.col("doc_id"))
     # at most max_rows rows of two numbers
     sample = labels.withColumn("draw", draw).orderBy("draw", "doc_id").limit(max_rows)
-    rows = docs.join(F.broadcast(sample), "doc_id").withColumn("aside", F.pmod(F.col("draw"), F.lit(5)) == 0).persist()
+    one = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic", "draw").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    ws = Workspace(docs.sparkSession)
+    rows = ws.save(one.select("doc_id", "text", "toxic", (F.pmod(F.col("draw"), F.lit(5)) == 0).alias("aside")), "sample")
     try:
         prior = rows.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
         fitting = rows.where(~F.col("aside"))
@@ -245,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, lexicon_si
         id_kind, label_kind = dict(rows.dtypes)["doc_id"], dict(rows.dtypes)["toxic"]
         found = rows.select("doc_id", "text", "toxic", "aside").mapInArrow(run, f"doc_id {id_kind}, toxic {label_kind}, aside boolean, {kinds}").toPandas()
     finally:
-        rows.unpersist()
+        ws.close()
     found = found.sort_values(["doc_id", *[f"f{i}" for i in range(len(FEATURES))]])
     x, y, aside = found.iloc[:, 3:].to_numpy(float), found["toxic"].to_numpy(float), found["aside"].to_numpy(bool)
     trees = BoostedTrees().fit(x[~aside], y[~aside])

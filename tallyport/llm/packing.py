@@ -8,8 +8,9 @@ ends (free), at sentence ends and, in long stretches without either, on a grid (
 has the least sum of padding and penalties; cost[i] + pos[i] is kept in a monotone queue, so each cut place costs
 constant time. What remains at a partition's end is cut at powers of two, which need no padding.
 
-A partition is worked off in chunks of some million tokens: all sequences but the last few of a chunk are final, the
-rest opens the next chunk. Memory is bounded by the chunk and the longest text. No shuffle.
+A partition is worked off in chunks of some half a million tokens: all sequences but the last few of a chunk are final, the
+rest opens the next chunk. Memory is bounded by the chunk, the tokenizer's memo and the longest text. No shuffle, but for a table of
+fewer partitions than cores, which is dealt out by ranges of its id.
 
 Defined results: a null or empty text is its end id alone; repeated rows are packed each by itself; rows with a null
 id are packed; other columns are left out; an empty table gives an empty table.
@@ -32,7 +33,8 @@ WINDOW, END_ID = 2048, 1
 SENTENCE_PENALTY, GRID_PENALTY, PIECE_PENALTY = 1, 6, 4
 #: At most one sentence end in so many tokens is a cut place; without any in GAP tokens, each GRID tokens are one.
 CELL, GAP, GRID = 16, 24, 16
-CHUNK = 2_000_000
+#: Tokens of a chunk and bytes of text that are encoded at once.
+CHUNK, SLICE = 500_000, 1_000_000
 
 
 def cut_places(pos: list[int], penalty: list[int], window: int = WINDOW, last: bool = True) -> list[int]:
@@ -170,7 +172,7 @@ def _pack(path: str, window: int):
         for batch in batches:
             stream = stream or _Stream(window, TaskContext.get().partitionId() << 32, sentence_end, batch.column("doc_id").type)
             texts, doc_ids = pc.fill_null(batch.column("text"), ""), batch.column("doc_id").to_pylist()
-            for lo, hi in groups(texts):
+            for lo, hi in groups(texts, SLICE):
                 part = texts.slice(lo, hi - lo)
                 rows, at, special = ids_of(part, memo)
                 ids, n = with_ends(rows, at, memo, {i: memo.whole(part[i].as_py().encode()) for i in special})

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import threading
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, tzinfo
 from urllib.parse import parse_qs, urlparse
 
 from pyspark.sql import Column
@@ -143,3 +144,31 @@ def memory_bytes(text: str) -> int:
     if number <= 0:
         raise ValueError("a size is above zero")
     return int(number * 1024**power)
+
+
+#: Layouts of times that a caller may give besides RFC 3339, for metrics and for repair.
+METRIC_TIMES = ("%Y-%m-%dT%H:%M", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S")
+REPAIR_TIMES = ("%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S")
+_RFC3339 = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d([.,]\d+)?(Z|[+-]\d\d:\d\d)")
+
+
+def _given_time(text: str, layouts: tuple[str, ...], zone: tzinfo | None) -> datetime:
+    if _RFC3339.fullmatch(text):
+        return datetime.fromisoformat(text)
+    for layout in layouts:
+        try:
+            found = datetime.strptime(text, layout)
+        except ValueError:
+            continue
+        return found.replace(tzinfo=zone) if zone else found.astimezone()
+    raise ValueError(f"not a time: {text}")
+
+
+def metric_time(text: str, zone: tzinfo | None = None) -> datetime | None:
+    """A bound of a metric query; nothing for an empty text. Times without an offset are in `zone`, the local one by default."""
+    return _given_time(text.strip(), METRIC_TIMES, zone) if text.strip() else None
+
+
+def repair_time(text: str, zone: tzinfo | None = None) -> datetime:
+    """A bound of a repair; it has to be given."""
+    return _given_time(text, REPAIR_TIMES, zone)

@@ -1,13 +1,13 @@
 """Functions without data: mappings, transaction ids, schedules, alerts, checks."""
 
 import struct
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import types as T
 
 from tallyport.functions.xid import Xid, parse_prepare_event, parse_statement, parse_xid
-from tallyport.operators import control, precheck
+from tallyport.operators import control, precheck, tasks
 from tallyport.operators.mapping import TableMapping, normalized_fields, normalized_names, normalized_pairs, validated
 from tallyport.operators.metrics import unit_for
 from tallyport.sources.scan import shard_count
@@ -148,3 +148,60 @@ def test_schema_items(spark):
     assert precheck.base(T.DecimalType(10, 2)) == "decimal"
     assert not precheck.limit_items(0, 0) and not precheck.limit_items(20_000, 32)
     assert [i[3] for i in precheck.limit_items(50, 33)] == ["batch_size", "workers"]
+
+
+def test_given_times():
+    utc = timezone.utc
+    at = datetime(2024, 5, 6, 7, 8, tzinfo=utc)
+    for text in ("2024-05-06T07:08:00Z", "2024-05-06T09:08:00+02:00", " 2024-05-06T07:08 ", "2024-05-06T07:08:00", "2024-05-06 07:08:00"):
+        assert control.metric_time(text, utc) == at
+    assert control.metric_time("  ") is None
+    for text in ("2024-05-06T07:08:00.000Z", "2024-05-06 07:08", "2024-05-06 07:08:00"):
+        assert control.repair_time(text, utc) == at
+    assert control.repair_time("2024-05-06 07:08").tzinfo is not None
+    for parse, bad in ((control.metric_time, "2024-05-06 07:08"), (control.metric_time, "today"), (control.repair_time, ""), (control.repair_time, "2024-05-06T07:08")):
+        with pytest.raises(ValueError):
+            parse(bad)
+
+
+def test_precheck_enables_and_stores_keys():
+    task = tasks.Task(901, runtime_status="paused")
+    assert not tasks.conclude_precheck(task, [("error", "t", "", "x", "")], {"t": ("id", "id")})
+    assert (task.enabled, task.validation, task.keys) == (False, "failed", {})
+    assert tasks.conclude_precheck(task, [("warning", "t", "", "x", "")], {"t": ("id", "key")})
+    assert (task.enabled, task.validation, task.keys, task.runtime_status) == (True, "passed", {"t": ("id", "key")}, "paused")
+    tasks.conclude_precheck(task, [("error", "t", "", "x", "")], {})
+    assert (task.enabled, task.validation, task.keys) == (False, "failed", {"t": ("id", "key")})
+
+
+def test_execution_states():
+    clock = iter(datetime(2024, 1, 1) + timedelta(seconds=2 * i) for i in range(100))
+    said, resolved = [], []
+    run = lambda task, work, **more: tasks.execute(task, work, record=lambda *a: said.append(a[:2]), resolve=lambda *a: resolved.append(a), now=lambda: next(clock), **more)
+    task = tasks.Task(902, enabled=True, validation="passed", checkpoints={"t": 5})
+    assert run(task, lambda t: 40 if t.runtime_status == "initializing" and not t.checkpoints else -1) == 40
+    assert (task.last_run_status, task.runtime_status, task.rows_processed, task.rows_per_second) == ("success", "completed", 40, 20.0)
+    assert said == [("snapshot_started", "running"), ("snapshot_run", "success"), ("snapshot_completed", "success")]
+    assert resolved == [(902, "error"), (902, "delay")]
+
+    def pause(t):
+        raise tasks.Paused
+
+    def fail(t):
+        raise OSError("gone")
+
+    assert run(task, pause) is None and (task.runtime_status, task.last_run_status) == ("paused", "paused")
+    with pytest.raises(OSError):
+        run(task, fail)
+    assert (task.runtime_status, task.message, said[-1]) == ("failed", "gone", ("snapshot_run", "failed"))
+    inside = []
+    with pytest.raises(RuntimeError, match="is running"):
+        run(task, lambda t: inside.append(1) or run(t, lambda u: 0))
+    before = len(said)
+    for other in (tasks.Task(903, validation="passed"), tasks.Task(903, enabled=True), tasks.Task(903, enabled=True, validation="failed")):
+        with pytest.raises(RuntimeError):
+            run(other, lambda t: 0)
+    with pytest.raises(OSError):
+        run(tasks.Task(903, enabled=True, validation="passed"), lambda t: 0, reachable=fail)
+    assert len(said) == before
+    assert run(tasks.Task(904, kind="full_cdc"), lambda t: 0, stream=lambda t: "started") == "started"

@@ -149,11 +149,11 @@ def memory_bytes(text: str) -> int:
 #: Layouts of times that a caller may give besides RFC 3339, for metrics and for repair.
 METRIC_TIMES = ("%Y-%m-%dT%H:%M", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S")
 REPAIR_TIMES = ("%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S")
-_RFC3339 = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d([.,]\d+)?(Z|[+-]\d\d:\d\d)")
+_RFC3339 = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d([.,]\d+)?(Z|[+-]\d\d:\d\d)\Z")
 
 
 def _given_time(text: str, layouts: tuple[str, ...], zone: tzinfo | None) -> datetime:
-    if _RFC3339.fullmatch(text):
+    if _RFC3339.match(text):
         return datetime.fromisoformat(text)
     for layout in layouts:
         try:
